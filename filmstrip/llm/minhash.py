@@ -58,13 +58,22 @@ def registers(u: np.ndarray) -> np.ndarray:
     return out
 
 
+_DONORS = np.random.default_rng(7).permuted(np.tile(np.arange(BUCKETS, dtype=np.uint8), (BUCKETS, 1)), axis=1)
+
+
 def _bands(regs: np.ndarray) -> np.ndarray:
-    """One hash per band with a filled register; the others are 0."""
+    """One hash per band. Here an empty register borrows from the filled one that
+    comes first in its own random order of buckets, so that a small set's bands agree
+    as rarely as a large one's."""
+    filled = np.flatnonzero(regs != _EMPTY)
+    empty = np.flatnonzero(regs == _EMPTY)
+    if len(empty):
+        regs = regs.copy()
+        regs[empty] = regs[filled[_DONORS[empty[:, None], filled].argmin(axis=1)]]
     h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     rows = regs.reshape(BANDS, ROWS)
     for j in range(ROWS):
         h = scan.mix(h + rows[:, j])
-    h[(rows == _EMPTY).all(axis=1)] = 0
     return h
 
 
@@ -179,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sigs.select("id", "n", "key").join(classes, "key", "left")
     reps = staged(sigs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
 
-    bands = reps.select("id", F.explode("bands").alias("band")).where("band != 0")
+    bands = reps.select("id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("leader")).where("m > 1").select("band", "leader")
     bands = staged(bands.join(shared, "band"), "bands")
 

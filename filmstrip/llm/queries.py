@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .minhash import near_duplicates
+from .suffixes import without_repeats
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {"op7_minhash": op7_minhash}
+QUERIES = {"op6_suffixes": op6_suffixes, "op7_minhash": op7_minhash}
 
 ORACLES: dict[str, str] = {}
