@@ -251,7 +251,7 @@ def _strings(block: _Block, told: pa.Table, bits: int):
         each = np.repeat(np.flatnonzero(warm), windows[warm])
         if len(each):
             shift = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(windows[warm]) - windows[warm], windows[warm])
-            single = np.zeros((len(each), WIDE), np.uint8)
+            single = np.full((len(each), WIDE), 255, np.uint8)  # no byte of UTF-8, so never equal to a context
             single[:, :WINDOW] = rows[each[:, None], shift[:, None] + np.arange(WINDOW)]
             add(part[each], block.places[part[each]] - LEFT + shift, np.zeros(len(each), np.int64), np.ones(len(each), np.int64), single, None)
     h, one = np.unique(np.concatenate(distinct[0]), return_index=True)
