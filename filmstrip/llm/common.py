@@ -36,14 +36,15 @@ def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    shared, jvm = shared_dir(spark), spark._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del shared
+#: Rows that one partition of a narrow table takes.
+NARROW = 200_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
+    """A staged narrow table in as many partitions as its rows call for, and its rows:
+    a small one takes part in joins and sums without a shuffle."""
+    rows = df.count() if rows is None else rows
+    return df.coalesce(max(1, -(-rows // NARROW))), rows
 
 
 def total(df: DataFrame, what) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sized, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,23 +18,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     link."""
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     alone = edges.where("a = b").select("a")
-    edges = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges, rows = sized(staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     label = None
-    while not edges.isEmpty():
-        hooks = staged(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up")))
+    while rows:
+        hooks, n = sized(staged(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up"))))
         above = lambda: hooks.select(F.col("root").alias("up"), F.col("up").alias("top"))
         while not hooks.join(above(), "up", "left_semi").isEmpty():  # an up that isn't a root of this round
-            hooks = staged(hooks.join(above(), "up", "left").select("root", F.coalesce("top", "up").alias("up")))
+            hooks, n = sized(staged(hooks.join(above(), "up", "left").select("root", F.coalesce("top", "up").alias("up"))), n)
         to = lambda column, name: hooks.select(F.col("root").alias(column), F.col("up").alias(name))
-        if label is None:
-            label = to("id", "component").union(hooks.select("up", "up").distinct())
+        if label is None:  # every node is a root of this round or the smaller end of a link
+            nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+            label = nodes.join(to("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         else:
             label = label.join(to("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-        # a root that hooked nowhere and was nobody's smallest neighbour shows up later, as a component of its own ends
-        label = label.union(edges.select("a").distinct().join(label.select(F.col("id").alias("a")), "a", "left_anti").select("a", "a"))
-        label = staged(label)
+        label = sized(staged(label))[0]
         edges = edges.join(to("a", "top_a"), "a", "left").join(to("b", "top_b"), "b")
         edges = edges.select(F.coalesce("top_a", "a").alias("x"), F.col("top_b").alias("y")).where("x != y")
-        edges = staged(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges, rows = sized(staged(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     alone = alone.distinct().select(F.col("a").alias("id"), F.col("a").alias("component"))
     return alone if label is None else label.union(alone.join(label, "id", "left_anti"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import staged
+from .common import sized, staged
 from .components import components
 
 ROWS, BANDS, MANTISSA = 6, 40, 10
@@ -38,7 +38,7 @@ BUCKETS = ROWS * BANDS
 SLACK = 4.5
 #: Rounds with other leaders before the members of a band are compared with each other,
 #: and how many comparisons a member may cost, on average, to do that at once.
-ROUNDS, FEW = 3, 8
+ROUNDS, FEW = 3, 1
 _EMPTY = np.uint16(0xFFFF)
 
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sigs.select("id", "n", "key").join(classes, "key", "left")
     reps = staged(sigs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
 
-    bands = reps.select("id", F.explode("bands").alias("band"))
+    bands = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("leader")).where("m > 1").select("band", "leader")
     bands = staged(bands.join(shared, "band"), "bands")
 
@@ -197,26 +197,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = staged(_sets(needed, id_col, text_col, word, width), "sets")
 
     pairs = bands.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tested = staged(pairs, "pairs")
+    tested = sized(staged(pairs, "pairs"))[0]
     links = staged(verified(_promising(tested, reps, percent), sets, percent), "links")
     label = components(links)
     for turn in range(ROUNDS + 1):
-        now = bands.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        now = bands.select("band", "id", "n").join(label, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
         mixed = now.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "component")).alias("leader"))
         mixed = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("leader").alias("leader")).where("parts > 1")
-        mixed = staged(mixed, "mixed")
+        mixed = sized(staged(mixed, "mixed"))[0]
         rows, crossing = (x or 0 for x in mixed.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first())
         if not crossing:
             break
         last = turn == ROUNDS or crossing <= FEW * rows
         now = now.join(mixed.select("band", "leader"), "band")
         if last:
-            left, right = now.select("band", F.col("id").alias("x"), F.col("component").alias("c")), now.select("band", F.col("id").alias("y"), F.col("component").alias("d"))
-            far = left.join(right, "band").where("c < d").select("x", "y")
+            left, right = now.select("band", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("c")), now.select("band", F.col("id").alias("y"), "n", F.col("component").alias("d"))
+            far = left.join(right, "band").where(f"c < d and 100 * least(m, n) >= {percent} * greatest(m, n)").select("x", "y")
         else:
             far = now.where("component != leader.component").select(F.col("id").alias("x"), F.col("leader.id").alias("y"))
         pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = sized(staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"))[0]
         found = staged(verified(_promising(pairs, reps, percent), sets, percent), "links")
         tested = tested.union(pairs)
         if not found.isEmpty():
