@@ -40,7 +40,7 @@ WINDOW, GRAM = 50, 25
 GRAMS = WINDOW - GRAM + 1
 LEFT, RIGHT = WINDOW - GRAM, WINDOW
 WIDE = LEFT + RIGHT
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Occurrences of an anchor from which a block reports them, and their sum from which
 #: the anchor's windows are dealt by themselves.
 HEAVY, HOT = 64, 4096
@@ -93,6 +93,15 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Bytes of an array, compressed better than shuffles do it; the size comes first."""
+    return x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _bucket(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
@@ -243,8 +252,8 @@ def _strings(block: _Block, told: pa.Table, bits: int):
         for x, y in zip(distinct, (h[one], rows[one], marked[one, WIDE:], h[one] >> np.uint64(64 - bits) if route is None else route[one])):
             x.append(y)
 
-    for low in range(0, len(at), 1 << 15):
-        part, warm = at[low : low + (1 << 15)], hot[low : low + (1 << 15)]
+    for low in range(0, len(at), 1 << 14):
+        part, warm = at[low : low + (1 << 14)], hot[low : low + (1 << 14)]
         rows, first, windows = _contexts(block, part)
         cold = ~warm & (windows > 0)
         add(part[cold], block.places[part[cold]] - LEFT, first[cold], windows[cold], rows[cold], block.hashes[part[cold]])
@@ -274,7 +283,7 @@ def _send(buckets: int, bits: int):
         order = np.argsort(route, kind="stable")
         for k, part in _by_bucket(_bucket(route[order], buckets, bits)):
             i = order[part]
-            out.append((key[0].as_py(), k, i.astype(np.uint32).tobytes(), least[i].tobytes(), windows[i].tobytes(), text[i].tobytes()))
+            out.append((key[0].as_py(), k, i.astype(np.uint32).tobytes(), squeezed(least[i]), windows[i].tobytes(), squeezed(text[i])))
         return _table(SENT, out)
 
     return block
@@ -326,8 +335,8 @@ def _earlier(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndar
 
 def _decide(key, rows):
     """For the strings of a bucket, masks of the windows to cut."""
-    join = lambda c, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in rows.column(c)])
-    docs, windows, text = join("docs", np.int64), join("windows", np.uint8).reshape(-1, 2), join("bytes", np.uint8).reshape(-1, WIDE)
+    join = lambda c, t, plain=unsqueezed: np.concatenate([np.frombuffer(plain(x.as_py()), t) for x in rows.column(c)])
+    docs, windows, text = join("docs", np.int64), join("windows", np.uint8, bytes).reshape(-1, 2), join("bytes", np.uint8).reshape(-1, WIDE)
     h, one, where = np.unique(_row_hash(np.c_[text, windows]), return_index=True, return_inverse=True)
     least = np.full(len(h), np.iinfo(np.int64).max)
     np.minimum.at(least, where, docs)
@@ -341,7 +350,7 @@ def _decide(key, rows):
     order, begin = order[mixed], 0
     gram = gram[order]
     while begin < len(order):
-        end = min(len(order), begin + (1 << 16))
+        end = min(len(order), begin + (1 << 14))
         if end < len(order):
             low = begin + int(np.searchsorted(gram[begin:], gram[end]))
             end = low if low > begin else begin + int(np.searchsorted(gram[begin:], gram[end], "right"))
