@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, langid, toxicity
 from .common import table
+from .decontam import contaminated
+from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .suffixes import without_repeats
 from .vectors import near_vectors
+from .warc import round_trip
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +25,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = round_trip(table(spark, sf_dir, "pages"))
+    stored = F.col("type") == "response"
+    return read.select(
+        F.col("id").cast("long").alias("page_id"),
+        F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(~stored, F.col("refers_to").cast("long")).alias("refers_to"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,6 +51,26 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(hostile)))
 
 
+#: The vocabulary of language identification.
+PIECES = "piece_bpe_32k.model"
+
+
+def _part(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = tokenizer_path(PIECES)
+    langs, p = langid.fit(docs.where(_part(4) != 2), path, key=F.col("doc_id"))
+    found = langid.identify(docs, langs, p, path)
+    return found.select("doc_id", (_part(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = without_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,12 +84,30 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = docs.join(labels, "doc_id").where(_part(3) != 1)
+    model = toxicity.fit(labelled, "toxic", key=F.col("doc_id"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (_part(3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
+    "op4_langid": op4_langid,
+    "op5_licenses": op5_licenses,
     "op6_suffixes": op6_suffixes,
     "op7_minhash": op7_minhash,
     "op8_vectors": op8_vectors,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
