@@ -13,6 +13,7 @@ nothing in sequences.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +43,9 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        # the byte-level alphabet: bytes that print stand for themselves, the others for what follows 255
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: b if b in shown else 256 + n for n, b in enumerate(sorted(set(range(256)) - set(shown)) + shown)}
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -56,16 +60,15 @@ class WordCache:
 
     def _learn(self, chunks: set[str]) -> None:
         split = {c: self._pieces(c) for c in chunks}
-        runs = {r for p in split.values() if p for r in p} - self.runs.keys()
+        runs = {r for p in split.values() if p for r in p if r not in self.runs}
         whole = [c for c, p in split.items() if p is None]
         if len(self.runs) + len(runs) > self.RUNS:
             keep = {r: self.runs[r] for p in split.values() if p for r in p if r in self.runs}
             self.runs = keep
-        fresh = [*runs]
-        for low in range(0, len(fresh), 20_000):
-            part = fresh[low : low + 20_000]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.runs[r] = np.array(e.ids, "<u4").tobytes()
+        tokenize = self.tokenizer.model.tokenize
+        for r in runs:  # what the file's normaliser and pattern would hand to the model
+            ids = [t.id for t in tokenize(r.encode().decode("latin-1").translate(self.alphabet))]
+            self.runs[r] = struct.pack(f"<{len(ids)}I", *ids)
         for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
             self.chunks[c] = np.array(e.ids, "<u4").tobytes()
         get = self.runs.__getitem__
@@ -80,7 +83,7 @@ class WordCache:
             return b"".join(map(self.chunks.__getitem__, words))
         except KeyError:
             pass
-        fresh = set(words) - self.chunks.keys()
+        fresh = {w for w in words if w not in self.chunks}
         if len(self.chunks) + len(fresh) > self.CHUNKS:
             self.chunks.clear()
             fresh = set(words)
