@@ -19,7 +19,8 @@ the whole corpus; it is built in parts that can't miss a match:
 4. A bucket ranks all its strings of WINDOW bytes by prefix doubling, which is suffix
    order to that depth, ties in order of documents. The previous smaller document of a
    string then lies in its own rank if its previous factor has WINDOW bytes or more.
-5. Blocks cut what they are told to cut. Texts are shuffled once, to make the blocks.
+5. Blocks cut what they are told to cut. Texts are shuffled to make the blocks, in
+   compressed bundles, for 1 to 3 together and for the cut.
 
 Exact copies within a block never enter: the first stands for all.
 """
@@ -106,10 +107,32 @@ def _bucket(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _bundles(batches):
+    """Rows dealt into blocks, as one compressed bundle per block and batch."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows, out = batch.take(pa.array(order)), []
+        for k, part in _by_bucket(block[order]):
+            some = rows.slice(part.start, part.stop - part.start)
+            data, offsets = scan.bytes_of(some.column("text"))
+            out.append((k, some.column("id").to_numpy().tobytes(), offsets.tobytes(), squeezed(data)))
+        yield from _table(BUNDLES, out).to_batches()
+
+
+def _unbundled(rows: pa.Table) -> pa.Table:
+    parts = [pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.large_string())})]
+    for ids, offsets, text in zip(*(rows.column(c) for c in ("ids", "offsets", "text"))):
+        n = len(ids.as_py()) // 8
+        column = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.as_py()), pa.py_buffer(unsqueezed(text.as_py())))
+        parts.append(pa.table({"id": pa.array(np.frombuffer(ids.as_py(), np.int64)), "text": column}))
+    return pa.concat_tables(parts)
+
+
 def _ordered(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
     """A block's rows in order of document: those to look at, and exact copies of
     texts of smaller documents in the block."""
-    rows = rows.select(["id", "text"]).combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+    rows = _unbundled(rows).combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
     code = rows.column("text").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     ids = rows.column("id").to_numpy()
     first = np.unique(code, return_index=True)[1]
@@ -168,6 +191,7 @@ def _contexts(block: _Block, chosen: np.ndarray):
     return rows, first, np.maximum(windows, 0)
 
 
+BUNDLES = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("text", pa.binary())])
 PARTS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("heavy", pa.binary())])
 SHARED = pa.schema([("block", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())])
 #: To a bucket (or, with bucket -1, to the block itself): strings by their numbers in
@@ -334,7 +358,10 @@ def _earlier(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndar
 
 
 def _decide(key, rows):
-    """For the strings of a bucket, masks of the windows to cut."""
+    """For the strings of a bucket, masks of the windows to cut; what a block tells
+    itself goes on to it."""
+    if key[0].as_py() < 0:
+        return _table(CUTS, [(b, 0, x, y, z) for b, x, y, z in zip(*(rows.column(c).to_pylist() for c in ("block", "number", "docs", "bytes")))])
     join = lambda c, t, plain=unsqueezed: np.concatenate([np.frombuffer(plain(x.as_py()), t) for x in rows.column(c)])
     docs, windows, text = join("docs", np.int64), join("windows", np.uint8, bytes).reshape(-1, 2), join("bytes", np.uint8).reshape(-1, WIDE)
     h, one, where = np.unique(_row_hash(np.c_[text, windows]), return_index=True, return_inverse=True)
@@ -430,13 +457,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = max(1, -(-n // block_bytes))
     bits = max(32, min(55, n.bit_length() + 8))
     buckets = max(blocks, 12)
-    dealt = long.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    dealt = long.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).mapInArrow(_bundles, _ddl(BUNDLES))
     parts = dealt.groupBy("block").applyInArrow(_announce(buckets, bits, heavy), _ddl(PARTS))
     shared = parts.groupBy("bucket").applyInArrow(_compare(hot), _ddl(SHARED))
-    sent = staged(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send(buckets, bits), _ddl(SENT)), "contexts")
-    cuts = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_decide, _ddl(CUTS))
-    own = sent.where("bucket < 0").select("block", F.lit(0).cast("long").alias("kind"), F.col("number").alias("x"), F.col("docs").alias("y"), F.col("bytes").alias("z"))
-    told = cuts.union(own)
+    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send(buckets, bits), _ddl(SENT))
+    to = F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket"))
+    told = staged(sent.withColumn("to", to).groupBy("to").applyInArrow(_decide, _ddl(CUTS)), "cuts")
     done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut, KEPT)
     zero = F.lit(0).cast("long")
     whole = rows.where((F.col("n_bytes") < WINDOW) | F.col("id").isNull()).select("id", F.col("text").cast("binary").alias("kept"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"))
