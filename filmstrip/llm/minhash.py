@@ -12,7 +12,8 @@ At a similarity of 0.8 a band of 6 agrees with probability 0.26, so all 40 miss
 probability 5e-6; above, less. Equal sets are one class from the start and their
 members are never compared.
 
-Of a band's members each is compared with one leader first, round by round with
+After a first round, documents of which too much is in no other document that is still
+in question are set aside: they can't be linked. Of a band's members each is compared with one leader first, round by round with
 other leaders, and what is then in one component needs no more comparisons; only
 members of one band that are still in different components are compared with each
 other in the end. So no link between components is lost, and a large group of near
@@ -38,7 +39,7 @@ BUCKETS = ROWS * BANDS
 SLACK = 4.5
 #: Rounds with other leaders before the members of a band are compared with each other,
 #: and how many comparisons a member may cost, on average, to do that at once.
-ROUNDS, FEW = 3, 1
+ROUNDS, FEW = 2, 1
 _EMPTY = np.uint16(0xFFFF)
 
 
@@ -173,6 +174,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(batches, "a long, b long")
 
 
+def _hopeless(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``ids`` those that can't be linked with any other of them: of their sets, more
+    than a similarity of ``percent`` allows is in no other one's."""
+
+    def batches(it):
+        for batch in it:
+            sizes = [len(x.as_py()) // 8 for x in batch.column("hashes")]
+            h = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(h)], names=["id", "h"])
+
+    some = sets.join(ids, "id", "left_semi")
+    each = some.select("id", "hashes").mapInArrow(batches, "id long, h long")
+    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return some.select("id", (F.octet_length("hashes") / 8).alias("n")).join(alone, "id").where(f"100 * (n - alone) < {percent} * n").select("id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, word: np.ndarray = scan.NOT_SPACE) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -185,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     occur. Other columns are ignored."""
     sigs = staged(signatures(docs, id_col, text_col, word, width), "sigs")
     classes = sigs.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    members = sigs.select("id", "n", "key").join(classes, "key", "left")
+    members = sigs.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")
     reps = staged(sigs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
 
     bands = reps.select("id", "n", F.explode("bands").alias("band"))
@@ -200,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = sized(staged(pairs, "pairs"))[0]
     links = staged(verified(_promising(tested, reps, percent), sets, percent), "links")
     label = components(links)
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + 2):
         now = bands.select("band", "id", "n").join(label, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
         mixed = now.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "component")).alias("leader"))
         mixed = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("leader").alias("leader")).where("parts > 1")
@@ -208,7 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows, crossing = (x or 0 for x in mixed.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first())
         if not crossing:
             break
-        last = turn == ROUNDS or crossing <= FEW * rows
+        last = turn > ROUNDS or crossing <= FEW * rows
+        if turn == 0:  # what can't be linked at all needs no more comparisons
+            open_ = now.join(mixed.select("band"), "band").select("id").distinct()
+            bands = staged(bands.join(_hopeless(open_, sets, percent), "id", "left_anti"), "bands")
+            if not last:
+                continue
+            now = now.join(bands.select("id").distinct(), "id", "left_semi")
         now = now.join(mixed.select("band", "leader"), "band")
         if last:
             left, right = now.select("band", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("c")), now.select("band", F.col("id").alias("y"), "n", F.col("component").alias("d"))

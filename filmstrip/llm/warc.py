@@ -163,8 +163,8 @@ def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE) -
 
 def resolved(records: DataFrame) -> DataFrame:
     """``records`` with the payloads of revisits put back from what they refer to."""
-    responses = records.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload").alias("original"))
-    return records.join(responses, "refers_to", "left").withColumn("payload", F.coalesce("original", "payload")).select(*records.columns)
+    responses = records.where("type = 'response'").select(F.col("id").alias("refers_to"), "digest", F.col("payload").alias("original")).dropDuplicates(["refers_to", "digest"])
+    return records.join(responses, ["refers_to", "digest"], "left").withColumn("payload", F.coalesce("original", "payload")).select(*records.columns)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", **columns: str) -> DataFrame:
