@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -50,3 +51,21 @@ def sized(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
 def total(df: DataFrame, what) -> int:
     """A sum over the whole table, as one row."""
     return int(df.agg(F.sum(what)).first()[0] or 0)
+
+
+def released(f):
+    """``f``, after which memory that it no longer uses goes back to the machine: a
+    Python worker lives on between tasks and would keep it."""
+
+    def wrapped(*args):
+        import pyarrow as pa
+
+        out = f(*args)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no glibc here
+            pass
+        return out
+
+    return wrapped

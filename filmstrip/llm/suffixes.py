@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import staged, total
+from .common import released, staged, total
 
 WINDOW, GRAM = 50, 25
 #: Grams in a window, and the bytes of a context before and after an anchor's start.
@@ -42,6 +42,8 @@ GRAMS = WINDOW - GRAM + 1
 LEFT, RIGHT = WINDOW - GRAM, WINDOW
 WIDE = LEFT + RIGHT
 BLOCK = 8 << 20
+#: Bytes whose hashes are held at a time.
+STEP = 1 << 18
 #: Occurrences of an anchor from which a block reports them, and their sum from which
 #: the anchor's windows are dealt by themselves.
 HEAVY, HOT = 64, 4096
@@ -62,8 +64,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     places, hashes = [], []
     n = len(data) - GRAM + 1
     ends = offsets[1:]
-    for low in range(0, max(n, 0), scan.STEP):
-        high = min(n, low + scan.STEP)
+    for low in range(0, max(n, 0), STEP):
+        high = min(n, low + STEP)
         a, b = max(0, low - GRAMS), min(n, high + GRAMS)
         part = data[a : b + GRAM - 1]
         up, down = scan._power(len(part) + 1)
@@ -443,6 +445,16 @@ def _cut(key, rows, told):
     return pa.concat_tables([out, pa.Table.from_arrays(whole, schema=KEPT_SCHEMA)])
 
 
+def _grouped(f):
+    rest = released(f)
+    return lambda key, rows: rest(key, rows)
+
+
+def _cogrouped(f):
+    rest = released(f)
+    return lambda key, rows, told: rest(key, rows, told)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK, heavy: int = HEAVY, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, kept (the remaining bytes), n_bytes, n_removed,
     n_spans (maximal removed runs).
@@ -458,12 +470,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = max(32, min(55, n.bit_length() + 8))
     buckets = max(blocks, 12)
     dealt = long.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).mapInArrow(_bundles, _ddl(BUNDLES))
-    parts = dealt.groupBy("block").applyInArrow(_announce(buckets, bits, heavy), _ddl(PARTS))
-    shared = parts.groupBy("bucket").applyInArrow(_compare(hot), _ddl(SHARED))
-    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send(buckets, bits), _ddl(SENT))
+    parts = dealt.groupBy("block").applyInArrow(_grouped(_announce(buckets, bits, heavy)), _ddl(PARTS))
+    shared = parts.groupBy("bucket").applyInArrow(_grouped(_compare(hot)), _ddl(SHARED))
+    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cogrouped(_send(buckets, bits)), _ddl(SENT))
     to = F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket"))
-    told = staged(sent.withColumn("to", to).groupBy("to").applyInArrow(_decide, _ddl(CUTS)), "cuts")
-    done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut, KEPT)
+    told = staged(sent.withColumn("to", to).groupBy("to").applyInArrow(_grouped(_decide), _ddl(CUTS)), "cuts")
+    done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cogrouped(_cut), KEPT)
     zero = F.lit(0).cast("long")
     whole = rows.where((F.col("n_bytes") < WINDOW) | F.col("id").isNull()).select("id", F.col("text").cast("binary").alias("kept"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"))
     return done.union(whole).withColumnRenamed("id", id_col)
