@@ -84,13 +84,15 @@ class _Index:
             pairs = np.unique(np.concatenate([scan.shingle_hashes(self.words[k], 2) for k in members]))
             quick = np.zeros(1 << 22, bool)
             quick[(pairs >> np.uint64(42)).astype(np.int64)] = True
+            buffer = np.concatenate([self.words[k] for k in members])
+            base = np.cumsum([0] + [len(self.words[k]) for k in members])
+            places = [(k, at) for k in members for at in range(len(self.words[k]) - block + 1)]
+            starts = np.concatenate([b + np.arange(len(self.words[k]) - block + 1) for k, b in zip(members, base)])
             tables = []
             for r in range(REPEATS if edits else 1):
                 table: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for k in members:
-                    starts = np.arange(len(self.words[k]) - block + 1)
-                    for at, h in enumerate(embeddings(self.words[k], starts, block, r).tolist()):
-                        table[h].append((k, at))
+                for place, h in zip(places, embeddings(buffer, starts, block, r).tolist()):
+                    table[h].append(place)
                 tables.append((np.array(sorted(table), np.uint64), dict(table)))
             self.classes.append((block, edits, pairs, quick, tables))
 
@@ -149,6 +151,17 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return scan.shingle_hashes(h, 2)
 
 
+_indexes: dict[tuple, _Index] = {}
+
+
+def _index(items: tuple) -> _Index:
+    """A worker keeps the index of the pass it is in."""
+    if items not in _indexes:
+        _indexes.clear()
+        _indexes[items] = _Index(list(items))
+    return _indexes[items]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item in it: id, item, first_word, n_words,
     distance (edits in words, at most 0.2 per word of the item), of the nearest place,
@@ -168,8 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for n in range(passes):
         items = [tuple(r) for r in (wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n)).collect()]
 
-        def batches(it, items=sorted(items)):
-            index = _Index(items)
+        def batches(it, items=tuple(sorted(items))):
+            index = _index(items)
             for batch in it:
                 h, begin = scan.words(batch.column(1), scan.ALNUM)
                 ids = batch.column(0).to_pylist()
