@@ -34,7 +34,8 @@ class WordCache:
     word_bpe_49k: text between blanks is encoded by itself, and letters apart from
     other characters where that is what the file's own pattern does."""
 
-    CHUNKS, RUNS = 150_000, 400_000
+    #: Entries of either cache, and the characters of the longest that stays in it.
+    CHUNKS, RUNS, LONG = 800_000, 800_000, 48
 
     def __init__(self, path: str):
         import regex
@@ -63,8 +64,7 @@ class WordCache:
         runs = {r for p in split.values() if p for r in p if r not in self.runs}
         whole = [c for c, p in split.items() if p is None]
         if len(self.runs) + len(runs) > self.RUNS:
-            keep = {r: self.runs[r] for p in split.values() if p for r in p if r in self.runs}
-            self.runs = keep
+            self.runs = {r: self.runs[r] for p in split.values() if p for r in p if r in self.runs}
         tokenize = self.tokenizer.model.tokenize
         for r in runs:  # what the file's normaliser and pattern would hand to the model
             ids = [t.id for t in tokenize(r.encode().decode("latin-1").translate(self.alphabet))]
@@ -75,6 +75,9 @@ class WordCache:
         for c, p in split.items():
             if p is not None:
                 self.chunks[c] = b"".join(map(get, p))
+        for r in runs:
+            if len(r) > self.LONG:
+                del self.runs[r]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -88,7 +91,11 @@ class WordCache:
             self.chunks.clear()
             fresh = set(words)
         self._learn(fresh)
-        return b"".join(map(self.chunks.__getitem__, words))
+        out = b"".join(map(self.chunks.__getitem__, words))
+        for w in fresh:
+            if len(w) > self.LONG:
+                del self.chunks[w]
+        return out
 
 
 _caches: dict[str, WordCache] = {}
