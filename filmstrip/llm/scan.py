@@ -80,12 +80,13 @@ def _cuts(data: np.ndarray, word: np.ndarray, offsets: np.ndarray) -> list[int]:
     return cuts
 
 
-def words(column: pa.Array, word: np.ndarray, places: bool = False):
+def words(column: pa.Array, word: np.ndarray, places: bool = False, prefix: int = 0):
     """64-bit hashes of the lower-cased words of all rows, in order, and where each
     row's begin; with ``places`` also each word's first byte and the byte behind
-    it, in the column's buffer."""
+    it, in the column's buffer; with ``prefix`` a hash of each word's first so many
+    bytes instead."""
     data, offsets = bytes_of(column)
-    hashes, firsts, lasts = [], [], []
+    hashes, firsts, lasts, heads = [], [], [], []
     cuts = _cuts(data, word[LOWER], offsets)
     for low, high in zip(cuts, cuts[1:]):
         part = LOWER[data[low:high]]
@@ -102,11 +103,15 @@ def words(column: pa.Array, word: np.ndarray, places: bool = False):
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_BYTE[part] * up[: high - low], out=sums[1:])
         hashes.append(mix((sums[b] - sums[a]) * down[a]))
+        if prefix:
+            heads.append(mix((sums[np.minimum(b, a + prefix)] - sums[a]) * down[a]))
         firsts.append(a + low)
         lasts.append(b + low)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     a = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
     begin = np.searchsorted(a, offsets)
+    if prefix:
+        return h, begin, np.concatenate(heads) if heads else h
     if places:
         return h, begin, a, (np.concatenate(lasts) if lasts else np.zeros(0, np.int64))
     return h, begin
