@@ -31,6 +31,27 @@ RANGE, HEAD, BATCH = 8 << 20, 1 << 16, 8 << 20
 REVISIT = 100
 
 
+def _squeezed(batches):
+    """Payloads compressed one by one, so that shuffling them takes less room."""
+    for batch in batches:
+        html = [pa.compress(x.as_buffer(), codec="zstd", asbytes=True) for x in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(html, pa.binary())], names=batch.schema.names)
+
+
+def _texts(batches):
+    """Head, and behind it the payload where there is to be one."""
+    for batch in batches:
+        out, held = [], 0
+        for head, n, html in zip(batch.column("head"), batch.column("stored"), batch.column("html")):
+            payload = pa.decompress(html.as_buffer(), decompressed_size=n.as_py(), codec="zstd", asbytes=True).decode() if n.as_py() else ""
+            out.append(head.as_py() + BREAK + payload)
+            held += len(payload)
+            if held >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                out, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = REVISIT) -> None:
     """Writes one record per row of ``pages``.
 
@@ -42,7 +63,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
     keys = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).where(F.octet_length("html") >= least)
     firsts = keys.groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left")
+    names = ["id", "url", "digest", "bytes", "html"]
+    kinds = dict(rows.dtypes) | {"html": "binary"}
+    rows = rows.select(*names).mapInArrow(_squeezed, ", ".join(f"{n} {kinds[n]}" for n in names)).join(firsts, "digest", "left")
     again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -58,7 +81,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("Content-Length: "),
         F.when(again, 0).otherwise(F.col("bytes")).cast("string"),
     )
-    rows.select(F.concat(head, F.lit(BREAK), F.when(again, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", BREAK).text(path)
+    stored = F.when(again, 0).otherwise(F.col("bytes")).alias("stored")
+    rows.select(head.alias("head"), stored, "html").mapInArrow(_texts, "value string").write.option("lineSep", BREAK).text(path)
 
 
 def _opened(path: str):
@@ -89,14 +113,14 @@ def _candidates(data: bytes, base: int, size: int) -> list[tuple[int, int]]:
 
 def _edges(batches):
     for batch in batches:
-        for path, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+        for number, path, low, high in zip(*(c.to_pylist() for c in batch.columns)):
             with _opened(path) as f:
                 f.seek(low)
                 found = _candidates(f.read(high - low + HEAD), low, high - low)
             out = dict(found)
             for at, after in reversed(found):  # the successor's own way out is known
                 out[at] = out.get(after, after)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(out), pa.string()), pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["path", "at", "out"])
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(out), pa.int64()), pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["file", "at", "out"])
 
 
 def _record(head: bytes) -> dict[str, str]:
@@ -141,23 +165,23 @@ def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE) -
     A chain ends where no record follows; what lies behind is not reached. Empty files
     and an empty folder have no records. Header fields that are missing are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")
-    files = staged(files, "files")
+    files = staged(files.select(F.xxhash64("path").alias("file"), "path", "length"), "files")
     most = files.agg(F.max("length"), F.sum("length")).first()
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("low"), "length")
-    ranges = ranges.select("path", "low", F.least(F.col("low") + range_bytes, "length").alias("high"))
+    ranges = files.select("file", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("low"), "length")
+    ranges = ranges.select("file", "path", "low", F.least(F.col("low") + range_bytes, "length").alias("high"))
     tasks = max(1, math.ceil((most[1] or 0) / range_bytes))
     spread = ranges.repartition(tasks, "path", "low")
-    jumps = staged(spread.mapInArrow(_edges, "path string, at long, out long"), "edges")
-    reached = jumps.where("at = 0").select("path", "at")
+    jumps = staged(spread.mapInArrow(_edges, "file long, at long, out long"), "edges")
+    reached = jumps.where("at = 0").select("file", "at")
     rounds = math.ceil(math.log2(max(1, math.ceil((most[0] or 1) / range_bytes)))) + 1
     for n in range(rounds):
-        reached = staged(reached.union(reached.join(jumps, ["path", "at"]).select("path", F.col("out").alias("at"))).distinct(), "reached")
+        reached = staged(reached.union(reached.join(jumps, ["file", "at"]).select("file", F.col("out").alias("at"))).distinct(), "reached")
         if n + 1 < rounds:
-            further = jumps.select("path", F.col("at").alias("out"), F.col("out").alias("beyond"))
-            jumps = staged(jumps.join(further, ["path", "out"], "left").select("path", "at", F.coalesce("beyond", "out").alias("out")), "jumps")
-    entries = reached.join(jumps.select("path", "at"), ["path", "at"], "left_semi")
+            further = jumps.select("file", F.col("at").alias("out"), F.col("out").alias("beyond"))
+            jumps = staged(jumps.join(further, ["file", "out"], "left").select("file", "at", F.coalesce("beyond", "out").alias("out")), "jumps")
+    entries = reached.join(jumps.select("file", "at"), ["file", "at"], "left_semi")
     entries = entries.withColumn("low", F.col("at") - F.col("at") % range_bytes)
-    found = ranges.join(entries.groupBy("path", "low").agg(F.min("at").alias("at")), ["path", "low"]).select("path", "at", "high")
+    found = ranges.join(entries.groupBy("file", "low").agg(F.min("at").alias("at")), ["file", "low"]).select("path", "at", "high")
     return found.repartition(tasks, "path", "at").mapInArrow(_records, ", ".join(f"`{n}` {t}" for n, t in zip(_FIELDS, ["string", "long", "string", "string", "string", "string", "long", "string", "binary"])))
 
 
