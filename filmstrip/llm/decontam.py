@@ -74,6 +74,7 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [scan.word_hash(t or "", scan.ALNUM) for _, t in items]
+        self.lists = [w.tolist() for w in self.words]
         self.classes = []
         done = 10**9
         for shortest, block, edits in CLASSES:
@@ -125,6 +126,7 @@ class _Index:
         """(row, item, first word, words, distance), the nearest place of each item in
         each row, verified."""
         by: dict[tuple[int, int], list[int]] = defaultdict(list)
+        lists = self.lists
         for k, s in self.candidates(h, begin):
             row = int(np.searchsorted(begin, max(s, 0), "right")) - 1
             for r in {row, min(row + 1, len(begin) - 2)} if s < begin[row] + 1 or s + len(self.words[k]) > begin[row + 1] else {row}:
@@ -140,6 +142,9 @@ class _Index:
                 low, high = max(int(begin[row]), s - most), min(int(begin[row + 1]), s + 2 * most + n)
                 if high <= low:
                     continue
+                near = set(h[low:high].tolist())
+                if sum(w in near for w in lists[k]) < n - most:  # each word that isn't there is an edit
+                    continue
                 d, a, b = edit_distance(item, h[low:high])
                 if d <= most and (best is None or d < best[0]):
                     best = (d, low + a - int(begin[row]), b - a)
