@@ -1,15 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
+"""Benchmark decontamination: exact pieces of items, exact edit distance.
 
 Texts are words (ASCII lower case, letters, digits and all beyond ASCII). A benchmark
 item is looked for with at most 0.2 edits per word of it, in windows of its own size.
-By the pigeonhole principle some run of ``block`` words of an item that occurs so has
-at most ``edits`` of them. All runs of items, and the runs of documents that share
-enough word pairs with the benchmark for that (the q-gram lemma: an edit spoils two
-pairs at most, so this loses nothing), are embedded by CGK's random walk: at each step
-the word at the walk's place is written, and a random bit of the step and the word says
-whether the walk moves on. Few edits then change few written words. Samples of written
-places are hashed, ``REPEATS`` times with other walks and places; equal hashes are
-candidates, whose item-sized windows are verified by exact edit distance.
+An item of 12 words or more that may have k edits is cut into k + 1 pieces of about
+equal length, four words mostly. Each edit spoils one piece at most, so wherever the
+item occurs one of its pieces stands unchanged, and looking up all pieces loses nothing.
+Of these places those are verified by exact edit distance whose window shares enough
+word pairs with the benchmark (the q-gram lemma: an edit spoils two pairs at most, so
+this loses nothing either).
+
+Shorter items are looked for in blocks of ``block`` words with at most ``edits`` edits,
+embedded by CGK's random walk: at each step the word at the walk's place is written, and
+a random bit of the step and the word says whether the walk moves on. Few edits then
+change few written words. Samples of written places are hashed, ``REPEATS`` times with
+other walks and places; equal hashes are candidates.
 """
 
 from __future__ import annotations
@@ -23,12 +27,16 @@ from pyspark.sql import functions as F
 
 from . import scan
 
-#: (words of the shortest item, words of a block, edits in a block).
-CLASSES = ((12, 12, 2), (8, 8, 1), (3, 3, 0))
+#: Words of the shortest item that is looked for by its pieces.
+PIECES = 12
+#: (words of the shortest item, words of a block, edits in a block), for shorter items.
+CLASSES = ((8, 8, 1), (3, 3, 0))
 SHARE = 0.2
 REPEATS, SAMPLES = 24, 4
 #: Items that one pass carries to the tasks, and their bytes; more go in more passes.
 PASS_ITEMS, PASS_BYTES = 20_000, 64 << 20
+#: Candidates that are looked at in one step.
+STEP = 1 << 18
 
 
 def embeddings(words: np.ndarray, starts: np.ndarray, block: int, repeat: int) -> np.ndarray:
@@ -68,15 +76,45 @@ def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(begin[end]), end
 
 
+def pieces(n: int, most: int) -> list[tuple[int, int]]:
+    """(begin, end) of the pieces of an item of ``n`` words, of which ``most`` edits
+    leave one unchanged."""
+    return [(i * n // (most + 1), (i + 1) * n // (most + 1)) for i in range(most + 1)]
+
+
+def _longer(runs: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, from those of the runs one word shorter."""
+    return scan.mix(runs[: len(h) - width + 1] * np.uint64(0xD6E8FEB86659FD93) + h[width - 1 :])
+
+
+class _Keys:
+    """Sorted hashes, and which of many others are among them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.keys = np.unique(hashes)
+        self.quick = np.zeros(1 << 22, bool)
+        self.quick[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``h``, number of the key) of those found."""
+        at = np.flatnonzero(self.quick[(h >> np.uint64(42)).astype(np.int64)])
+        n = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[n] == h[at]
+        return at[same], n[same]
+
+
 class _Index:
-    """Items, their word pairs, and the sampled embeddings of their blocks."""
+    """Items, their word pairs and pieces, and the sampled embeddings of short items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [scan.word_hash(t or "", scan.ALNUM) for _, t in items]
         self.lists = [w.tolist() for w in self.words]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.most = (SHARE * self.sizes).astype(np.int64)
+        self._cut([k for k, n in enumerate(self.sizes.tolist()) if n >= PIECES])
         self.classes = []
-        done = 10**9
+        done = PIECES
         for shortest, block, edits in CLASSES:
             members = [k for k, w in enumerate(self.words) if shortest <= len(w) < done]
             done = shortest
@@ -97,11 +135,70 @@ class _Index:
                 tables.append((np.array(sorted(table), np.uint64), dict(table)))
             self.classes.append((block, edits, pairs, quick, tables))
 
+    def _cut(self, members: list[int]) -> None:
+        """Keys of the members' pairs, and by width those of their pieces, with the
+        pieces of each key: where they begin in ``item`` and ``place``."""
+        self.by_width: dict[int, tuple[_Keys, np.ndarray, np.ndarray, np.ndarray]] = {}
+        if not members:
+            return
+        buffer = np.concatenate([self.words[k] for k in members])
+        base = np.cumsum([0] + [len(self.words[k]) for k in members])
+        places = defaultdict(list)
+        for k, at in zip(members, base.tolist()):
+            for a, b in pieces(int(self.sizes[k]), int(self.most[k])):
+                places[b - a].append((at + a, k, a))
+        runs = buffer
+        for width in range(2, max(places) + 1):
+            runs = _longer(runs, buffer, width)
+            if width == 2:
+                self.pairs = _Keys(np.delete(runs, base[1:-1] - 1))
+            if width in places:
+                at, item, place = np.array(places[width]).T
+                order = np.argsort(runs[at], kind="stable")
+                keys = _Keys(runs[at])
+                first = np.r_[np.searchsorted(runs[at][order], keys.keys), len(at)]
+                self.by_width[width] = (keys, first, item[order], place[order])
+
+    def _whole(self, h: np.ndarray, begin: np.ndarray):
+        """Arrays of item and place as in ``candidates``, by pieces."""
+        if not self.by_width or len(h) < 2:
+            return
+        runs = h
+        for width in range(2, min(max(self.by_width), len(h)) + 1):
+            runs = _longer(runs, h, width)
+            if width == 2:
+                hit = np.zeros(len(runs), bool)
+                hit[self.pairs.find(runs)[0]] = True
+                inner = begin[1:-1]
+                hit[inner[(inner > 0) & (inner < len(h))] - 1] = False  # pairs across rows
+                sums = np.r_[0, np.cumsum(hit)]
+            if width not in self.by_width:
+                continue
+            keys, first, items, places = self.by_width[width]
+            at, n = keys.find(runs)
+            row = np.searchsorted(begin, at, "right") - 1
+            inside = at + width <= begin[row + 1]
+            at, n, row = at[inside], n[inside], row[inside]
+            many = first[n + 1] - first[n]
+            steps = np.cumsum(many) // STEP
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(steps)) + 1) if len(at) else []:
+                m = many[part]
+                j = np.arange(m.sum()) + np.repeat(first[n[part]] - np.cumsum(m) + m, m)
+                k, s, r = items[j], np.repeat(at[part], m) - places[j], np.repeat(row[part], m)
+                low = np.maximum(s - self.most[k], begin[r])
+                high = np.minimum(s + self.sizes[k] + self.most[k], begin[r + 1])
+                enough = sums[high - 1] - sums[low] >= self.sizes[k] - 1 - 2 * self.most[k]
+                yield k[enough], s[enough]
+
     def candidates(self, h: np.ndarray, begin: np.ndarray):
         """(item, place in the buffer where it would begin), for rows of words."""
         out: set[tuple[int, int]] = set()
         if len(h) < 2:
             return out
+        for k, s in self._whole(h, begin):
+            out.update(zip(k.tolist(), s.tolist()))
+        if not self.classes:
+            return out
         pair = _pairs(h)
         inner = begin[1:-1]
         inner = inner[(inner > 0) & (inner < len(h))]

@@ -351,6 +351,56 @@ def test_decontamination(spark):
     assert decontam.contaminated(spark.createDataFrame(rows, DOC), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def edits(words, places, r, kinds):
+    """``words`` with one edit each at ``places``."""
+    out = list(words)
+    for i in sorted(places, reverse=True):
+        kind = r.choice(kinds)
+        out[i : i + 1] = {"change": [f"new{r.randrange(10**9)}"], "drop": [], "add": [f"new{r.randrange(10**9)}", out[i]]}[kind]
+    return out
+
+
+def all_hits(items, rows):
+    """Hits of an index, and those of the edit distance over whole rows."""
+    import pyarrow as pa
+
+    h, begin = scan.words(pa.array(rows), scan.ALNUM)
+    index = decontam._Index(list(enumerate(items)))
+    want = set()
+    for k, item in enumerate(index.words):
+        for r in range(len(rows)):
+            d, a, b = decontam.edit_distance(item, h[begin[r] : begin[r + 1]])
+            if d <= int(decontam.SHARE * len(item)):
+                want.add((r, k, a, b - a, d))
+    return set(index.hits(h, begin)), want
+
+
+def full_budget(lengths, each):
+    """Items of all lengths, and rows with them after as many edits as they may have."""
+    r, items, rows = random.Random(8), [], []
+    for n in lengths:
+        item = text(n, 7000 + n).split()
+        items.append(" ".join(item))
+        most = int(decontam.SHARE * n)
+        spread = [(2 * i + 1) * n // (2 * most) for i in range(most)]
+        for t in range(each):
+            found = edits(item, r.sample(range(n), most) if t else spread, r, ["change", "drop", "add"] if t % 4 == 3 else ["change"])
+            rows.append(" ".join([text(r.randint(1, 12), r.random()), *found, text(r.randint(1, 12), r.random())]))
+    return items, rows
+
+
+def test_long_items_at_full_budget():
+    got, want = all_hits(*full_budget(range(12, 61), 12))
+    assert got == want and len(got) >= 49 * 12
+
+
+def test_spread_edits(spark):
+    item = [f"w{i}" for i in range(15)]
+    found = [f"x{i}" if i in (4, 7, 10) else w for i, w in enumerate(item)]
+    got = decontam.contaminated(spark.createDataFrame([(1, "a b " + " ".join(found) + " c")], DOC), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(g) for g in got] == [(1, 1, 2, 15, 3)]
+
+
 def test_edit_distance():
     r = np.random.default_rng(4)
     for _ in range(40):
