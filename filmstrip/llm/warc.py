@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import scratch, staged
 
 BREAK = "\r\n\r\n"
-#: Bytes of a range, bytes a header may have, and bytes of payload in one batch.
+#: Bytes of a range, bytes read for a header (and more where it is longer), and bytes
+#: of records in one batch.
 RANGE, HEAD, BATCH = 8 << 20, 1 << 16, 8 << 20
 #: Payload bytes from which equal payloads are stored once.
 REVISIT = 100
@@ -45,7 +46,7 @@ def _texts(batches):
         for head, n, html in zip(batch.column("head"), batch.column("stored"), batch.column("html")):
             payload = pa.decompress(html.as_buffer(), decompressed_size=n.as_py(), codec="zstd", asbytes=True).decode() if n.as_py() else ""
             out.append(head.as_py() + BREAK + payload)
-            held += len(payload)
+            held += len(head.as_py()) + len(payload)
             if held >= BATCH:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
                 out, held = [], 0
@@ -97,15 +98,35 @@ _MAGIC = re.compile(rb"WARC/\d\.\d\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)", re.I)
 
 
-def _candidates(data: bytes, base: int, size: int) -> list[tuple[int, int]]:
+def _blank(f, data: bytes, at: int) -> tuple[bytes, int]:
+    """``data`` with as much more of ``f`` as it takes to find the first empty line
+    from ``at`` on, and where that is; -1 if there is none up to the file's end."""
+    end = data.find(b"\r\n\r\n", at)
+    while end < 0:
+        more = f.read(max(HEAD, len(data)))
+        if not more:
+            break
+        seen = max(at, len(data) - 3)
+        data += more
+        end = data.find(b"\r\n\r\n", seen)
+    return data, end
+
+
+def _candidates(f, base: int, size: int) -> list[tuple[int, int]]:
     """(offset, successor's offset) of what looks like a record and starts in the
-    first ``size`` bytes."""
-    out = []
-    for m in _MAGIC.finditer(data):
+    ``size`` bytes of ``f`` from ``base`` on."""
+    f.seek(base)
+    data = first = f.read(size + HEAD)
+    out, end, length, looked = [], -1, None, -1
+    for m in _MAGIC.finditer(first):
         if m.start() >= size:
             break
-        end = data.find(b"\r\n\r\n", m.start(), m.start() + HEAD)
-        length = end >= 0 and _LENGTH.search(data, m.start(), end + 2)
+        if end < m.start():
+            data, end = _blank(f, data, m.start())
+            if end < 0:
+                break
+        if looked != end or (length and length.start() < m.start()):  # else it's the same for this one
+            length, looked = _LENGTH.search(data, m.start(), end + 2), end
         if length:
             out.append((base + m.start(), base + end + 4 + int(length[1]) + 4))
     return out
@@ -115,8 +136,7 @@ def _edges(batches):
     for batch in batches:
         for number, path, low, high in zip(*(c.to_pylist() for c in batch.columns)):
             with _opened(path) as f:
-                f.seek(low)
-                found = _candidates(f.read(high - low + HEAD), low, high - low)
+                found = _candidates(f, low, high - low)
             out = dict(found)
             for at, after in reversed(found):  # the successor's own way out is known
                 out[at] = out.get(after, after)
@@ -141,8 +161,7 @@ def _records(batches):
             with _opened(path) as f:
                 while at < high:
                     f.seek(at)
-                    data = f.read(HEAD)
-                    end = data.find(b"\r\n\r\n")
+                    data, end = _blank(f, f.read(HEAD), 0)
                     h = _record(data[:end])
                     n = int(h["content-length"])
                     f.seek(at + end + 4)
@@ -150,7 +169,7 @@ def _records(batches):
                     length = h.get("warc-payload-length")
                     rows.append((path, at, h.get("warc-type"), name(h.get("warc-record-id")), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None, int(length) if length else None, name(h.get("warc-refers-to")), payload))
                     at += end + 4 + n + 4
-                    held += n
+                    held += end + n
                     if held >= BATCH:
                         yield pa.RecordBatch.from_pylist([dict(zip(_FIELDS, r)) for r in rows], schema=_READ)
                         rows, held = [], 0

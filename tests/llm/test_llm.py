@@ -212,6 +212,16 @@ def test_archives(spark):
         assert all(g.digest == hashlib.sha256(bytes(g.payload)).hexdigest() and g.payload_length == len(g.payload) for g in got)
 
 
+def test_archives_with_long_headers(spark):
+    fake = "WARC/1.1\r\nX: y\r\n" * 3000 + "Content-Length: 7\r\n" + "z" * 90_000
+    pages = [(1, "u", "a" * 50_000), (2, "v" * 200_000, "b" * 30), (3, "u", "c" * 50_000), (4, "é" * 100_000, None), (5, "w" * 65_400, "d" * 300), (6, "x" * 200_000, fake), (7, "u", "e"), (8, "y" * 1_000_000, "c" * 50_000)]
+    path = warc.scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    for size in (8 << 20, 100_000, 7_000):
+        got = warc.resolved(warc.read_archives(spark, path, range_bytes=size)).collect()
+        assert sorted((int(g.id), g.url, bytes(g.payload).decode()) for g in got) == [(i, u, h or "") for i, u, h in pages]
+
+
 def test_archives_query(spark):
     first, want = {}, {}
     for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect():
