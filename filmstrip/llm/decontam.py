@@ -2,18 +2,12 @@
 
 Texts are words (ASCII lower case, letters, digits and all beyond ASCII). A benchmark
 item is looked for with at most 0.2 edits per word of it, in windows of its own size.
-An item of 12 words or more that may have k edits is cut into k + 1 pieces of about
-equal length, four words mostly. Each edit spoils one piece at most, so wherever the
-item occurs one of its pieces stands unchanged, and looking up all pieces loses nothing.
-Of these places those are verified by exact edit distance whose window shares enough
-word pairs with the benchmark (the q-gram lemma: an edit spoils two pairs at most, so
-this loses nothing either).
-
-Shorter items are looked for in blocks of ``block`` words with at most ``edits`` edits,
-embedded by CGK's random walk: at each step the word at the walk's place is written, and
-a random bit of the step and the word says whether the walk moves on. Few edits then
-change few written words. Samples of written places are hashed, ``REPEATS`` times with
-other walks and places; equal hashes are candidates.
+An item that may have k edits is cut into k + 1 pieces of about equal length, two to
+five words. Each edit spoils one piece at most, so wherever the item occurs one of its
+pieces stands unchanged, and looking up all pieces loses nothing. Of these places those
+are verified by exact edit distance whose window shares enough word pairs with the
+benchmark (the q-gram lemma: an edit spoils two pairs at most, so this loses nothing
+either).
 """
 
 from __future__ import annotations
@@ -27,35 +21,15 @@ from pyspark.sql import functions as F
 
 from . import scan
 
-#: Words of the shortest item that is looked for by its pieces.
-PIECES = 12
-#: (words of the shortest item, words of a block, edits in a block), for shorter items.
-CLASSES = ((8, 8, 1), (3, 3, 0))
+#: Words of the shortest item.
+SHORTEST = 3
 SHARE = 0.2
-REPEATS, SAMPLES = 24, 4
 #: Items that one pass carries to the tasks, and their bytes; more go in more passes.
 PASS_ITEMS, PASS_BYTES = 20_000, 64 << 20
 #: Candidates that are looked at in one step.
 STEP = 1 << 18
 
 
-def embeddings(words: np.ndarray, starts: np.ndarray, block: int, repeat: int) -> np.ndarray:
-    """Hashes of sampled places of the CGK embeddings of runs of ``block`` words."""
-    rng = np.random.default_rng([block, repeat])
-    steps = 2 * block
-    picks = set(rng.choice(steps, SAMPLES, replace=False).tolist())
-    salts = rng.integers(0, 1 << 63, steps, dtype=np.uint64)
-    at = np.zeros(len(starts), np.int64)
-    h = np.full(len(starts), repeat + 1, np.uint64)
-    padded = np.append(words, np.uint64(0))
-    for j in range(max(picks) + 1):
-        here = padded[np.where(at < block, starts + at, len(words))]
-        if j in picks:
-            h = scan.mix(h * np.uint64(0xD6E8FEB86659FD93) + here)
-        at += (scan.mix(here ^ salts[j]) >> np.uint64(63)).astype(np.int64)
-    return h
-
-
 def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """(distance, begin, end) of the run of ``words`` nearest to ``item``: as few edits
     as possible, then the first end, then the longest such run."""
@@ -104,7 +78,7 @@ class _Keys:
 
 
 class _Index:
-    """Items, their word pairs and pieces, and the sampled embeddings of short items."""
+    """Items, their word pairs and their pieces."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -112,28 +86,7 @@ class _Index:
         self.lists = [w.tolist() for w in self.words]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.most = (SHARE * self.sizes).astype(np.int64)
-        self._cut([k for k, n in enumerate(self.sizes.tolist()) if n >= PIECES])
-        self.classes = []
-        done = PIECES
-        for shortest, block, edits in CLASSES:
-            members = [k for k, w in enumerate(self.words) if shortest <= len(w) < done]
-            done = shortest
-            if not members:
-                continue
-            pairs = np.unique(np.concatenate([scan.shingle_hashes(self.words[k], 2) for k in members]))
-            quick = np.zeros(1 << 22, bool)
-            quick[(pairs >> np.uint64(42)).astype(np.int64)] = True
-            buffer = np.concatenate([self.words[k] for k in members])
-            base = np.cumsum([0] + [len(self.words[k]) for k in members])
-            places = [(k, at) for k in members for at in range(len(self.words[k]) - block + 1)]
-            starts = np.concatenate([b + np.arange(len(self.words[k]) - block + 1) for k, b in zip(members, base)])
-            tables = []
-            for r in range(REPEATS if edits else 1):
-                table: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for place, h in zip(places, embeddings(buffer, starts, block, r).tolist()):
-                    table[h].append(place)
-                tables.append((np.array(sorted(table), np.uint64), dict(table)))
-            self.classes.append((block, edits, pairs, quick, tables))
+        self._cut([k for k, n in enumerate(self.sizes.tolist()) if n >= SHORTEST])
 
     def _cut(self, members: list[int]) -> None:
         """Keys of the members' pairs, and by width those of their pieces, with the
@@ -159,8 +112,9 @@ class _Index:
                 first = np.r_[np.searchsorted(runs[at][order], keys.keys), len(at)]
                 self.by_width[width] = (keys, first, item[order], place[order])
 
-    def _whole(self, h: np.ndarray, begin: np.ndarray):
-        """Arrays of item and place as in ``candidates``, by pieces."""
+    def candidates(self, h: np.ndarray, begin: np.ndarray):
+        """Arrays of item and place in the buffer where it would begin, for rows of
+        words; a place can come more than once."""
         if not self.by_width or len(h) < 2:
             return
         runs = h
@@ -190,41 +144,12 @@ class _Index:
                 enough = sums[high - 1] - sums[low] >= self.sizes[k] - 1 - 2 * self.most[k]
                 yield k[enough], s[enough]
 
-    def candidates(self, h: np.ndarray, begin: np.ndarray):
-        """(item, place in the buffer where it would begin), for rows of words."""
-        out: set[tuple[int, int]] = set()
-        if len(h) < 2:
-            return out
-        for k, s in self._whole(h, begin):
-            out.update(zip(k.tolist(), s.tolist()))
-        if not self.classes:
-            return out
-        pair = _pairs(h)
-        inner = begin[1:-1]
-        inner = inner[(inner > 0) & (inner < len(h))]
-        for block, edits, pairs, quick, tables in self.classes:
-            if len(h) < block:
-                continue
-            hit = quick[(pair >> np.uint64(42)).astype(np.int64)]
-            at = np.flatnonzero(hit)
-            hit[at] = pairs[np.minimum(np.searchsorted(pairs, pair[at]), len(pairs) - 1)] == pair[at]
-            hit[inner - 1] = False  # pairs across rows
-            sums = np.r_[0, np.cumsum(hit)]
-            enough = sums[block - 1 :] - sums[: len(sums) - block + 1] >= block - 1 - 2 * edits
-            starts = np.flatnonzero(enough)
-            for r, (keys, table) in enumerate(tables):
-                e = embeddings(h, starts, block, r)
-                found = keys[np.minimum(np.searchsorted(keys, e), len(keys) - 1)] == e
-                for s, x in zip(starts[found].tolist(), e[found].tolist()):
-                    out.update((k, s - at) for k, at in table[x])
-        return out
-
     def hits(self, h: np.ndarray, begin: np.ndarray):
         """(row, item, first word, words, distance), the nearest place of each item in
         each row, verified."""
         by: dict[tuple[int, int], list[int]] = defaultdict(list)
         lists = self.lists
-        for k, s in self.candidates(h, begin):
+        for k, s in {c for found in self.candidates(h, begin) for c in zip(*(x.tolist() for x in found))}:
             row = int(np.searchsorted(begin, max(s, 0), "right")) - 1
             for r in {row, min(row + 1, len(begin) - 2)} if s < begin[row] + 1 or s + len(self.words[k]) > begin[row + 1] else {row}:
                 by[r, k].append(s)
@@ -249,10 +174,6 @@ class _Index:
                 yield row, self.ids[k], best[1], best[2], best[0]
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    return scan.shingle_hashes(h, 2)
-
-
 _indexes: dict[tuple, _Index] = {}
 
 
@@ -270,10 +191,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ties going to the first.
 
     Null and empty texts and items, and items under three words, are never found; items
-    under eight words only without edits, with fewer than twelve with one edit in eight
-    words. Repeated documents have rows each; repeated items have rows each. Items with
-    a null id are ignored. Other columns are ignored. The benchmark goes to the tasks in
-    passes of a bounded size, with a scan of ``docs`` each."""
+    of three and four words have no edits. Repeated documents have rows each; repeated
+    items have rows each. Items with a null id are ignored. Other columns are ignored.
+    The benchmark goes to the tasks in passes of a bounded size, with a scan of ``docs``
+    each."""
     wanted = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     count, size = wanted.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     passes = max(1, -(-count // PASS_ITEMS), -(-(size or 0) // PASS_BYTES))

@@ -404,6 +404,14 @@ def test_long_items_at_full_budget():
     assert got == want and len(got) >= 49 * 12
 
 
+def test_short_items_at_full_budget():
+    got, want = all_hits(*full_budget(range(5, 12), 40))
+    assert got == want and len(got) >= 7 * 40
+    items, rows = ["alpha beta gamma", "alpha beta gamma delta"], ["x alpha beta gamma", "alpha beta x gamma delta", "alpha beta gamma delta", "", "alpha beta"]
+    got, want = all_hits(items, rows)
+    assert got == want == {(0, 0, 1, 3, 0), (2, 0, 0, 3, 0), (2, 1, 0, 4, 0)}
+
+
 def test_spread_edits(spark):
     item = [f"w{i}" for i in range(15)]
     found = [f"x{i}" if i in (4, 7, 10) else w for i, w in enumerate(item)]
