@@ -113,8 +113,8 @@ class _Index:
                 self.by_width[width] = (keys, first, item[order], place[order])
 
     def candidates(self, h: np.ndarray, begin: np.ndarray):
-        """Arrays of item and place in the buffer where it would begin, for rows of
-        words; a place can come more than once."""
+        """Arrays of row of a piece, its item and place in the buffer where that would
+        begin (perhaps before its row), for rows of words; they can come repeatedly."""
         if not self.by_width or len(h) < 2:
             return
         runs = h
@@ -142,21 +142,19 @@ class _Index:
                 low = np.maximum(s - self.most[k], begin[r])
                 high = np.minimum(s + self.sizes[k] + self.most[k], begin[r + 1])
                 enough = sums[high - 1] - sums[low] >= self.sizes[k] - 1 - 2 * self.most[k]
-                yield k[enough], s[enough]
+                yield r[enough], k[enough], s[enough]
 
     def hits(self, h: np.ndarray, begin: np.ndarray):
         """(row, item, first word, words, distance), the nearest place of each item in
         each row, verified."""
         by: dict[tuple[int, int], list[int]] = defaultdict(list)
         lists = self.lists
-        for k, s in {c for found in self.candidates(h, begin) for c in zip(*(x.tolist() for x in found))}:
-            row = int(np.searchsorted(begin, max(s, 0), "right")) - 1
-            for r in {row, min(row + 1, len(begin) - 2)} if s < begin[row] + 1 or s + len(self.words[k]) > begin[row + 1] else {row}:
-                by[r, k].append(s)
+        for row, k, s in {c for found in self.candidates(h, begin) for c in zip(*(x.tolist() for x in found))}:
+            by[row, k].append(s)
         for (row, k), places in sorted(by.items()):
             item = self.words[k]
             n, most = len(item), int(SHARE * len(item))
-            best, reach = None, -1
+            best, reach = None, -n
             for s in sorted(places):
                 if s <= reach:
                     continue

@@ -412,6 +412,14 @@ def test_short_items_at_full_budget():
     assert got == want == {(0, 0, 1, 3, 0), (2, 0, 0, 3, 0), (2, 1, 0, 4, 0)}
 
 
+def test_items_that_begin_before_their_row():
+    item = [f"w{i}" for i in range(20)]
+    cut = " ".join(item[4:])
+    rows = [cut, "", None, "a", cut + " tail", "a b", "", " ", cut, "b", cut, " ".join(item[:16]), "", "c", cut]
+    got, want = all_hits([" ".join(item)], rows)
+    assert got == want and {g[0] for g in got} == {0, 4, 8, 10, 11, 14}
+
+
 def test_spread_edits(spark):
     item = [f"w{i}" for i in range(15)]
     found = [f"x{i}" if i in (4, 7, 10) else w for i, w in enumerate(item)]
