@@ -80,14 +80,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 _MET = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
 
-def _meet(dim: int, least: float):
+def _meet(least: float):
     def task(key, rows):
         table = key[1].as_py()
         n = rows.num_rows
         order = np.argsort(rows.column("id").to_numpy(), kind="stable")
         rows = rows.combine_chunks().take(pa.array(order))
         ids, part = rows.column("id").to_numpy(), rows.column("part").to_numpy()
-        x = _normal(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32), dim)
+        flat = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32)
+        x = _normal(flat, len(flat) // n)
         keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(n, -1)[:, :table]
         one, two = key[2].as_py(), key[3].as_py()
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
@@ -113,35 +114,35 @@ def _meet(dim: int, least: float):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", *, least: float = 0.93, miss: float = MISS, rows_per_block: int = ROWS) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
-    Vectors with equal labels (without ``label_col``, all) and a cosine of ``least`` or
+    Vectors of one length with equal labels (without ``label_col``, all) and a cosine of ``least`` or
     more, in double precision, are linked; n_links counts other vectors linked
     directly, component_id is the smallest id reachable. Vectors that are null, empty,
-    zero, of another length than most of the table's first, or with null or non-finite
-    components, and rows with a null label or id, are linked with nothing. Rows that
-    repeat an id are one vector each for n_links. Other columns are ignored."""
+    zero, or with null or non-finite components, and rows with a null label or id, are
+    linked with nothing. Rows that repeat an id are one vector each for n_links. Other
+    columns are ignored."""
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) if label_col else F.lit(0)).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
     fine = F.expr("size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x != 0)")
     usable = rows.where(fine & F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull())
-    shape = usable.groupBy("label", F.size("vector").alias("dim")).count()
-    most = shape.groupBy("dim").agg(F.max("count").alias("rows"), F.sum("count").alias("all")).orderBy(F.desc("all"), "dim").first()
+    usable = usable.withColumn("label", F.concat_ws(" ", F.size("vector"), "label"))  # lengths are apart like labels
+    most = usable.groupBy("label").count().agg(F.max("count")).first()[0]
     if most is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = most["dim"]
-    k, tables = plan(most["rows"], least, miss)
+    k, tables = plan(most, least, miss)
 
     def batches(it):
         for batch in it:
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            if not batch.num_rows:
-                continue
-            keys = _keys(_normal(flat, dim), k, tables, dim)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([r.tobytes() for r in flat.reshape(-1, dim)], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                names=["id", "label", "vector", "keys", "buckets"],
-            )
-
-    hashed = staged(usable.where(F.size("vector") == dim).select("id", "label", "vector").mapInArrow(batches, "id long, label string, vector binary, keys binary, buckets array<long>"), "hashed")
+            sizes = np.diff(batch.column("vector").offsets.to_numpy())
+            for dim in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dim))
+                flat = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                keys = _keys(_normal(flat, dim), k, tables, dim)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("label"), pa.array([r.tobytes() for r in flat.reshape(-1, dim)], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                    names=["id", "label", "vector", "keys", "buckets"],
+                )
+
+    hashed = staged(usable.select("id", "label", "vector").mapInArrow(batches, "id long, label string, vector binary, keys binary, buckets array<long>"), "hashed")
     placed = hashed.select("id", "label", F.posexplode("buckets").alias("t", "bucket"))
     crowds = placed.groupBy("label", "t", "bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     crowds = crowds.withColumn("parts", F.ceil(F.col("m") / rows_per_block).cast("int"))
@@ -149,7 +150,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     full = full.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("id", "vector", "keys", "part", "label", "t", "bucket", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
-    met = staged(dealt.groupBy(F.struct("label", "bucket").alias("where"), "t", "one", "two").applyInArrow(_meet(dim, least), "id long, links long, other long"), "met")
+    met = staged(dealt.groupBy(F.struct("label", "bucket").alias("where"), "t", "one", "two").applyInArrow(_meet(least), "id long, links long, other long"), "met")
     counts = met.where("other is null").groupBy("id").agg(F.sum("links").alias("n_links"))
     label = components(met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     out = rows.select("id").join(counts, "id", "left").join(label, "id", "left")

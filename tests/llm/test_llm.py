@@ -198,6 +198,20 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(5)
+    sizes = [16] * 40 + [8] * 12 + [3] * 4
+    rows = []
+    for i, n in enumerate(sizes):
+        v = [float(x) for x in r.standard_normal(n).astype(np.float32)]
+        rows += [(2 * i, v, 0), (2 * i + 1, v, 0)]
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    for i in x:
+        assert got[i][0] == sum(j != i and len(x[j]) == len(x[i]) and x[j] @ x[i] >= 0.93 for j in x) and got[i][1] <= i - i % 2
+    assert len(got) == len(rows)
+
+
 def test_archives(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     long = "x" * 120 + "é"
