@@ -120,6 +120,9 @@ class _Scanner:
         self.automaton = Automaton(self.templates)
         self.places = [self._ends(k) for k in range(len(self.templates))]
         self.phrases = [(words(p), label) for p, label in phrases.items()]
+        #: Templates of fewer words than a match has are looked for whole.
+        self.short = [(t, k) for k, t in enumerate(self.templates) if 0 < len(t) < LEAST]
+        self.shortest = min([LEAST, *(len(w) for w, _ in self.phrases + self.short)])
         known = sorted({w for t in self.templates for w in t} | {w for p, _ in self.phrases for w in p})
         h = np.array([scan.word_hash(w, scan.ALNUM)[0] for w in known], np.uint64)
         order = np.argsort(h)
@@ -171,9 +174,9 @@ class _Scanner:
                 out.append((k, chain[0], chain[1], chain[2] / size))
         return out
 
-    def phrase_places(self, tokens: list[str], begin: int) -> list[tuple[int, str]]:
+    def phrase_places(self, tokens: list[str], begin: int, phrases: list[tuple]) -> list[tuple]:
         out = []
-        for phrase, label in self.phrases:
+        for phrase, label in phrases:
             n = len(phrase)
             out += [(begin + i, label) for i in range(len(tokens) - n + 1) if tokens[i] == phrase[0] and tokens[i : i + n] == phrase]
         return out
@@ -184,10 +187,11 @@ class _Scanner:
         places, found = [], []
         first = np.flatnonzero(np.r_[True, np.diff(at) > 1]) if len(at) else []
         for a, b in zip(first, [*first[1:], len(at)]):
-            if b - a < 2:
+            if b - a < self.shortest:
                 continue
             tokens = [self.words[i] for i in number[a:b]]
-            places += self.phrase_places(tokens, int(at[a]))
+            places += self.phrase_places(tokens, int(at[a]), self.phrases)
+            found += [(k, 0, i, len(self.templates[k])) for i, k in self.phrase_places(tokens, int(at[a]), self.short)]
             if b - a >= LEAST:
                 found += self.matches(tokens, int(at[a]))
         return sorted(places), self.chains(found)

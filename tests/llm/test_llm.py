@@ -363,6 +363,13 @@ def test_licenses(spark, docs):
         assert min(n, 11) == best
 
 
+def test_short_licenses(spark):
+    rows = [(1, "under copyleft terms"), (2, "see unlicense here"), (3, "public domain"), (4, "a b c d public"), (5, "copyleft copyleft")]
+    scan_ = licenses.license_scan(spark.createDataFrame(rows, DOC), templates={"unlicense": "unlicense", "pd": "public domain", "long": "a b c d"}, phrases={"copyleft": "cl"})
+    got = {g.doc_id: (g.n_base, g.first_word, g.base_labels, g.labels, g.score) for g in scan_.collect()}
+    assert got == {1: (1, 1, "cl", "cl", 1.0), 2: (0, None, "", "unlicense", 1.0), 3: (0, None, "", "pd", 1.0), 4: (0, None, "", "long", 1.0), 5: (2, 0, "cl", "cl", 1.0)}
+
+
 def test_decontamination(spark):
     item = text(40, 9).split()
     edited = list(item)
