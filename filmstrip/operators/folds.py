@@ -10,6 +10,8 @@ from ..functions.predicates import should_freeze
 
 DISK_MARGIN = 2 * 1024**3
 MOST = 5
+#: Decisions of a file at most, and the one that gives up.
+ATTEMPTS = 2 * MOST + 3 + 1
 STATE = "struct<disk:int,audio:boolean,subtitle:boolean,skip:boolean,session:int,over:boolean,decisions:array<string>>"
 
 
@@ -32,8 +34,10 @@ def retry_decision(s: Column, b: Column) -> Column:
 def retry_fold(attempts: DataFrame, key: list[str], order: list[str], bits: Column) -> DataFrame:
     """Per file its decisions in order of attempts, until it gives up, and the state
     after them. A file's attempts are bounded by the decisions themselves, at most 13;
-    what comes after it gave up is left out of the fold."""
+    what comes after it gave up is left out of the fold, and what can only come after
+    isn't gathered."""
     rows = attempts.select(*key, F.struct(*order, bits.alias("bits")).alias("a"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("a"))).where(F.col("nth") <= ATTEMPTS)
     lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list("a")).alias("a"))
     zero = F.struct(F.lit(0).alias("disk"), F.lit(False).alias("audio"), F.lit(False).alias("subtitle"), F.lit(False).alias("skip"), F.lit(0).alias("session"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("decisions"))
 

@@ -147,3 +147,15 @@ def test_config():
         parse("target:\n  quality: high\n")
     with pytest.raises(ConfigError, match="line 1"):
         parse("nonsense")
+
+
+def test_retry_fold_gathers_no_more_than_it_needs(spark):
+    kinds = ["disk", "audio", "subtitle", "session"]
+    rows = [(k, i, kinds[(i // (k + 1)) % 4]) for k in range(2) for i in range(500)] + [(2, i, "disk" if i < 5 else "audio" if i < 6 else "subtitle" if i < 8 else "session") for i in range(500)]
+    bits = F.struct(*[(F.col("s") == k).alias(k) for k in kinds])
+    got = folds.retry_fold(spark.createDataFrame(rows, "k int, i int, s string").repartition(3), ["k"], ["i"], bits)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
+    out = {g.k: g for g in got.collect()}
+    assert out[2].decisions == ["disk-space"] * 5 + ["reencode-audio", "reencode-subtitles", "skip-subtitles"] + ["session-limit"] * 5 + ["bail"]
+    assert out[0].decisions == ["disk-space", "reencode-audio", "reencode-subtitles", "session-limit", "disk-space", "bail"]
+    assert all(g.gave_up for g in out.values())
