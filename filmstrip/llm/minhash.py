@@ -12,21 +12,32 @@ At a similarity of 0.8 a band of 6 agrees with probability 0.26, so all 40 miss
 probability 5e-6; above, less. Equal sets are one class from the start and their
 members are never compared.
 
-After a first round, documents of which too much is in no other document that is still
-in question are set aside: they can't be linked. Of a band's members each is compared with one leader first, round by round with
-other leaders, and what is then in one component needs no more comparisons; only
-members of one band that are still in different components are compared with each
-other in the end. So no link between components is lost, and a large group of near
-copies costs about as many comparisons as it has members.
+Links only have to hold components together. So each member of a band is first compared
+with one leader, the band's smallest id. What is then still split goes through two exact
+filters instead of comparing members with each other:
+
+* A document goes if more of its set than the threshold allows is in no other document
+  that is still in question.
+* Bands of the documents left get one leader each, by a hash of the id, so that bands
+  of one group of copies share leaders. Let U be what a member's set has over its
+  leader's. A member outside the leader's component has more in U than a link with the
+  leader allows, so to be linked with any other member it must share so many elements of
+  U with it (fewer, if that one is smaller than the leader; sizes that allow none are
+  compared as they are). What all copies have in common cancels out, and what is left is
+  joined by its rarest elements first (prefix filter).
+
+So no link between components is lost, and a large group of near copies costs about as
+many comparisons as it has members.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
@@ -37,9 +48,6 @@ ROWS, BANDS, MANTISSA = 6, 40, 10
 BUCKETS = ROWS * BANDS
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 4.5
-#: Rounds with other leaders before the members of a band are compared with each other,
-#: and how many comparisons a member may cost, on average, to do that at once.
-ROUNDS, FEW = 2, 1
 _EMPTY = np.uint16(0xFFFF)
 
 
@@ -78,19 +86,25 @@ def _bands(regs: np.ndarray) -> np.ndarray:
     return h
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, word: np.ndarray, width: int) -> DataFrame:
-    """Per document: id, n (set size), key (128 bits of the whole set), regs, bands.
-    Null and wordless texts have n 0 and nothing else."""
+def _key(u: np.ndarray) -> bytes:
+    """128 bits of a whole set."""
+    return np.array([u.sum(dtype=np.uint64), scan.mix(u).sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, word: np.ndarray, width: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: the carried columns, id, n (set size), key (128 bits of the whole
+    set), regs, bands. Null and wordless texts have n 0 and nothing else."""
+    kinds = dict(docs.dtypes)
 
     def batches(it):
         for batch in it:
-            h, begin = scan.words(batch.column(1), word)
+            h, begin = scan.words(batch.column("text"), word)
             n, keys, regs, bands = [], [], [], []
             for a, b in zip(begin, begin[1:]):
                 u = np.unique(scan.shingle_hashes(h[a:b], width))
                 n.append(len(u))
                 if len(u):
-                    keys.append(np.array([u.sum(dtype=np.uint64), scan.mix(u).sum(dtype=np.uint64)], np.uint64).tobytes())
+                    keys.append(_key(u))
                     r = registers(u)
                     regs.append(r.tobytes())
                     bands.append(_bands(r).view(np.int64))
@@ -99,23 +113,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, word: np.ndarray, wi
                     regs.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n", "key", "regs", "bands"],
+                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=[*carry, "id", "n", "key", "regs", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, "id long, n long, key binary, regs binary, bands array<long>")
+    ddl = "".join(f"`{c}` {kinds[c]}, " for c in carry) + "id long, n long, key binary, regs binary, bands array<long>"
+    return docs.select(*carry, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, ddl)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, word: np.ndarray, width: int) -> DataFrame:
-    """Per document its whole set, sorted, eight bytes a hash."""
+def _sets(docs: DataFrame, word: np.ndarray, width: int) -> DataFrame:
+    """Of rows of id, key and text those whose set has that key, with the whole set,
+    sorted, eight bytes a hash."""
 
     def batches(it):
         for batch in it:
-            h, begin = scan.words(batch.column(1), word)
-            sets = [np.unique(scan.shingle_hashes(h[a:b], width)).tobytes() for a, b in zip(begin, begin[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
+            h, begin = scan.words(batch.column("text"), word)
+            sets = [np.unique(scan.shingle_hashes(h[a:b], width)) for a, b in zip(begin, begin[1:])]
+            right = pa.array([_key(u) == k for u, k in zip(sets, batch.column("key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([u.tobytes() for u in sets], pa.binary())], names=["id", "hashes"]).filter(right)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, "id long, hashes binary")
+    return docs.select("id", "key", "text").mapInArrow(batches, "id long, hashes binary")
 
 
 def by_chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -191,64 +208,121 @@ def _hopeless(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return some.select("id", (F.octet_length("hashes") / 8).alias("n")).join(alone, "id").where(f"100 * (n - alone) < {percent} * n").select("id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, word: np.ndarray = scan.NOT_SPACE) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+def _over(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (leader, id) pairs: whether they are linked, the sizes of both sets, and what
+    the id's set has over the leader's."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}"))
+
+    def batches(it):
+        for batch in it:
+            linked, sizes, more, of = [], [], [], []
+            for x, y in zip(batch.column("set_leader"), batch.column("set_id")):
+                u, v = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                new = np.setdiff1d(v, u, assume_unique=True)
+                common = len(v) - len(new)
+                linked.append(100 * common >= percent * (len(u) + len(v) - common))
+                sizes.append(len(v))
+                of.append(len(u))
+                more.append(new)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("leader"), batch.column("id"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(of, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
+                names=["leader", "id", "linked", "n", "of", "more"],
+            )
+
+    return groups.join(side("leader"), "leader").join(side("id"), "id").select("leader", "id", "set_leader", "set_id").mapInArrow(batches, "leader long, id long, linked boolean, n long, of long, more array<long>")
+
+
+def _across(over: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader, in different components, that may be
+    linked: all those that are, by what each has over the leader (see above)."""
+    part = label.select("id", "component")
+    lead = over.select("leader").distinct().join(part.withColumnRenamed("id", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("main"))
+    rows = over.join(lead, "leader").join(part, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    # shared elements that a link with a set of m elements takes: need + share * (m - of)
+    share = percent / (100 + percent)
+    need = F.size("more") - F.col("n") + share * (F.col("n") + F.col("of"))
+    rows = rows.select("leader", "id", "n", "of", "c", (F.col("c") != F.col("main")).alias("far"), need.alias("need"), "more")
+    rows = sized(staged(rows.where("id != leader"), "over"))[0]
+    each = rows.select("leader", "id", "c", F.explode("more").alias("x"))
+    useful = each.groupBy("leader", "x").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("leader", "x", "m")
+    ranks = Window.partitionBy("leader", "id")
+    each = each.join(useful, ["leader", "x"]).withColumn("rank", F.row_number().over(ranks.orderBy("m", "x"))).withColumn("use", F.count(F.lit(1)).over(ranks))
+    info = rows.select("leader", "id", "n", "of", "far", "need")
+    each = staged(each.select("leader", "id", "c", "x", "rank", "use").join(info, ["leader", "id"]).where("far or use > 0"), "elements")
+    # a far member's rarest elements that a link can do without, at the smallest size it can be linked with
+    least = F.greatest(F.col("need") + share * (F.ceil(F.col("n") * percent / 100) - F.col("of")) - 1e-6, F.lit(0))
+    probe = each.where("far").where(F.col("rank") <= F.col("use") - F.greatest(F.ceil(least), F.lit(1)) + 1)
+    i = lambda d, s, *more: d.select("leader", *more, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "of", "far", "need")))
+    fits = F.expr(f"c_i != c_j and (not far_j or id_j < id_i) and 100 * least(n_i, n_j) >= {percent} * greatest(n_i, n_j)")
+    must = lambda a, b: F.greatest(F.ceil(F.col(f"need_{a}") + share * (F.col(f"n_{b}") - F.col(f"of_{a}")) - 1e-6), F.lit(1))
+    found = i(probe, "i", "x", F.col("rank").alias("r_i"), F.col("use").alias("u_i")).join(i(each, "j", "x", F.col("rank").alias("r_j"), F.col("use").alias("u_j")), ["leader", "x"])
+    both = F.greatest(must("i", "j"), must("j", "i"))
+    found = found.where(fits & (F.col("r_i") <= F.col("u_i") - both + 1) & (F.col("r_j") <= F.col("u_j") - both + 1))
+    # members so much smaller than the leader that they need nothing in common over it
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("of") - F.col("need") / share + 1e-6)
+    small = i(rows.where("far").where(high >= low).withColumn("size", F.explode(F.sequence(low, high))), "i", "size")
+    small = small.join(i(rows, "j", F.col("n").alias("size")), ["leader", "size"]).where(fits)
+    pairs = found.select("id_i", "id_j").union(small.select("id_i", "id_j"))
+    return pairs.select(F.least("id_i", "id_j").alias("a"), F.greatest("id_i", "id_j").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, word: np.ndarray = scan.NOT_SPACE, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: the columns to ``carry``, id, n_shingles,
+    component_id, kept.
 
     A document's set holds its distinct runs of ``width`` lower-cased words; with
     fewer words the whole sequence is the one element. Documents with
     100 * |A and B| >= percent * |A or B| are linked; component_id is the smallest
     id reachable, kept is id = component_id. Null, empty and wordless texts have
     n_shingles 0 and are linked with nothing. Rows with a null id have a null
-    component and are kept. Repeated ids count as one document each time they
-    occur. Other columns are ignored."""
-    sigs = staged(signatures(docs, id_col, text_col, word, width), "sigs")
+    component and are kept. Each row is a document of its own, also where rows repeat
+    an id. Other columns are ignored; an empty table gives no rows."""
+    sigs = staged(signatures(docs, id_col, text_col, word, width, carry), "sigs")
+    # equal sets are one class, known by its smallest id; where that is another class's too, by a hash
     classes = sigs.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    members = sigs.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")
-    reps = staged(sigs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
+    again = classes.groupBy("rep").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("rep", "first")
+    node = F.when(F.coalesce(F.col("key") == F.col("first"), F.lit(True)), F.col("rep")).otherwise(F.xxhash64("key"))
+    classes = staged(classes.join(again, "rep", "left").select("key", "rep", node.alias("node")), "classes")
+    reps = sigs.select("id", "n", "key", "regs", "bands").join(classes.select(F.col("rep").alias("id"), "key", "node"), ["id", "key"]).dropDuplicates(["id", "key"])
+    reps = staged(reps.select(F.col("node").alias("id"), F.col("id").alias("rep"), "n", "regs", "bands"), "reps")
 
-    bands = reps.select("id", "n", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("leader")).where("m > 1").select("band", "leader")
-    bands = staged(bands.join(shared, "band"), "bands")
+    bands = reps.select("id", "rep", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "id")).alias("leader")).where("m > 1").select("band", F.col("leader.id").alias("leader"))
+    bands = staged(bands.join(shared, "band").select("band", "id", "leader"), "bands")
 
-    ids = bands.select("id").distinct()
-    needed = docs.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    sets = staged(_sets(needed, id_col, text_col, word, width), "sets")
+    wanted = classes.join(bands.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    needed = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    needed = needed.withColumn("t", F.xxhash64("text")).dropDuplicates(["rep", "key", "t"])
+    sets = staged(_sets(needed.select(F.col("node").alias("id"), "key", "text"), word, width), "sets")
 
     pairs = bands.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tested = sized(staged(pairs, "pairs"))[0]
-    links = staged(verified(_promising(tested, reps, percent), sets, percent), "links")
+    links = staged(verified(_promising(sized(staged(pairs, "pairs"))[0], reps, percent), sets, percent), "links")
     label = components(links)
-    for turn in range(ROUNDS + 2):
-        now = bands.select("band", "id", "n").join(label, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-        mixed = now.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "component")).alias("leader"))
-        mixed = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("leader").alias("leader")).where("parts > 1")
-        mixed = sized(staged(mixed, "mixed"))[0]
-        rows, crossing = (x or 0 for x in mixed.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first())
-        if not crossing:
-            break
-        last = turn > ROUNDS or crossing <= FEW * rows
-        if turn == 0:  # what can't be linked at all needs no more comparisons
-            open_ = now.join(mixed.select("band"), "band").select("id").distinct()
-            bands = staged(bands.join(_hopeless(open_, sets, percent), "id", "left_anti"), "bands")
-            if not last:
-                continue
-            now = now.join(bands.select("id").distinct(), "id", "left_semi")
-        now = now.join(mixed.select("band", "leader"), "band")
-        if last:
-            left, right = now.select("band", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("c")), now.select("band", F.col("id").alias("y"), "n", F.col("component").alias("d"))
-            far = left.join(right, "band").where(f"c < d and 100 * least(m, n) >= {percent} * greatest(m, n)").select("x", "y")
-        else:
-            far = now.where("component != leader.component").select(F.col("id").alias("x"), F.col("leader.id").alias("y"))
-        pairs = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = sized(staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"))[0]
-        found = staged(verified(_promising(pairs, reps, percent), sets, percent), "links")
-        tested = tested.union(pairs)
+
+    def split(bands: DataFrame) -> DataFrame:
+        """The bands that still join different components."""
+        now = bands.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        mixed = now.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("leader"))
+        return sized(staged(mixed.where("c1 != c2").select("band", F.col("leader.id").alias("leader")), "mixed"))[0]
+
+    mixed = split(bands)
+    if not mixed.isEmpty():
+        open_ = bands.join(mixed.select("band"), "band").select("id").distinct()
+        bands = staged(bands.join(_hopeless(open_, sets, percent), "id", "left_anti").select("band", "id"), "bands")
+        groups = bands.join(split(bands), "band").select("leader", "id").distinct()
+        over = staged(_over(sized(staged(groups, "groups"))[0], sets, percent), "over")
+        found = over.where("linked and leader != id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
         if not found.isEmpty():
             links = links.union(found)
             label = components(links)
-        if last:
-            break
-    out = members.select("id", "n", "rep")
-    out = out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+        pairs = sized(staged(_across(over, label, percent), "pairs"))[0]
+        found = staged(verified(_promising(pairs, reps, percent), sets, percent), "links")
+        if not found.isEmpty():
+            label = components(links.union(found))
+
+    members = sigs.select(*carry, "id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")
+    of = label.join(classes.select(F.col("node").alias("id"), "rep"), "id")
+    of = of.join(of.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("id").alias("node"), "least")
+    out = members.join(of, "node", "left")
+    out = out.select(*carry, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
