@@ -1,18 +1,27 @@
-"""Benchmark decontamination: exact pieces of items, exact edit distance.
+"""Benchmark decontamination: CGK random-walk embedding, bit sampling, exact edits.
 
 Texts are words (ASCII lower case, letters, digits and all beyond ASCII). A benchmark
 item is looked for with at most 0.2 edits per word of it, in windows of its own size.
-An item that may have k edits is cut into k + 1 pieces of about equal length, two to
-five words. Each edit spoils one piece at most, so wherever the item occurs one of its
-pieces stands unchanged, and looking up all pieces loses nothing. Of these places those
-are verified by exact edit distance whose window shares enough word pairs with the
-benchmark (the q-gram lemma: an edit spoils two pairs at most, so this loses nothing
-either).
+
+The CGK embedding walks over a window's words: at each step it writes the word it
+stands on, and a random bit of that word and step says whether it goes on to the next.
+Walks over two texts that differ by few edits fall into step again soon after each, so
+few of the written places differ: edit distance has become Hamming distance. Sampling a
+few of these places, a number of times for each of a number of walks, gives keys, and
+windows that share a key with an item are candidates. How many walks a size class of
+items gets follows from the recall wanted (``RECALL``), measured on planted items at the
+full number of edits.
+
+Windows are embedded at every word from which a window of an item's size, edits
+included, shares enough word pairs with the benchmark (the q-gram lemma: an edit spoils
+two pairs at most, so this loses nothing). Candidates are verified by exact edit distance.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +33,14 @@ from . import scan
 #: Words of the shortest item.
 SHORTEST = 3
 SHARE = 0.2
+#: Share of occurrences at the full number of edits that the keys are to find, the
+#: planted items that it is measured on, and the most walks.
+RECALL, PLANTED, WALKS = 0.999, 2000, 96
+#: Samples of a walk.
+SAMPLES = 8
 #: Items that one pass carries to the tasks, and their bytes; more go in more passes.
-PASS_ITEMS, PASS_BYTES = 20_000, 64 << 20
-#: Candidates that are looked at in one step.
+PASS_ITEMS, PASS_BYTES = 200_000, 64 << 20
+#: Windows that are embedded in one step.
 STEP = 1 << 18
 
 
@@ -50,10 +64,95 @@ def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(begin[end]), end
 
 
-def pieces(n: int, most: int) -> list[tuple[int, int]]:
-    """(begin, end) of the pieces of an item of ``n`` words, of which ``most`` edits
-    leave one unchanged."""
-    return [(i * n // (most + 1), (i + 1) * n // (most + 1)) for i in range(most + 1)]
+def edits(n: int) -> int:
+    """Edits that an item of ``n`` words may have."""
+    return int(SHARE * n + 1e-9)
+
+
+def size_class(n: int) -> int:
+    """The smallest size in an item's class; a class spans a fifth of that."""
+    low = SHORTEST
+    while low + max(1, low // 5) <= n:
+        low += max(1, low // 5)
+    return low
+
+
+def _steps(low: int) -> int:
+    """Steps of the walks of a class: about as many as keep within its items."""
+    return int(1.6 * low) + 2
+
+
+@lru_cache(maxsize=None)
+def _walk_plan(low: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """A multiplier per step, and the places that each sample takes."""
+    r = np.random.default_rng((17, low, walk))
+    taken = 3 if low >= 8 else 2
+    places = np.stack([np.sort(r.choice(_steps(low), taken, replace=False)) for _ in range(SAMPLES)])
+    return r.integers(0, 1 << 63, _steps(low), dtype=np.uint64) * np.uint64(2) + np.uint64(1), places
+
+
+#: Words that stand before a row for windows that begin there, the last one first.
+_BEFORE = scan.mix(np.arange(1, 1 << 12, dtype=np.uint64))
+
+
+def keys(h: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, low: int, walk: int) -> np.ndarray:
+    """Keys of one walk, samples by windows: those from ``start`` on over the words
+    ``h`` of rows that begin and end so (nothing follows an end)."""
+    turns, places = _walk_plan(low, walk)
+    wanted, written = set(places.ravel().tolist()), {}
+    i, last = start.copy(), max(len(h) - 1, 0)
+    for j in range(max(wanted) + 1):
+        w = np.where(i < end, h[np.clip(i, 0, last)], np.uint64(0))
+        early = np.flatnonzero(i < begin)
+        if len(early):
+            w[early] = _BEFORE[(begin - i)[early] % len(_BEFORE)]
+        if j in wanted:
+            written[j] = w
+        i += (w * turns[j] >> np.uint64(63)).astype(np.int64)
+    out = np.empty((SAMPLES, len(start)), np.uint64)
+    for t, row in enumerate(places.tolist()):
+        k = np.full(len(start), (walk * SAMPLES + t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for j in row:
+            k = scan.mix(k + written[j])
+        out[t] = k
+    return out
+
+
+def planted(n: int, trials: int, rng: np.random.Generator, where: slice = slice(None)) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Items of ``n`` different words, and each with all the edits it may have (words
+    put in, left out and replaced, anywhere or ``where`` says) among others."""
+    items = rng.integers(1, 1 << 63, (trials, n), dtype=np.uint64)
+    texts = []
+    for item in items:
+        w = item.tolist()
+        for at in sorted(rng.choice(np.arange(n)[where], edits(n), replace=False).tolist(), reverse=True):
+            new = int(rng.integers(1, 1 << 63))
+            w[at : at + 1] = [[], [new], [new, w[at]]][rng.integers(3)]
+        around = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+        texts.append(np.concatenate([around[:n], np.array(w, np.uint64), around[n:]]))
+    return items, texts
+
+
+@lru_cache(maxsize=None)
+def walks(low: int, recall: float = RECALL) -> int:
+    """Walks with which the keys of a class find this share of its planted items, by
+    the size that may have most edits a word."""
+    n = max(range(low, low + max(1, low // 5)), key=lambda n: (edits(n) / n, -n))
+    items, texts = planted(n, PLANTED, np.random.default_rng((19, low)))
+    k = edits(n)
+    starts = np.arange(n - k, n + k + 1)
+    base = np.cumsum([0] + [len(t) for t in texts])
+    start, end = (base[:-1, None] + starts).ravel(), np.repeat(base[1:], len(starts))
+    flat, h = items.ravel(), np.concatenate(texts)
+    found = np.zeros(len(items), bool)
+    for walk in range(WALKS):
+        at = np.arange(len(items)) * n
+        mine = keys(flat, at, at, at + n, low, walk)
+        theirs = keys(h, start, start, end, low, walk).reshape(SAMPLES, len(items), -1)
+        found |= (mine[:, :, None] == theirs).any(axis=(0, 2))
+        if found.mean() >= recall:
+            return walk + 1
+    return WALKS
 
 
 def _longer(runs: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
@@ -78,71 +177,66 @@ class _Keys:
 
 
 class _Index:
-    """Items, their word pairs and their pieces."""
+    """Items, their word pairs and, by size class, their keys."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [scan.word_hash(t or "", scan.ALNUM) for _, t in items]
         self.lists = [w.tolist() for w in self.words]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.most = (SHARE * self.sizes).astype(np.int64)
-        self._cut([k for k, n in enumerate(self.sizes.tolist()) if n >= SHORTEST])
-
-    def _cut(self, members: list[int]) -> None:
-        """Keys of the members' pairs, and by width those of their pieces, with the
-        pieces of each key: where they begin in ``item`` and ``place``."""
-        self.by_width: dict[int, tuple[_Keys, np.ndarray, np.ndarray, np.ndarray]] = {}
-        if not members:
-            return
-        buffer = np.concatenate([self.words[k] for k in members])
-        base = np.cumsum([0] + [len(self.words[k]) for k in members])
-        places = defaultdict(list)
-        for k, at in zip(members, base.tolist()):
-            for a, b in pieces(int(self.sizes[k]), int(self.most[k])):
-                places[b - a].append((at + a, k, a))
-        runs = buffer
-        for width in range(2, max(places) + 1):
-            runs = _longer(runs, buffer, width)
-            if width == 2:
-                self.pairs = _Keys(np.delete(runs, base[1:-1] - 1))
-            if width in places:
-                at, item, place = np.array(places[width]).T
-                order = np.argsort(runs[at], kind="stable")
-                keys = _Keys(runs[at])
-                first = np.r_[np.searchsorted(runs[at][order], keys.keys), len(at)]
-                self.by_width[width] = (keys, first, item[order], place[order])
+        self.most = np.array([edits(n) for n in self.sizes.tolist()], np.int64)
+        by = defaultdict(list)
+        for k, n in enumerate(self.sizes.tolist()):
+            if n >= SHORTEST:
+                by[size_class(n)].append(k)
+        self.classes = [self._class(low, np.array(members)) for low, members in sorted(by.items())]
+        if by:
+            members = [k for m in by.values() for k in m]
+            self.pairs = _Keys(np.concatenate([_longer(self.words[k], self.words[k], 2) for k in members]))
+
+    def _class(self, low: int, members: np.ndarray):
+        """(class, walks, words of its widest window, least word pairs in one, keys, and
+        the items of each key)."""
+        n, most = self.sizes[members], self.most[members]
+        h = np.concatenate([self.words[k] for k in members])
+        base = np.cumsum(np.r_[0, n])
+        found = np.concatenate([keys(h, base[:-1], base[:-1], base[1:], low, w).ravel() for w in range(walks(low))])
+        item = np.tile(members, len(found) // len(members))
+        order = np.argsort(found, kind="stable")
+        table = _Keys(found)
+        return low, walks(low), int((n + most).max()), int((n - 1 - 2 * most).min()), table, np.r_[np.searchsorted(found[order], table.keys), len(found)], item[order]
 
     def candidates(self, h: np.ndarray, begin: np.ndarray):
-        """Arrays of row of a piece, its item and place in the buffer where that would
-        begin (perhaps before its row), for rows of words; they can come repeatedly."""
-        if not self.by_width or len(h) < 2:
+        """Arrays of row, item and first word of windows that share a key with the item
+        and enough word pairs with the benchmark; they can come repeatedly."""
+        if not self.classes or len(h) < 2:
             return
-        runs = h
-        for width in range(2, min(max(self.by_width), len(h)) + 1):
-            runs = _longer(runs, h, width)
-            if width == 2:
-                hit = np.zeros(len(runs), bool)
-                hit[self.pairs.find(runs)[0]] = True
-                inner = begin[1:-1]
-                hit[inner[(inner > 0) & (inner < len(h))] - 1] = False  # pairs across rows
-                sums = np.r_[0, np.cumsum(hit)]
-            if width not in self.by_width:
-                continue
-            keys, first, items, places = self.by_width[width]
-            at, n = keys.find(runs)
-            row = np.searchsorted(begin, at, "right") - 1
-            inside = at + width <= begin[row + 1]
-            at, n, row = at[inside], n[inside], row[inside]
-            many = first[n + 1] - first[n]
-            steps = np.cumsum(many) // STEP
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(steps)) + 1) if len(at) else []:
-                m = many[part]
-                j = np.arange(m.sum()) + np.repeat(first[n[part]] - np.cumsum(m) + m, m)
-                k, s, r = items[j], np.repeat(at[part], m) - places[j], np.repeat(row[part], m)
-                low = np.maximum(s - self.most[k], begin[r])
-                high = np.minimum(s + self.sizes[k] + self.most[k], begin[r + 1])
-                enough = sums[high - 1] - sums[low] >= self.sizes[k] - 1 - 2 * self.most[k]
-                yield r[enough], k[enough], s[enough]
+        hit = np.zeros(len(h), bool)
+        hit[self.pairs.find(_longer(h, h, 2))[0]] = True
+        inner = begin[1:-1]
+        hit[inner[(inner > 0) & (inner < len(h))] - 1] = False  # pairs across rows
+        sums = np.r_[0, np.cumsum(hit)]
+        for low, many, wide, least, table, first, items in self.classes:
+            behind = np.minimum(np.arange(len(h)) + wide - 1, len(h))
+            at = np.flatnonzero(sums[behind] - sums[:-1] >= least)
+            at, row = [at], [np.searchsorted(begin, at, "right") - 1]
+            for early in range(1, edits(wide) + 1):  # an item's first words may be missing at a row's begin
+                some = np.flatnonzero(sums[np.minimum(np.maximum(begin[:-1] - early + wide - 1, begin[:-1]), len(h))] - sums[begin[:-1]] >= least)
+                at.append(begin[some] - early)
+                row.append(some)
+            at, row = np.concatenate(at), np.concatenate(row)
+            for a in range(0, len(at), STEP):
+                s, r = at[a : a + STEP], row[a : a + STEP]
+                for walk in range(many):
+                    for k in keys(h, s, begin[r], begin[r + 1], low, walk):
+                        i, n = table.find(k)
+                        each = first[n + 1] - first[n]
+                        j = np.arange(each.sum()) + np.repeat(first[n] - np.cumsum(each) + each, each)
+                        k, s1, r1 = items[j], np.repeat(s[i], each), np.repeat(r[i], each)
+                        high = np.minimum(s1 + self.sizes[k] + self.most[k], begin[r1 + 1])
+                        from_ = np.maximum(s1 - self.most[k], begin[r1])
+                        enough = sums[np.maximum(high - 1, 0)] - sums[from_] >= self.sizes[k] - 1 - 2 * self.most[k]
+                        yield r1[enough], k[enough], s1[enough]
 
     def hits(self, h: np.ndarray, begin: np.ndarray):
         """(row, item, first word, words, distance), the nearest place of each item in
@@ -153,7 +247,7 @@ class _Index:
             by[row, k].append(s)
         for (row, k), places in sorted(by.items()):
             item = self.words[k]
-            n, most = len(item), int(SHARE * len(item))
+            n, most = len(item), edits(len(item))
             best, reach = None, -n
             for s in sorted(places):
                 if s <= reach:
@@ -183,21 +277,25 @@ def _index(items: tuple) -> _Index:
     return _indexes[items]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item in it: id, item, first_word, n_words,
-    distance (edits in words, at most 0.2 per word of the item), of the nearest place,
-    ties going to the first.
+FOUND = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document and benchmark item found in it: the columns to ``carry``,
+    id, item, first_word, n_words, distance (edits in words, at most 0.2 per word of the
+    item), of the nearest place, ties going to the first.
 
     Null and empty texts and items, and items under three words, are never found; items
-    of three and four words have no edits. Repeated documents have rows each; repeated
-    items have rows each. Items with a null id are ignored. Other columns are ignored.
-    The benchmark goes to the tasks in passes of a bounded size, with a scan of ``docs``
-    each."""
-    wanted = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    of three and four words have no edits. Repeated documents have rows each; equal
+    benchmark rows count once. Items with a null id are ignored. Other columns are
+    ignored. The benchmark goes to the tasks in passes of a bounded size, with a scan of
+    ``docs`` each."""
+    wanted = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).distinct()
     count, size = wanted.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     passes = max(1, -(-count // PASS_ITEMS), -(-(size or 0) // PASS_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())])
+    kinds = dict(docs.dtypes)
+    rows = docs.select(*carry, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ddl = "".join(f"`{c}` {kinds[c]}, " for c in carry) + "id long, item long, first_word long, n_words long, distance long"
     out = None
     for n in range(passes):
         items = [tuple(r) for r in (wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n)).collect()]
@@ -205,18 +303,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def batches(it, items=tuple(sorted(items))):
             index = _index(items)
             for batch in it:
-                h, begin = scan.words(batch.column(1), scan.ALNUM)
-                ids = batch.column(0).to_pylist()
+                h, begin = scan.words(batch.column("text"), scan.ALNUM)
                 found = list(index.hits(h, begin)) if batch.num_rows else []
-                cols = [[ids[f[0]] for f in found], *([f[j] for f in found] for j in range(1, 5))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+                row = pa.array([f[0] for f in found], pa.int64())
+                cols = [pa.array([f[j] for f in found], pa.int64()) for j in range(1, 5)]
+                yield pa.RecordBatch.from_arrays([c.take(row) for c in batch.columns[:-1]] + cols, names=[*carry, *FOUND.names])
 
-        part = rows.mapInArrow(batches, "id long, item long, first_word long, n_words long, distance long")
+        part = rows.mapInArrow(batches, ddl)
         out = part if out is None else out.union(part)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "first_word", "n_words", "distance")
+    return out.select(*carry, F.col("id").alias(id_col), F.col("item").alias("item_id"), "first_word", "n_words", "distance")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = contaminated(docs, benchmark, id_col, text_col, **columns).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti")
+    """``docs`` without the documents that hold a benchmark item; rows that repeat an id
+    or have none are told apart by their texts."""
+    marked = docs.withColumn("_text", F.xxhash64(text_col))
+    found = contaminated(marked, benchmark, id_col, text_col, carry=["_text"], **columns).select(F.col(id_col).alias("_id"), F.col("_text").alias("_of")).distinct()
+    return marked.join(found, (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_text") == F.col("_of")), "left_anti").drop("_text")
