@@ -12,6 +12,8 @@ runs over all of them at once, a byte at a time.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -198,25 +200,26 @@ def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str
 _vocabularies: dict[str, Vocabulary] = {}
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, lang_pred, score (the posterior of the best
-    language, all being as likely before). Null, empty and letterless texts are ``und``
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, the columns to ``carry``, lang_pred, score (the
+    posterior of the best language, all being as likely before). Null, empty and letterless texts are ``und``
     with score 0, as is every text if no language was learned; ties go to the first
     language by name. Other columns are ignored."""
-    logs = p
+    out = list(dict.fromkeys([id_col, *carry]))
 
     def batches(it):
         if vocabulary not in _vocabularies:
             _vocabularies[vocabulary] = Vocabulary(vocabulary)
         v = _vocabularies[vocabulary]
         for batch in it:
-            words, number, begin = _distinct(batch.column(1))
+            text = batch.column(text_col)
+            words, number, begin = _distinct(text)
             rows = batch.num_rows
             total = np.zeros((rows, max(1, len(langs))))
             if words and langs:
                 cut, of = _cut(words)
                 each = np.zeros((len(words), len(langs)))
-                np.add.at(each, of, forward(cut, v, logs))
+                np.add.at(each, of, forward(cut, v, p))
                 sums = np.zeros((len(number) + 1, len(langs)))
                 np.cumsum(each[number], axis=0, out=sums[1:])
                 total = sums[begin[1:]] - sums[begin[:-1]]
@@ -225,11 +228,11 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
             share /= share.sum(axis=1, keepdims=True)
             best = share.argmax(axis=1)
             pred, score = [], []
-            for i, t in enumerate(batch.column(1)):
+            for i, t in enumerate(text):
                 known = langs and begin[i + 1] > begin[i] and _LETTER.search(t.as_py())
                 pred.append(langs[best[i]] if known else "und")
                 score.append(float(share[i, best[i]]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*out, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(batches, f"`{id_col}` {kind}, lang_pred string, score double")
+    kinds = dict(docs.dtypes)
+    return docs.select(*dict.fromkeys([*out, text_col])).mapInArrow(batches, "".join(f"`{c}` {kinds[c]}, " for c in out) + "lang_pred string, score double")

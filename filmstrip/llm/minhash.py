@@ -268,7 +268,8 @@ def _across(over: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, word: np.ndarray = scan.NOT_SPACE, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: the columns to ``carry``, id, n_shingles,
-    component_id, kept.
+    component_id, kept, group_id (a number that the rows of one group share, null for
+    rows that can't be linked).
 
     A document's set holds its distinct runs of ``width`` lower-cased words; with
     fewer words the whole sequence is the one element. Documents with
@@ -320,9 +321,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not found.isEmpty():
             label = components(links.union(found))
 
-    members = sigs.select(*carry, "id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")
+    members = sigs.select(*carry, "id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")  # node is null without a key
     of = label.join(classes.select(F.col("node").alias("id"), "rep"), "id")
-    of = of.join(of.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("id").alias("node"), "least")
+    of = of.join(of.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("id").alias("node"), "component", "least")
     out = members.join(of, "node", "left")
-    out = out.select(*carry, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "id").alias("component_id"))
+    out = out.select(*carry, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "id").alias("component_id"), F.coalesce("component", "node").alias("group_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

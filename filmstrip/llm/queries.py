@@ -77,7 +77,7 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("group_id")
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

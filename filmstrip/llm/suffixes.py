@@ -16,9 +16,11 @@ the whole corpus; it is built in parts that can't miss a match:
    for its smallest document. Anchors with very many contexts send each distinct string
    of WINDOW bytes instead, to the bucket of that string's hash, so that a passage in a
    third of all documents doesn't meet in one bucket.
-4. A bucket ranks all its strings of WINDOW bytes by prefix doubling, which is suffix
-   order to that depth, ties in order of documents. The previous smaller document of a
-   string then lies in its own rank if its previous factor has WINDOW bytes or more.
+4. A bucket puts all suffixes of its strings into suffix order, to a depth of WINDOW
+   bytes, by prefix doubling. The previous and the next smaller document of a suffix in
+   that order are its nearest earlier matches; the longer of their common prefixes with
+   it, byte by byte, is its longest previous factor. Where that has WINDOW bytes, the
+   window goes.
 5. Blocks cut what they are told to cut. Texts are shuffled to make the blocks, in
    compressed bundles, for 1 to 3 together and for the cut.
 
@@ -27,9 +29,12 @@ Exact copies within a block never enter: the first stands for all.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +49,9 @@ WIDE = LEFT + RIGHT
 BLOCK = 8 << 20
 #: Bytes whose hashes are held at a time.
 STEP = 1 << 18
-#: Occurrences of an anchor from which a block reports them, and their sum from which
-#: the anchor's windows are dealt by themselves.
-HEAVY, HOT = 64, 4096
+#: Occurrences of an anchor from which a block reports them; their sum, and the blocks
+#: that have it, from which the anchor's windows are dealt by themselves.
+HEAVY, HOT, HOT_BLOCKS = 64, 4096, 256
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -118,23 +123,38 @@ def _bundles(batches):
         for k, part in _by_bucket(block[order]):
             some = rows.slice(part.start, part.stop - part.start)
             data, offsets = scan.bytes_of(some.column("text"))
-            out.append((k, some.column("id").to_numpy().tobytes(), offsets.tobytes(), squeezed(data)))
+            carried = pa.table(some.columns[3:], names=[f"_{n}" for n in range(some.num_columns - 3)])
+            out.append((k, some.column("id").to_numpy().tobytes(), offsets.tobytes(), squeezed(data), _ipc(carried)))
         yield from _table(BUNDLES, out).to_batches()
 
 
-def _unbundled(rows: pa.Table) -> pa.Table:
-    parts = [pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.large_string())})]
-    for ids, offsets, text in zip(*(rows.column(c) for c in ("ids", "offsets", "text"))):
+def _ipc(table: pa.Table) -> bytes:
+    """A small table as bytes; none if it has no columns."""
+    if not table.num_columns:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unbundled(rows: pa.Table, carried: bool) -> pa.Table:
+    parts = []
+    for ids, offsets, text, more in zip(*(rows.column(c) for c in ("ids", "offsets", "text", "carried"))):
         n = len(ids.as_py()) // 8
         column = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.as_py()), pa.py_buffer(unsqueezed(text.as_py())))
-        parts.append(pa.table({"id": pa.array(np.frombuffer(ids.as_py(), np.int64)), "text": column}))
-    return pa.concat_tables(parts)
+        part = pa.table({"id": pa.array(np.frombuffer(ids.as_py(), np.int64)), "text": column})
+        if carried and more.as_py():
+            for name, c in zip((t := pa.ipc.open_stream(more.as_py()).read_all()).column_names, t.columns):
+                part = part.append_column(name, c)
+        parts.append(part)
+    return pa.concat_tables(parts) if parts else pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.large_string())})
 
 
-def _ordered(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+def _ordered(rows: pa.Table, carried: bool = False) -> tuple[pa.Table, pa.Table]:
     """A block's rows in order of document: those to look at, and exact copies of
     texts of smaller documents in the block."""
-    rows = _unbundled(rows).combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+    rows = _unbundled(rows, carried).combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
     code = rows.column("text").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     ids = rows.column("id").to_numpy()
     first = np.unique(code, return_index=True)[1]
@@ -179,6 +199,17 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct row of bytes, and which of them each row is. Hashes
+    find equal rows, bytes decide."""
+    h = _row_hash(rows)
+    one, where = np.unique(h, return_index=True, return_inverse=True)[1:]
+    if len(rows) and not (rows[one][where] == rows).all():  # rows of one hash that differ
+        plain = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
+        one, where = np.unique(plain, return_index=True, return_inverse=True)[1:]
+    return one, where.ravel()
+
+
 def _contexts(block: _Block, chosen: np.ndarray):
     """For chosen anchors: rows of WIDE bytes, and the first and number of windows
     that lie within the document. Bytes outside it are 0."""
@@ -193,7 +224,7 @@ def _contexts(block: _Block, chosen: np.ndarray):
     return rows, first, np.maximum(windows, 0)
 
 
-BUNDLES = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("text", pa.binary())])
+BUNDLES = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("text", pa.binary()), ("carried", pa.binary())])
 PARTS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("heavy", pa.binary())])
 SHARED = pa.schema([("block", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())])
 #: To a bucket (or, with bucket -1, to the block itself): strings by their numbers in
@@ -232,19 +263,18 @@ def _announce(buckets: int, bits: int, heavy: int):
     return block
 
 
-def _compare(hot_from: int):
+def _compare(hot_from: int, hot_blocks: int):
     def _compare_bucket(key, rows):
         """Which hashes of each block others have too, and which are hot."""
         blobs = [unpacked(x.as_py()) for x in rows.column("hashes")]
-        every = np.sort(np.concatenate(blobs))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        every, blocks = np.unique(np.concatenate(blobs), return_counts=True)
         heavy = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in rows.column("heavy")]
         values, where = np.unique(np.concatenate([x[0] for x in heavy]), return_inverse=True)
         sums = np.bincount(where, np.concatenate([x[1] for x in heavy]).astype(float), len(values))
-        hot = values[sums >= hot_from]
+        hot = np.union1d(values[sums >= hot_from], every[blocks >= hot_blocks])
         out = []
         for b, h in zip(rows.column("block"), blobs):
-            mine, warm = h[_has(twice, h)], h[_has(hot, h)]
+            mine, warm = h[_has(every[blocks > 1], h)], h[_has(hot, h)]
             if len(mine) or len(warm):
                 out.append((b.as_py(), packed(mine), packed(warm)))
         return _table(SHARED, out)
@@ -266,17 +296,18 @@ def _strings(block: _Block, told: pa.Table, bits: int):
     starts, that where its first window does, its windows, document and distinct
     string; of each distinct string: its bytes, first window and windows, and route."""
     at, hot = _chosen(block, told)
-    base, start, count, docs, hashes = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    distinct = [np.zeros(0, np.uint64)], [np.zeros((0, WIDE), np.uint8)], [np.zeros((0, 2), np.uint8)], [np.zeros(0, np.uint64)]
-
-    def add(number, begin, first, windows, rows, route):
-        marked = np.c_[rows, first.astype(np.uint8), windows.astype(np.uint8)]
-        h = _row_hash(marked)
-        for x, y in ((base, begin), (start, begin + first), (count, windows), (docs, block.docs[number]), (hashes, h)):
-            x.append(y)
-        one = np.unique(h, return_index=True)[1]
-        for x, y in zip(distinct, (h[one], rows[one], marked[one, WIDE:], h[one] >> np.uint64(64 - bits) if route is None else route[one])):
+    base, start, count, docs, number = ([np.zeros(0, np.int64)] for _ in range(5))
+    marked, routes, seen = [np.zeros((0, WIDE + 2), np.uint8)], [np.zeros(0, np.uint64)], 0
+
+    def add(of, begin, first, windows, rows, route):
+        nonlocal seen
+        both = np.c_[rows, first.astype(np.uint8), windows.astype(np.uint8)]
+        one, where = _distinct(both)
+        for x, y in ((base, begin), (start, begin + first), (count, windows), (docs, block.docs[of]), (number, where + seen)):
             x.append(y)
+        marked.append(both[one])
+        routes.append(_row_hash(both[one]) >> np.uint64(64 - bits) if route is None else route[one])
+        seen += len(one)
 
     for low in range(0, len(at), 1 << 14):
         part, warm = at[low : low + (1 << 14)], hot[low : low + (1 << 14)]
@@ -289,9 +320,10 @@ def _strings(block: _Block, told: pa.Table, bits: int):
             single = np.full((len(each), WIDE), 255, np.uint8)  # no byte of UTF-8, so never equal to a context
             single[:, :WINDOW] = rows[each[:, None], shift[:, None] + np.arange(WINDOW)]
             add(part[each], block.places[part[each]] - LEFT + shift, np.zeros(len(each), np.int64), np.ones(len(each), np.int64), single, None)
-    h, one = np.unique(np.concatenate(distinct[0]), return_index=True)
-    strings = [np.concatenate(x)[one] for x in distinct[1:]]
-    return [np.concatenate(x) for x in (base, start, count, docs)], np.searchsorted(h, np.concatenate(hashes)), strings
+    every = np.concatenate(marked)
+    one, where = _distinct(every)
+    strings = every[one, :WIDE], every[one, WIDE:], np.concatenate(routes)[one]
+    return [np.concatenate(x) for x in (base, start, count, docs)], where[np.concatenate(number)], strings
 
 
 def _send(buckets: int, bits: int):
@@ -343,18 +375,61 @@ def window_ranks(text: np.ndarray) -> np.ndarray:
     return _rank(rank[:, :GRAMS] << np.uint64(32) | rank[:, over : over + GRAMS])
 
 
+def smaller_before(docs: np.ndarray) -> np.ndarray:
+    """For each place of a row of numbers the nearest place before it with a smaller
+    number, -1 if there is none: halving steps over minima of 1, 2, 4 ... numbers."""
+    n = len(docs)
+    lows, size = [docs], 1  # the minima of the ``size`` numbers up to each place
+    while size * 2 <= n:
+        x = lows[-1].copy()
+        np.minimum(x[size:], lows[-1][:-size], out=x[size:])
+        lows.append(x)
+        size *= 2
+    at = np.arange(-1, n - 1)
+    for low in reversed(lows):
+        inside = at >= 0
+        skip = inside & (low[np.where(inside, at, 0)] >= docs)
+        at[skip] -= size
+        size //= 2
+    return np.maximum(at, -1)
+
+
+def _common(text: np.ndarray, row: np.ndarray, place: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bytes, up to WINDOW, that suffixes (by row and place) have in common with the
+    ``other``s, 0 for other -1."""
+    flat, out = text.ravel(), np.zeros(len(row), np.int64)
+    begin = row * WIDE + place
+    some = np.flatnonzero(other >= 0)
+    for j in range(0, WINDOW, 10):  # those that still agree, ten bytes further
+        x, y = begin[some], begin[other[some]]
+        same = np.stack([flat[x + i] == flat[y + i] for i in range(j, min(j + 10, WINDOW))])
+        run = np.logical_and.accumulate(same).sum(axis=0)
+        out[some] += run
+        some = some[run == len(same)]
+    return out
+
+
+def previous_factors(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, longest previous factor) of the suffixes of strings at their
+    windows, in suffix order. The factor, of up to WINDOW bytes, is the longest that a
+    suffix has in common with one of a smaller document."""
+    rank = window_ranks(text)
+    j = np.arange(GRAMS)
+    row, place = np.nonzero((j >= windows[:, :1]) & (j < windows.sum(axis=1, dtype=np.int64)[:, None]))
+    suffix = np.argsort(rank[row, place], kind="stable")
+    row, place = row[suffix], place[suffix]
+    d = np.unique(docs, return_inverse=True)[1].astype(np.int32)[row]
+    before = smaller_before(d)
+    after = len(d) - 1 - smaller_before(d[::-1])[::-1]
+    after[after == len(d)] = -1
+    return row, place, np.maximum(_common(text, row, place, before), _common(text, row, place, after))
+
+
 def _earlier(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Masks of the windows of each distinct string that a smaller document has."""
     mask = np.zeros(len(text), np.uint32)
-    rank = window_ranks(text)
-    j = np.arange(GRAMS)
-    within = (j >= windows[:, :1]) & (j < windows.sum(axis=1, dtype=np.int64)[:, None])
-    row, place = np.nonzero(within)
-    suffix = np.lexsort((docs[row], rank[row, place]))  # suffix order, ties by document
-    r, d = rank[row, place][suffix], docs[row][suffix]
-    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-    before = np.repeat(d[first], np.diff(np.r_[first, len(r)]))  # the previous smaller, if it is smaller
-    found = suffix[before < d]
+    row, place, factor = previous_factors(text, windows, docs)
+    found = factor >= WINDOW
     np.bitwise_or.at(mask, row[found], np.uint32(1) << place[found].astype(np.uint32))
     return mask
 
@@ -366,11 +441,11 @@ def _decide(key, rows):
         return _table(CUTS, [(b, 0, x, y, z) for b, x, y, z in zip(*(rows.column(c).to_pylist() for c in ("block", "number", "docs", "bytes")))])
     join = lambda c, t, plain=unsqueezed: np.concatenate([np.frombuffer(plain(x.as_py()), t) for x in rows.column(c)])
     docs, windows, text = join("docs", np.int64), join("windows", np.uint8, bytes).reshape(-1, 2), join("bytes", np.uint8).reshape(-1, WIDE)
-    h, one, where = np.unique(_row_hash(np.c_[text, windows]), return_index=True, return_inverse=True)
-    least = np.full(len(h), np.iinfo(np.int64).max)
+    one, where = _distinct(np.c_[text, windows])
+    least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, where, docs)
     text, windows = text[one], windows[one]
-    mask = np.zeros(len(h), np.uint32)
+    mask = np.zeros(len(one), np.uint32)
     gram = _row_hash(text[:, LEFT : LEFT + GRAM])
     order = np.argsort(gram, kind="stable")
     first = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
@@ -403,9 +478,9 @@ KEPT_SCHEMA = pa.schema([("id", pa.int64()), ("kept", pa.binary()), ("n_bytes",
 
 
 def _cut(key, rows, told):
-    if not rows.num_rows:
+    if not rows.num_rows:  # cannot be: what is told comes from the block's own rows
         return _table(KEPT_SCHEMA, [])
-    rows, copies = _ordered(rows)
+    rows, copies = _ordered(rows, True)
     data, offsets = scan.bytes_of(rows.column("text"))
     edge = np.zeros(len(data) + 1, np.int64)
     masks = np.zeros(0, np.uint32)
@@ -442,7 +517,11 @@ def _cut(key, rows, told):
     out = pa.Table.from_arrays([rows.column("id"), pa.array(kept, pa.binary()), diff(offsets), diff(sums[offsets]), diff(spans[offsets])], schema=KEPT_SCHEMA)
     n = pa.compute.binary_length(copies.column("text").cast(pa.binary())).cast(pa.int64())
     whole = [copies.column("id"), pa.array([b""] * len(copies), pa.binary()), n, n, pa.array(np.ones(len(copies), np.int64))]
-    return pa.concat_tables([out, pa.Table.from_arrays(whole, schema=KEPT_SCHEMA)])
+    out = pa.concat_tables([out, pa.Table.from_arrays(whole, schema=KEPT_SCHEMA)])
+    both = pa.concat_tables([rows, copies])
+    for name in both.column_names[2:]:
+        out = out.append_column(name, both.column(name))
+    return out
 
 
 def _grouped(f):
@@ -455,27 +534,28 @@ def _cogrouped(f):
     return lambda key, rows, told: rest(key, rows, told)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK, heavy: int = HEAVY, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK, heavy: int = HEAVY, hot: int = HOT, hot_blocks: int = HOT_BLOCKS, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: id, kept (the remaining bytes), n_bytes, n_removed,
-    n_spans (maximal removed runs).
+    n_spans (maximal removed runs), and the columns to ``carry``.
 
     A null text counts as empty. Texts under WINDOW bytes stay whole. Rows with equal
     ids never take bytes from each other. A row with a null id stays whole and takes
     nothing from others. Other columns are ignored; an empty table gives no rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kinds, names = dict(docs.dtypes), [f"_{n}" for n in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names)))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     long = rows.where(F.col("n_bytes") >= WINDOW).where("id is not null")
     n = total(long, "n_bytes")
     blocks = max(1, -(-n // block_bytes))
     bits = max(32, min(55, n.bit_length() + 8))
     buckets = max(blocks, 12)
-    dealt = long.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).mapInArrow(_bundles, _ddl(BUNDLES))
+    dealt = long.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), *names).mapInArrow(_bundles, _ddl(BUNDLES))
     parts = dealt.groupBy("block").applyInArrow(_grouped(_announce(buckets, bits, heavy)), _ddl(PARTS))
-    shared = parts.groupBy("bucket").applyInArrow(_grouped(_compare(hot)), _ddl(SHARED))
+    shared = parts.groupBy("bucket").applyInArrow(_grouped(_compare(hot, hot_blocks)), _ddl(SHARED))
     sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cogrouped(_send(buckets, bits)), _ddl(SENT))
     to = F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket"))
     told = staged(sent.withColumn("to", to).groupBy("to").applyInArrow(_grouped(_decide), _ddl(CUTS)), "cuts")
-    done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cogrouped(_cut), KEPT)
+    done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cogrouped(_cut), KEPT + "".join(f", {n} {kinds[c]}" for c, n in zip(carry, names)))
     zero = F.lit(0).cast("long")
-    whole = rows.where((F.col("n_bytes") < WINDOW) | F.col("id").isNull()).select("id", F.col("text").cast("binary").alias("kept"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"))
-    return done.union(whole).withColumnRenamed("id", id_col)
+    whole = rows.where((F.col("n_bytes") < WINDOW) | F.col("id").isNull()).select("id", F.col("text").cast("binary").alias("kept"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), *names)
+    return done.union(whole).select(F.col("id").alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", *(F.col(n).alias(c) for c, n in zip(carry, names)))
