@@ -2,12 +2,13 @@
 
 Each shard of pieces is packed by itself. Lengths over ``SMALL`` are sorted and cut
 into ``GROUPS`` groups of equal cardinality, and rounded up to their group's largest.
-Over these few sizes the configurations that fit into a sequence are enumerated, best
-filled first, and as many sequences of each are opened as its sizes last; each slot is
-then filled by an actual document of its group. Small pieces, and what the
-configurations leave over, go where they leave least room (best fit, largest first).
-Sequences of one shard that stay below half are at most one, so shards cost next to
-nothing in sequences.
+Over these few sizes the number of sequences is optimised as a linear program over all
+configurations that fit into a sequence; those that can improve it are found one by one
+by dynamic programming over the capacity (column generation). As many sequences of each
+configuration are opened as the optimum has whole ones, and each slot is filled by an
+actual document of its group. What is left of fractions, and then the small pieces, go
+where they leave least room (best fit, largest first). Sequences of one shard that stay
+below half are at most one, so shards cost next to nothing in sequences.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ class WordCache:
         import unicodedata
 
         low = chunk.lower()
-        if "<|" in chunk or "Σ" in chunk or len(low) != len(chunk) or not (chunk.isascii() or unicodedata.is_normalized("NFC", chunk) and unicodedata.is_normalized("NFC", low)):
+        if "<|" in chunk or "Σ" in chunk or len(low) != len(chunk) or not (chunk.isascii() or unicodedata.is_normalized("NFC", chunk) and unicodedata.is_normalized("NFC", low) and not any(unicodedata.category(x) == "Cn" for x in chunk)):  # what is unassigned here the file's tables may know
             return None
         return self.pattern.findall(low)
 
@@ -129,39 +130,52 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(batches, ddl)
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, group numbers of the slots) of sequences over rounded sizes, given in
-    falling order with how many there are of each. Each configuration starts with the
-    largest size left, and of all that fit on top of it takes the one that leaves
-    least room; it is used as often as its sizes last."""
-    left, out = list(counts), []
-    for g in range(len(sizes)):
-        while left[g]:
-            best = _fill(sizes, left, g, capacity)
-            times = min(left[i] // n for i, n in ((i, best.count(i)) for i in set(best)))
-            for i in best:
-                left[i] -= times
-            out.append((times, best))
+def best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is in the most valuable configuration that fits: a knapsack,
+    one more slot a round."""
+    best, choice = np.zeros(capacity + 1), []
+    while True:
+        more, pick = best.copy(), np.full(capacity + 1, -1)
+        for i, (size, v) in enumerate(zip(sizes.tolist(), value.tolist())):
+            if v > 0 and size <= capacity:
+                better = best[: capacity + 1 - size] + v > more[size:] + 1e-12
+                more[size:][better] = best[: capacity + 1 - size][better] + v
+                pick[size:][better] = i
+        if (pick < 0).all():
+            break
+        choice.append(pick)
+        best = more
+    out, room = np.zeros(len(sizes), np.int64), capacity
+    for pick in reversed(choice):
+        if pick[room] >= 0:
+            out[pick[room]] += 1
+            room -= int(sizes[pick[room]])
     return out
 
 
-def _fill(sizes: list[int], left: list[int], g: int, capacity: int) -> list[int]:
-    best: tuple[int, list[int]] = (capacity + 1, [])
-    steps = 0
-
-    def go(i: int, room: int, taken: list[int]):
-        nonlocal best, steps
-        steps += 1
-        if room < best[0]:
-            best = (room, taken)
-        for j in range(i, len(sizes)):
-            if best[0] == 0 or steps > 1_000:
-                return
-            if sizes[j] <= room and left[j] > taken.count(j):
-                go(j, room - sizes[j], [*taken, j])
-
-    go(g, capacity - sizes[g], [g])
-    return best[1]
+def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """(times, group numbers of the slots) of sequences over rounded sizes, of which
+    there are so many each. The linear program for the fewest sequences is solved by
+    column generation, and each configuration is used as often as its optimum has
+    whole sequences."""
+    if not sizes:
+        return []
+    size, want = np.array(sizes), np.array(counts, float)
+    basis = np.diag((capacity // size).astype(float))
+    times = want / (capacity // size)
+    for _ in range(100 * len(sizes)):  # far more than it takes; any state is a valid one
+        worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        new = best_pattern(size, worth, capacity)
+        if new @ worth <= 1 + 1e-9:
+            break
+        change = np.linalg.solve(basis, new.astype(float))
+        steps = np.where(change > 1e-9, times / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(steps.argmin())
+        step = steps[out]
+        times = np.maximum(times - step * change, 0)
+        times[out] = step
+        basis[:, out] = new
+    return [(int(t + 1e-6), np.repeat(np.arange(len(sizes)), c.astype(int)).tolist()) for t, c in zip(times, basis.T) if t + 1e-6 >= 1]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +197,13 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, small: int = SMALL, grou
             for _ in range(times):
                 used = 0
                 for g in slots:
-                    i = stock[g].pop()
-                    sequence[i], offset[i] = len(room), used
-                    used += int(lengths[i])
+                    if stock[g]:
+                        i = stock[g].pop()
+                        sequence[i], offset[i] = len(room), used
+                        used += int(lengths[i])
                 room.append(capacity - used)
-    # what a configuration left half empty is taken apart, and packed by best fit
+        left = np.array(sorted((i for s in stock for i in s), key=lambda i: (-lengths[i], i)), np.int64)
+        rest = np.concatenate([left, rest])
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_ = 0
     for s, r in enumerate(room):

@@ -503,3 +503,30 @@ def test_empty_tables(spark):
     assert licenses.license_scan(none).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.digests(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_token_ids_of_every_code_point():
+    """Planes 4 to 13, 15 and 16 hold no assigned characters but private ones."""
+    cache = packing.WordCache(queries.tokenizer_path())
+    points = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200), 0x50000, 0xF0000, 0x10FFFF]]
+    for low in range(0, len(points), 40_000):
+        texts = [f"a{x}b" for x in points[low : low + 40_000]]
+        want = cache.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert [t for t, w in zip(texts, want) if cache.encode(t) != np.array(w.ids, "<u4").tobytes()] == []
+
+
+def test_configurations():
+    """The knapsack against all ways to fill a sequence; the optimum near its bound."""
+    sizes, counts = [2100, 1900, 1000, 600], [300, 500, 700, 900]
+    found = packing.configurations(sizes, counts)
+    used = np.zeros(4, int)
+    for times, slots in found:
+        assert sum(sizes[g] for g in slots) <= 4096
+        used += times * np.bincount(slots, minlength=4)
+    assert (used <= counts).all() and (counts - used).sum() <= 4 * 6 and sum(t for t, _ in found) <= 1.05 * np.dot(sizes, counts) / 4096
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        size, value = r.integers(5, 40, 4), r.random(4)
+        best = max(a * value[0] + b * value[1] + c * value[2] + d * value[3] for a in range(21) for b in range(21) for c in range(21) for d in range(21) if a * size[0] + b * size[1] + c * size[2] + d * size[3] <= 100)
+        got = packing.best_pattern(size, value, 100)
+        assert got @ size <= 100 and abs(got @ value - best) < 1e-9
