@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by spark.checkpoint.dir; where
-    the session names none (tests), a new local one."""
+    """The folder that all executors share, named by spark.checkpoint.dir; where a
+    local session names none (tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -62,10 +64,38 @@ def released(f):
 
         out = f(*args)
         pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # no glibc here
-            pass
+        _trim()
         return out
 
     return wrapped
+
+
+#: Bytes of text that an operator looks at at once.
+SLICE = 6 << 20
+
+
+def slices(batches, column: str, most: int = SLICE):
+    """Arrow batches cut into parts of about ``most`` bytes in a column, so that what a
+    task holds besides doesn't grow with the batch; a longer row is a part of its own.
+    Memory goes back to the machine in the end, as Python workers live on."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+        if not batch.num_rows:
+            yield batch
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc here
+        pass

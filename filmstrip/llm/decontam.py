@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .common import slices
 
 #: Words of the shortest item.
 SHORTEST = 3
@@ -302,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def batches(it, items=tuple(sorted(items))):
             index = _index(items)
-            for batch in it:
+            for batch in slices(it, "text"):
                 h, begin = scan.words(batch.column("text"), scan.ALNUM)
                 found = list(index.hits(h, begin)) if batch.num_rows else []
                 row = pa.array([f[0] for f in found], pa.int64())

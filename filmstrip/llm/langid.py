@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .common import slices
 
 LONGEST, ROUNDS, FLOOR = 32, 4, 1e-9
 #: Expected documents of a language that are fitted on, and the distinct words of each.
@@ -152,7 +153,7 @@ def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """lang, word, n over the rows of ``docs``."""
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it, "text"):
             langs = batch.column(0).to_pylist()
             words, number, begin = _distinct(batch.column(1))
             row = np.repeat(np.arange(len(langs)), np.diff(begin))
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
         if vocabulary not in _vocabularies:
             _vocabularies[vocabulary] = Vocabulary(vocabulary)
         v = _vocabularies[vocabulary]
-        for batch in it:
+        for batch in slices(it, text_col):
             text = batch.column(text_col)
             words, number, begin = _distinct(text)
             rows = batch.num_rows

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .common import slices
 
 # Phrases whose consecutive words are places of a licence.
 PHRASES = {
@@ -220,7 +221,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if key not in _scanners:
             _scanners[key] = _Scanner(templates, phrases)
         scanner = _scanners[key]
-        for batch in it:
+        for batch in slices(it, "text"):
             h, begin = scan.words(batch.column(1), scan.ALNUM)
             cols: list[list] = [[] for _ in names[1:]]
             for a, b in zip(begin, begin[1:]):

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import sized, staged
+from .common import sized, slices, staged
 from .components import components
 
 ROWS, BANDS, MANTISSA = 6, 40, 10
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, word: np.ndarray, wi
     kinds = dict(docs.dtypes)
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it, "text"):
             h, begin = scan.words(batch.column("text"), word)
             n, keys, regs, bands = [], [], [], []
             for a, b in zip(begin, begin[1:]):
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, word: np.ndarray, width: int) -> DataFrame:
     sorted, eight bytes a hash."""
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it, "text"):
             h, begin = scan.words(batch.column("text"), word)
             sets = [np.unique(scan.shingle_hashes(h[a:b], width)) for a, b in zip(begin, begin[1:])]
             right = pa.array([_key(u) == k for u, k in zip(sets, batch.column("key").to_pylist())], pa.bool_())

@@ -191,12 +191,15 @@ def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     """64-bit hashes of rows of bytes."""
-    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    wide[:, : rows.shape[1]] = rows
-    h = np.zeros(len(rows), np.uint64)
-    for word in wide.view(np.uint64).T:
-        h = scan.mix(h * np.uint64(0xD6E8FEB86659FD93) + word)
-    return h
+    out = np.zeros(len(rows), np.uint64)
+    for low in range(0, len(rows), 1 << 16):
+        part = rows[low : low + (1 << 16)]
+        wide = np.zeros((len(part), -(-rows.shape[1] // 8) * 8), np.uint8)
+        wide[:, : rows.shape[1]] = part
+        h = out[low : low + len(part)]
+        for word in wide.view(np.uint64).T:
+            h[:] = scan.mix(h * np.uint64(0xD6E8FEB86659FD93) + word)
+    return out
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +207,8 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     find equal rows, bytes decide."""
     h = _row_hash(rows)
     one, where = np.unique(h, return_index=True, return_inverse=True)[1:]
-    if len(rows) and not (rows[one][where] == rows).all():  # rows of one hash that differ
+    parts = range(0, len(rows), 1 << 16)
+    if not all((rows[one[where[a : a + (1 << 16)]]] == rows[a : a + (1 << 16)]).all() for a in parts):  # one hash, other bytes
         plain = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
         one, where = np.unique(plain, return_index=True, return_inverse=True)[1:]
     return one, where.ravel()
@@ -441,10 +445,13 @@ def _decide(key, rows):
         return _table(CUTS, [(b, 0, x, y, z) for b, x, y, z in zip(*(rows.column(c).to_pylist() for c in ("block", "number", "docs", "bytes")))])
     join = lambda c, t, plain=unsqueezed: np.concatenate([np.frombuffer(plain(x.as_py()), t) for x in rows.column(c)])
     docs, windows, text = join("docs", np.int64), join("windows", np.uint8, bytes).reshape(-1, 2), join("bytes", np.uint8).reshape(-1, WIDE)
-    one, where = _distinct(np.c_[text, windows])
+    both = np.c_[text, windows]
+    del text, windows
+    one, where = _distinct(both)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, where, docs)
-    text, windows = text[one], windows[one]
+    both = both[one]
+    text, windows = both[:, :WIDE], both[:, WIDE:]
     mask = np.zeros(len(one), np.uint32)
     gram = _row_hash(text[:, LEFT : LEFT + GRAM])
     order = np.argsort(gram, kind="stable")
