@@ -91,7 +91,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.join(labels, "doc_id").where(_part(3) != 1)
+    chosen = toxicity.sampled(labels.where(_part(3) != 1), "toxic", F.col("doc_id"))
+    labelled = docs.join(F.broadcast(chosen), "doc_id")  # about SAMPLE rows of each label
     model = toxicity.fit(labelled, "toxic", key=F.col("doc_id"))
     found = toxicity.score(docs, model)
     return found.select("doc_id", (_part(3) == 1).alias("held_out"), "score", "predicted")
