@@ -29,11 +29,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "pages"))
     stored = F.col("type") == "response"
     return read.select(
-        F.col("id").cast("long").alias("page_id"),
+        F.col("id").try_cast("long").alias("page_id"),
         F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
         F.when(stored, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
-        F.when(~stored, F.col("refers_to").cast("long")).alias("refers_to"),
+        F.when(~stored, F.col("refers_to").try_cast("long")).alias("refers_to"),
     )
 
 

@@ -53,12 +53,13 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = REVISIT) -> None:
-    """Writes one record per row of ``pages``.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes one record per row of ``pages``, all of the same ``date``. A record's id is
+    a UUID made of the row's id and its payload's digest.
 
     Null payloads are empty. Of equal payloads of ``least`` bytes or more the row with
     the smallest id is a response and the others are revisits that refer to it; rows
-    that repeat that id are responses too. Rows with a null id have the id ``null`` and
+    that repeat that id are responses too. Rows with a null id have none and
     are responses. Line breaks in urls become blanks."""
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_replace(url_col, r"[\r\n]", " "), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
@@ -68,16 +69,19 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     kinds = dict(rows.dtypes) | {"html": "binary"}
     rows = rows.select(*names).mapInArrow(_squeezed, ", ".join(f"{n} {kinds[n]}" for n in names)).join(firsts, "digest", "left")
     again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    hashed = lambda c: F.md5(F.concat_ws(" ", F.coalesce(c.cast("string"), F.lit("null")), F.col("digest"), F.when(c.isNull(), F.col("url"))))
+    urn = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hashed(c), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-5$3-8$4-$5"), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("id"))),
+        line("WARC-Date", F.lit(date)),
+        F.coalesce(line("Page-ID", F.col("id").cast("string")), F.lit("")),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Payload-Length", F.col("bytes").cast("string")),
-        F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first"))))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first"))), line("Refers-To-Page", F.col("first").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.lit("Content-Length: "),
         F.when(again, 0).otherwise(F.col("bytes")).cast("string"),
@@ -153,7 +157,6 @@ _READ = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("type", pa.st
 
 
 def _records(batches):
-    name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else None
     for batch in batches:
         rows: list[tuple] = []
         held = 0
@@ -163,11 +166,13 @@ def _records(batches):
                     f.seek(at)
                     data, end = _blank(f, f.read(HEAD), 0)
                     h = _record(data[:end])
-                    n = int(h["content-length"])
+                    n = int(h.get("content-length", -1))
                     f.seek(at + end + 4)
-                    payload = f.read(n)
+                    payload = f.read(max(n, 0))
+                    if end < 0 or len(payload) != n:  # the file ends within the record
+                        break
                     length = h.get("warc-payload-length")
-                    rows.append((path, at, h.get("warc-type"), name(h.get("warc-record-id")), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None, int(length) if length else None, name(h.get("warc-refers-to")), payload))
+                    rows.append((path, at, h.get("warc-type"), h.get("page-id"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None, int(length) if length else None, h.get("refers-to-page"), payload))
                     at += end + 4 + n + 4
                     held += end + n
                     if held >= BATCH:
@@ -177,12 +182,14 @@ def _records(batches):
             yield pa.RecordBatch.from_pylist([dict(zip(_FIELDS, r)) for r in rows], schema=_READ)
 
 
-def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE, whole: bool = True) -> DataFrame:
     """One row per record that the chain from its file's start reaches: path, offset,
     type, id, url, digest, payload_length (of the full payload), refers_to, payload.
 
-    A chain ends where no record follows; what lies behind is not reached. Empty files
-    and an empty folder have no records. Header fields that are missing are null."""
+    A chain ends where no record follows. Where that is not the file's end, what lies
+    behind can't be told from payloads: ValueError, or, if the files need not be
+    ``whole``, the complete records before it. Empty files and an empty folder have no
+    records. Header fields that are missing are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")
     files = staged(files.select(F.xxhash64("path").alias("file"), "path", "length"), "files")
     most = files.agg(F.max("length"), F.sum("length")).first()
@@ -190,7 +197,10 @@ def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE) -
     ranges = ranges.select("file", "path", "low", F.least(F.col("low") + range_bytes, "length").alias("high"))
     tasks = max(1, math.ceil((most[1] or 0) / range_bytes))
     spread = ranges.repartition(tasks, "path", "low")
-    jumps = staged(spread.mapInArrow(_edges, "file long, at long, out long"), "edges")
+    edges = staged(spread.mapInArrow(_edges, "file long, at long, out long"), "edges")
+    # only what another range's chain leads to can be on the way: about one row a range
+    led = edges.select("file", F.col("out").alias("at")).distinct().union(edges.select("file", F.lit(0).cast("long").alias("at")).distinct())
+    jumps = staged(edges.join(led, ["file", "at"], "left_semi"), "jumps")
     reached = jumps.where("at = 0").select("file", "at")
     rounds = math.ceil(math.log2(max(1, math.ceil((most[0] or 1) / range_bytes)))) + 1
     for n in range(rounds):
@@ -198,6 +208,10 @@ def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE) -
         if n + 1 < rounds:
             further = jumps.select("file", F.col("at").alias("out"), F.col("out").alias("beyond"))
             jumps = staged(jumps.join(further, ["file", "out"], "left").select("file", "at", F.coalesce("beyond", "out").alias("out")), "jumps")
+    if whole:
+        ends = files.join(reached.groupBy("file").agg(F.max("at").alias("end")), "file", "left").where("end is null or end != length").select("path").limit(1).collect()
+        if ends:
+            raise ValueError(f"{ends[0][0]} does not end with a whole record")
     entries = reached.join(jumps.select("file", "at"), ["file", "at"], "left_semi")
     entries = entries.withColumn("low", F.col("at") - F.col("at") % range_bytes)
     found = ranges.join(entries.groupBy("file", "low").agg(F.min("at").alias("at")), ["file", "low"]).select("path", "at", "high")

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -530,3 +531,34 @@ def test_configurations():
         best = max(a * value[0] + b * value[1] + c * value[2] + d * value[3] for a in range(21) for b in range(21) for c in range(21) for d in range(21) if a * size[0] + b * size[1] + c * size[2] + d * size[3] <= 100)
         got = packing.best_pattern(size, value, 100)
         assert got @ size <= 100 and abs(got @ value - best) < 1e-9
+
+
+def test_vectors_copies_doubles_and_names(spark):
+    """Many copies, numbers beyond single precision, repeated ids, clashing names."""
+    r = np.random.default_rng(9)
+    a, b, c = (r.standard_normal(8).tolist() for _ in range(3))
+    rows = [(i, a, 0) for i in range(3000)] + [(4000, [x * 1e200 for x in b], 0), (4001, [x * 1e-200 for x in b], 0), (4002, [x + 1e-9 for x in b], 0), (5000, c, 0), (5000, b, 0), (5001, c, 0)]
+    df = spark.createDataFrame([(*x, 1, 2, 3, "k") for x in rows], "vec_id long, embedding array<double>, label int, m int, h1 long, id long, node string")
+    got = sorted((g.vec_id, g.n_links, g.component_id, g.kept) for g in vectors.near_vectors(df).collect())
+    assert got[:3000] == [(i, 2999, 0, i == 0) for i in range(3000)]
+    assert got[3000:] == [(4000, 3, 4000, True), (4001, 3, 4000, False), (4002, 3, 4000, False), (5000, 1, 5000, True), (5000, 3, 4000, False), (5001, 1, 5000, False)]
+
+
+def test_archives_of_null_ids_and_broken_files(spark):
+    pages = [(None, "u", "a" * 200), (1, None, "a" * 200), (2, "u", "a" * 200), (None, None, None)]
+    path = warc.scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((str(g.id), g.type, str(g.refers_to)) for g in got) == [("1", "response", "None"), ("2", "revisit", "1"), ("None", "response", "None"), ("None", "response", "None")]
+    import glob
+
+    name = next(f for f in glob.glob(f"{path}/part-*") if Path(f).stat().st_size)
+    data = Path(name).read_bytes()
+    assert data.count(b"\r\nWARC-Date: ") == 4 and len(set(re.findall(rb"WARC-Record-ID: <urn:uuid:[0-9a-f-]{36}>", data))) == 4
+    for cut in (len(data) - 2, len(data) - 30, len(data) - 190):
+        broken = warc.scratch(spark, "warc-test")
+        Path(broken).mkdir()
+        Path(broken, "x.warc").write_bytes(data[:cut])
+        with pytest.raises(ValueError, match="x.warc"):
+            warc.read_archives(spark, broken)
+        assert 1 <= warc.read_archives(spark, broken, whole=False).count() <= 4
