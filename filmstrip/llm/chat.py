@@ -1,10 +1,13 @@
 """Chat formatting in budgeted, turn-aligned windows. DataFrame functions only.
 
 The prefix sum of a conversation's turn tokens says in which span a turn starts, so
-spans need no loop. Each span becomes one window: the conversation's first system turn,
-a limited number of turns before the span again, and the span itself. Only assistant
-turns of the span are under the loss mask; whatever is repeated is masked, so that
-every target occurs once over all windows of a conversation.
+spans need no loop. What the system turn leaves of the budget is the room; a turn of
+over a quarter of it is a span of its own, and the others share a span if they start in
+the same half of the room, so these spans leave a quarter for history. Each span becomes
+one window: the conversation's first system turn, as many of a limited number of turns
+before the span as still fit, and the span itself. Only assistant turns of the span are
+under the loss mask; whatever is repeated is masked, so that every target occurs once
+over all windows of a conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside roles and texts a
 caret goes between ``<`` and ``|`` behind any carets that are there (``<|`` to ``<^|``,
@@ -38,8 +41,8 @@ def _unrole(role: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """An upper estimate of a turn's tokens that needs no vocabulary: words and other
-    characters, and a third of the letters."""
+    """An estimate of a turn's tokens that needs no vocabulary: words and other
+    characters, or a third of all characters if that is more, and the turn's marks."""
     return F.greatest(F.ceil(F.char_length(text) / 3), F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))) + 4
 
 
@@ -50,26 +53,37 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     Null texts and roles count as empty; turns are in order of turn, ties in order of
     role and text, null turns first; a null conversation id is a conversation. Repeated
-    rows are repeated turns. A span's turns start within ``budget`` tokens less what the
-    system turn takes, so a turn longer than that is a window of its own. Other
-    columns are ignored; an empty table gives no windows."""
+    rows are repeated turns. n_tokens is at most ``budget`` but where a window's one new
+    turn, with the system turn, takes more by itself; then nothing else is repeated.
+    Other columns are ignored; an empty table gives no windows."""
     t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     t = t.withColumn("n", tokens(F.col("text")))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     recent = order.rowsBetween(-history, -1)
     t = t.withColumn("at", F.row_number().over(order) - 1)
-    t = t.withColumn("system", F.first(F.when(F.col("role") == "system", F.struct("at", "role", "text", "n")), ignorenulls=True).over(order))
-    room = F.greatest(F.lit(budget) - F.coalesce("system.n", F.lit(0)), F.lit(1))
-    t = t.withColumn("span", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / room))
-    t = t.withColumn("recent", F.collect_list(F.struct("at", "role", "text", "n")).over(recent))
+    first = F.first(F.when(F.col("role") == "system", F.struct("at", "role", "text", "n")), ignorenulls=True)
+    t = t.withColumn("system", first.over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    t = t.withColumn("room", F.greatest(F.lit(budget) - F.coalesce("system.n", F.lit(0)), F.lit(1)))
+    large = (F.col("n") > F.floor(F.col("room") / 4)).cast("int")
+    # small turns before, so that large ones don't move the others' spans; and large ones up to here
+    t = t.withColumn("large", large).withColumn("sum", F.coalesce(F.sum(F.when(large == 0, F.col("n"))).over(before), F.lit(0)))
+    t = t.withColumn("larges", F.sum("large").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("span", F.struct("larges", (1 - F.col("large")).alias("small"), F.when(F.col("large") == 0, F.floor(F.col("sum") / F.greatest(F.floor(F.col("room") / 2), F.lit(1)))).alias("cell")))
+    new = ~F.coalesce(F.lag("span").over(order) == F.col("span"), F.lit(False))
+    t = t.withColumn("recent", F.when(new, F.collect_list(F.struct("at", "role", "text", "n")).over(recent)))
     spans = t.groupBy("conv", "span").agg(
         F.array_sort(F.collect_list(F.struct("at", "role", "text", "n"))).alias("own"),
         F.min(F.struct("at", "recent", "system")).alias("head"),
     )
     spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("conv").orderBy("span")) - 1)
-    past = F.when(F.col("span") > 0, F.array_sort("head.recent")).otherwise(F.array().cast(spans.schema["own"].dataType))
-    system = F.when(F.col("head.system").isNotNull() & (F.col("head.system.at") < F.col("head.at")) & ~F.exists(past, lambda x: x["at"] == F.col("head.system.at")), F.array("head.system")).otherwise(F.array().cast(spans.schema["own"].dataType))
+    tokens_of = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    none = F.array().cast(spans.schema["own"].dataType)
+    system = F.when(F.col("head.system.at") < F.col("head.at"), F.array("head.system")).otherwise(none)
+    spans = spans.withColumns({"sys": system, "past": F.array_sort(F.filter("head.recent", lambda x: ~F.coalesce(x["at"] == F.col("head.system.at"), F.lit(False))))})
+    spans = spans.withColumn("slack", F.lit(budget) - tokens_of(F.col("sys")) - tokens_of(F.col("own")))
+    past = F.filter("past", lambda x: tokens_of(F.filter("past", lambda y: y["at"] >= x["at"])) <= F.col("slack"))
+    system = F.col("sys")
     spans = spans.withColumn("again", F.concat(system, past))
     shown = F.concat(
         F.transform("again", lambda x: F.struct(F.concat(F.lit(START), _role(x["role"]), F.lit("\n")).alias("head"), escaped(x["text"]).alias("text"), F.lit(False).alias("target"), x["n"].alias("n"))),

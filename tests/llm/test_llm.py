@@ -288,6 +288,24 @@ def test_pack_is_close_to_the_bound():
         assert at[i].tolist() == np.r_[0, np.cumsum(lengths[i])[:-1]].tolist()
 
 
+def within_budget(windows, budget=chat.BUDGET):
+    """Only a window of one new turn, with the system turn, may be larger."""
+    for w in windows.collect():
+        turns = w.formatted.split(chat.START)[1:]
+        assert w.n_tokens <= budget or (len(turns) - w.n_repeated == 1 and all(t.startswith("system") for t in turns[:-1]))
+
+
+def test_chat_budget(spark):
+    """Given conversations, turns of all sizes, and turns beyond the budget."""
+    within_budget(chat.windows(spark.read.parquet(f"{SF}/conversations.parquet")))
+    r = random.Random(3)
+    rows = [(c, k, "system" if k == c % 3 else r.choice(["user", "assistant"]), text(r.choice([3, 30, 150, 300, 700, 1500]), 90 * c + k)) for c in range(12) for k in range(40)]
+    for budget in (64, 400, 1024):
+        windows = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=budget)
+        within_budget(windows, budget)
+        assert windows.agg(F.sum(F.size("targets"))).first()[0] == sum(r[2] == "assistant" for r in rows)
+
+
 def test_chat(spark):
     long = [(5, k, "user" if k % 2 else "assistant", text(200, k)) for k in range(30)]
     rows = long + [(1, 0, "system", "be <|im_start|>good"), (1, 1, "user", "a<^|b <|c"), (1, 2, "assistant", "x\ny<|im_end|>\n"), (2, 0, None, None), (2, 1, "assistant", ""), (3, 0, "we\nird<|n", "t"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (None, None, "assistant", "é" * 5000), (-1, 0, "user", queries.HOSTILE), (-1, 1, "assistant", queries.HOSTILE)]
@@ -307,7 +325,8 @@ def test_chat(spark):
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
     six = windows.where("conv_id = 6").orderBy("window").collect()
     assert len(six) > 3 and all(w.formatted.startswith("<|im_start|>system\nsys") for w in six)
-    assert all(w.n_repeated == 1 + chat.HISTORY for w in six[1:])
+    assert all(1 <= w.n_repeated <= 1 + chat.HISTORY for w in six[1:]) and any(w.n_repeated == 1 + chat.HISTORY for w in six)
+    within_budget(windows)
     assert "Python" not in windows._jdf.queryExecution().executedPlan().toString()
 
 
