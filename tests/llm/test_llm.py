@@ -377,12 +377,58 @@ def test_licenses(spark, docs):
     assert (got[23].n_base, got[23].first_word, got[23].last_word) == (2, 0, 2) and got[4].n_words == 0
     automaton = licenses.Automaton([licenses.words(t) for t in licenses.TEMPLATES.values()])
     grams = {tuple(w[i:j]) for w in map(licenses.words, licenses.TEMPLATES.values()) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 12) + 1)}
-    tokens = licenses.words(mit)[10:30] + ["zzz"] + licenses.words(licenses.TEMPLATES["bsd"])[5:14] + ["the", "software", "is"]
+    tokens = licenses.words(mit)[10:30] + ["zzz"] + licenses.words(licenses.TEMPLATES["bsd-2-clause"])[5:14] + ["the", "software", "is"]
     for i, (n, _) in enumerate(automaton.statistics(tokens)):
         best = max((k for k in range(1, 12) if k <= i + 1 and tuple(tokens[i + 1 - k : i + 1]) in grams), default=0)
         assert min(n, 11) == best
 
 
+def brute_licenses(rows):
+    """The base columns of op5 by its contract."""
+    out = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        places = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        out[d] = (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+    return out
+
+
+def test_licenses_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {g.doc_id: g for g in queries.op5_licenses(spark, SF).collect()}
+    want = brute_licenses(rows)
+    assert {d: (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) for d, g in got.items()} == want and any(w[1] for w in want.values())
+    assert all(0 <= g.score <= 1 and set(g.base_labels.split(",")) <= set(g.labels.split(",")) | {""} for g in got.values())
+
+
+def test_licenses_by_plain_matching(spark):
+    """Spans against matching statistics by comparing every run of words."""
+    r, rows = random.Random(4), []
+    names = sorted(licenses.TEMPLATES)
+    for i in range(60):
+        w = licenses.words(licenses.TEMPLATES[names[i % len(names)]])
+        a = r.randrange(len(w) // 2)
+        part = [x for x in w[a : a + r.randint(len(w) // 3, len(w))] if r.random() > 0.03]
+        rows.append((i, " ".join(text(r.randint(0, 30), i).split() + part + text(20, 99 + i).split())))
+    odd = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, n_words int, labels string, spans int")
+    got = {g.doc_id: g for g in licenses.license_scan(odd).collect()}
+    for i, t in rows:
+        w = licenses.words(t)
+        found = []
+        for k, template in enumerate(map(licenses.words, licenses.TEMPLATES.values())):
+            for f in range(len(w)):
+                for p in (p for p, x in enumerate(template) if x == w[f]):
+                    n = 0
+                    while f + n < len(w) and p + n < len(template) and w[f + n] == template[p + n]:
+                        n += 1
+                    found.append((k, p, f, n))
+        longest = lambda f, n: not any(g <= f and f + n <= g + m and m > n for _, _, g, m in found)
+        maximal = {x for x in found if x[3] >= licenses.LEAST and longest(x[2], x[3])}
+        scanner = licenses._Scanner(licenses.TEMPLATES, licenses.PHRASES)
+        spans = scanner.chains(sorted(maximal))
+        assert {scanner.labels[x[0]] for x in spans} == {x.label for x in got[i].spans}
+
+
 def test_short_licenses(spark):
     rows = [(1, "under copyleft terms"), (2, "see unlicense here"), (3, "public domain"), (4, "a b c d public"), (5, "copyleft copyleft")]
     scan_ = licenses.license_scan(spark.createDataFrame(rows, DOC), templates={"unlicense": "unlicense", "pd": "public domain", "long": "a b c d"}, phrases={"copyleft": "cl"})
