@@ -66,7 +66,14 @@ def summary(log: Column, telling: list[str] | None = None, keep: int = 4, tail:
     heard = F.filter(lines, lambda x: ~noise(x))
     told = F.filter(heard, lambda x: _any([F.lower(x).contains(t) for t in telling or TELLING]))
     body = lambda x: F.regexp_replace(x, r"^\[.*?\] \s*", "")
-    bodies = F.transform(told, body)
-    first = F.filter(told, lambda x, i: F.array_position(bodies, body(x)) == i + 1)
+    # one pass over the telling lines, each with its body, which stops looking when it has enough
+    none = F.array().cast("array<string>")
+    seen = lambda s, x: (F.size(s["lines"]) >= keep) | F.array_contains(s["bodies"], x["body"])
+    add = lambda s, x: F.struct(F.concat(s["bodies"], F.array(x["body"])).alias("bodies"), F.concat(s["lines"], F.array(x["line"])).alias("lines"))
+    first = F.aggregate(
+        F.transform(told, lambda x: F.struct(body(x).alias("body"), x.alias("line"))),
+        F.struct(none.alias("bodies"), none.alias("lines")),
+        lambda s, x: F.when(seen(s, x), s).otherwise(add(s, x)),
+    )["lines"]
     last = F.slice(heard, F.greatest(F.size(heard) - tail + 1, F.lit(1)), F.lit(tail))
-    return F.when(F.size(first) > 0, F.array_join(F.slice(first, 1, keep), " | ")).when(F.size(last) > 0, F.array_join(last, " | ")).otherwise("unknown error")
+    return F.when(F.size(first) > 0, F.array_join(first, " | ")).when(F.size(last) > 0, F.array_join(last, " | ")).otherwise("unknown error")

@@ -113,9 +113,10 @@ def progress_speed(line: Column) -> Column:
 
 
 def progress_permille(line: Column, duration: Column) -> Column:
-    """out_time_us=N as thousandths of the duration in seconds, 0 to 1000."""
+    """out_time_us=N as thousandths of the duration in seconds, 0 to 1000; null for other
+    lines."""
     us = F.regexp_extract(line, r"^out_time_us=([0-9]+)", 1).try_cast("bigint")
-    return F.when(duration > 0, F.least(F.lit(1000), F.greatest(F.lit(0), F.floor(us / (duration * 1000.0))))).cast("bigint")
+    return F.when(us.isNotNull() & (duration > 0), F.least(F.lit(1000), F.greatest(F.lit(0), F.floor(us / (duration * 1000.0))))).cast("bigint")
 
 
 def missing_library(text: Column) -> Column:

@@ -80,6 +80,12 @@ def analyze(listing: DataFrame) -> DataFrame:
     return out.select("disc", "disc_type", "inner_path", "size", F.when(F.col("is_main"), "main").otherwise("extra").alias("role"), "title_set", "title")
 
 
+def extras(analysis: DataFrame) -> DataFrame:
+    """What isn't main, the largest first in each disc."""
+    place = F.row_number().over(Window.partitionBy("disc").orderBy(F.desc("size"), "inner_path"))
+    return analysis.where("role = 'extra'").select("disc", "inner_path", "size", place.alias("place"))
+
+
 def scan_items(files: DataFrame, analysis: DataFrame, disc_paths: Column | None = None) -> DataFrame:
     """One row per title: path, iso_path, inner_path, inner_paths, title_suffix. Files
     that are no disc are themselves; a title's files are in order of set and path."""

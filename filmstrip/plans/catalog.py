@@ -167,7 +167,8 @@ def probe_aggregate(spark, sf_dir):
 
 @query("SELECT doc_id, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def resume_semi(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(1).alias("size"))
+    return joins.resumable(docs, table(spark, sf_dir, "labels").withColumn("marked", F.lit(1)), ["doc_id"], "size", "marked").drop("size")
 
 
 @query("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -315,16 +316,36 @@ def iso8601(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.iso8601(seconds).alias("iso"))
 
 
-@query()
+@query("""
+WITH RECURSIVE a AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS nth, 0 AS disk, 0 AS session, false AS audio, false AS sub, false AS skip, false AS over, '' AS told FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL
+SELECT user_id, nth, disk + (d = 'disk-space')::INT, session + (d = 'session-limit')::INT, audio OR d = 'reencode-audio', CASE WHEN d = 'skip-subtitles' THEN false ELSE sub OR d = 'reencode-subtitles' END, skip OR d = 'skip-subtitles', d = 'bail', told || ' ' || d
+FROM (SELECT r.*  REPLACE (a.nth AS nth), CASE WHEN t = 'purchase' AND disk < 5 THEN 'disk-space' WHEN t = 'click' AND NOT audio THEN 'reencode-audio' WHEN t = 'signup' AND NOT sub AND NOT skip THEN 'reencode-subtitles'
+  WHEN t = 'signup' AND NOT skip THEN 'skip-subtitles' WHEN t = 'view' AND session < 5 THEN 'session-limit' ELSE 'bail' END AS d
+  FROM r JOIN a ON r.user_id = a.user_id AND a.nth = r.nth + 1 WHERE NOT over))
+SELECT user_id, trim(told) AS decisions, disk AS disk_retries, session AS session_retries, audio AS audio_reencoded, skip AS subtitles_skipped, over AS gave_up
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY nth DESC) AS last FROM r) WHERE last = 1
+""")
 def retry_fold(spark, sf_dir):
-    return folds.retry_fold(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], folds.failure_bits(_message()))
+    done = folds.retry_fold(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], folds.failure_bits(_message()))
+    return done.withColumn("decisions", F.array_join("decisions", " "))
 
 
-@query()
+@query("""
+WITH RECURSIVE h AS (SELECT event_type, date_trunc('hour', ts) AS h, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
+a AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY h) AS nth FROM h),
+r AS (SELECT event_type, CAST(0 AS BIGINT) AS nth, 1 AS cur, CAST(0 AS BIGINT) AS base, true AS ramping, '' AS told FROM (SELECT DISTINCT event_type FROM h)
+UNION ALL
+SELECT event_type, nth, CASE d WHEN 'ramp-up' THEN cur + 1 WHEN 'stall-revert' THEN greatest(cur - 1, 1) ELSE cur END, CASE WHEN d = 'ramp-up' THEN v ELSE base END, CASE WHEN d LIKE 'stall%' THEN false ELSE ramping END, told || ' ' || d
+FROM (SELECT r.* REPLACE (a.nth AS nth), v, CASE WHEN NOT ramping THEN 'off' WHEN v = 0 THEN 'wait' WHEN base = 0 OR v > base THEN 'ramp-up' WHEN v < base * 85 // 100 THEN 'stall-revert' ELSE 'stall' END AS d
+  FROM r JOIN a ON r.event_type = a.event_type AND a.nth = r.nth + 1))
+SELECT event_type, trim(told) AS actions, cur AS final_max, base AS baseline, ramping FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY nth DESC) AS last FROM r) WHERE last = 1
+""")
 def ramp_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value is not null")
     hours = e.groupBy(F.col("event_type"), F.date_trunc("hour", "ts").alias("h")).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("v"))
-    return folds.ramp_fold(hours, ["event_type"], at=F.unix_millis(F.col("h").cast("timestamp")), reporting=F.lit(None).cast("int"), total=F.col("v"))
+    return folds.ramp_fold(hours, ["event_type"], at=F.unix_millis(F.col("h").cast("timestamp")), reporting=F.lit(None).cast("int"), total=F.col("v")).withColumn("actions", F.array_join("actions", " "))
 
 
 @query("""
@@ -361,9 +382,10 @@ def disk_gate(spark, sf_dir):
     return out.select("o_orderkey", "reserved", "room")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def set_diff(spark, sf_dir):
-    return joins.missing(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 250000")
+    return joins.missing(table(spark, sf_dir, "customer"), large.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN a = 0 THEN 0 ELSE trunc((a - b) / a * 100) END AS INT) AS saved_pct FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_custkey * 10000 AS b FROM orders)")
@@ -376,11 +398,30 @@ def stream_event_windows(spark, sf_dir):
     return streams.event_windows(spark, f"{sf_dir}/events.parquet")
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k
+""")
 def stream_sessions(spark, sf_dir):
     return streams.sessions(spark, f"{sf_dir}/events.parquet")
 
 
+@query("SELECT event_type, s AS window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL")
+def stream_late_windows(spark, sf_dir):
+    return streams.late_counts(spark, f"{sf_dir}/events.parquet")
+
+
+@query("SELECT b.user_id, b.event_id AS purchase_id, v.event_id AS view_id FROM events b JOIN events v ON b.user_id = v.user_id AND b.event_type = 'purchase' AND v.event_type = 'view' AND v.ts <= b.ts AND v.ts >= b.ts - INTERVAL 1 HOUR")
+def stream_join(spark, sf_dir):
+    return streams.purchases_after_views(spark, f"{sf_dir}/events.parquet")
+
+
+@query("SELECT event_id, CAST(floor(CAST((event_id % 10) || '.' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') AS DOUBLE) * 100) AS BIGINT) AS speed FROM events")
+def stream_progress(spark, sf_dir):
+    return streams.progress(spark, f"{sf_dir}/events.parquet")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     return streams.distinct_pairs(spark, f"{sf_dir}/events.parquet")

@@ -12,10 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import progress_speed
+
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -55,7 +61,31 @@ def late_windows(e: DataFrame, width: str = "1 hour", late: str = "10 minutes",
 
 def sessions(spark: SparkSession, path: str, gap: str = "30 minutes") -> DataFrame:
     e = events(spark, path).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return finished(e.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"), "complete")
+    return finished(e.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n"), "complete")
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Sliding windows under a watermark that closes none before the input ends."""
+    w = late_windows(events(spark, path), "1 hour", "3650 days", "30 minutes")
+    return finished(w.select("event_type", F.col("start").cast("timestamp_ntz").alias("window_start"), "n"), "complete")
+
+
+def purchases_after_views(spark: SparkSession, path: str, within: str = "1 hour") -> DataFrame:
+    """A stream joined with itself: a user's purchases with the views up to ``within``
+    before them, watermarks bounding the state."""
+    e = events(spark, path)
+    seen = e.where("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("ts").alias("seen"), F.col("event_id").alias("view_id")).withWatermark("seen", "3650 days")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id")).withWatermark("ts", "3650 days")
+    near = F.expr(f"user_id = viewer and seen <= ts and seen >= ts - interval {within}")
+    return finished(bought.join(seen, near).select("user_id", "purchase_id", "view_id"))
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """Progress lines as a stream, as an encoder writes them, read as speeds; here their
+    numbers are the events'."""
+    number = F.concat((F.col("event_id") % 10).cast("string"), F.lit("."), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
+    line = F.concat(F.lit("speed="), number, F.lit("x"))
+    return finished(events(spark, path).select("event_id", progress_speed(line).alias("speed")))
 
 
 def distinct_pairs(spark: SparkSession, path: str) -> DataFrame:
