@@ -6,12 +6,15 @@ import argparse
 from dataclasses import replace
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import Config, parse
+from .functions.predicates import is_disc_image
 from .plans import library
 from .session import session
-from .sources.tables import read_markers, read_probes
+from .sinks.tables import replacements
+from .sources.tables import LISTING, read_disc_probes, read_listing, read_markers, read_probes
 from .sources.walk import media_files, walk
 
 
@@ -25,6 +28,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--skip-ambiguous-audio", action="store_true")
     p.add_argument("--min-duration", type=float, default=1.0)
     p.add_argument("--probes", help="folder of captured probe documents, one per file name")
+    p.add_argument("--disc-probes", help="folder of captured documents of files within discs, disc/inner/path.json")
+    p.add_argument("--listing", help="disc listings, JSON lines of disc, inner_path, is_directory, size")
+    p.add_argument("--outputs", help="finished outputs, JSON lines of output, size, codec, duration_secs")
+    p.add_argument("--dirs", help="directories, JSON lines of dir, writable")
     p.add_argument("--replace", action="store_true", help="also list planned replacements")
     return p.parse_args(argv)
 
@@ -34,6 +41,13 @@ def config(args: argparse.Namespace) -> Config:
     return replace(c, output_dir=args.output_dir or c.output_dir, overwrite=not args.no_overwrite, skip_ambiguous_audio=args.skip_ambiguous_audio or c.skip_ambiguous_audio, min_duration=args.min_duration, dry_run=True)
 
 
+def _print(rows: DataFrame) -> None:
+    """Every row, tab-separated, a partition at a time."""
+    print("\t".join(rows.columns))
+    for r in rows.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in r))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = arguments(argv)
     cfg = config(args)
@@ -46,11 +60,21 @@ def main(argv: list[str] | None = None) -> int:
     docs = empty("path string, inner_path string, raw string")
     if args.probes:
         names = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("item_id"))
-        docs = names.join(read_probes(spark, args.probes), "item_id").select("path", F.lit(None).cast("string").alias("inner_path"), "raw")
-    marks = read_markers(spark, args.root) if Path(args.root).is_dir() and any(Path(args.root).rglob("*.complete")) else empty("output string, source_size bigint")
-    planned = library.plan(files, empty("disc string, inner_path string, name string, is_directory boolean, size bigint"), docs, empty("output string, size bigint, codec string, duration_secs double"), marks, empty("dir string, writable boolean"), cfg)
-    planned.orderBy("path").show(1000, False)
-    library.report(planned).show(100, False)
+        docs = docs.union(names.join(read_probes(spark, args.probes), "item_id").select("path", F.lit(None).cast("string"), "raw"))
+    if args.disc_probes:
+        names = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("disc"))
+        docs = docs.union(names.join(read_disc_probes(spark, args.disc_probes), "disc").select("path", "inner_path", "raw"))
+    rows = lambda path, ddl: spark.read.schema(ddl).json(path) if path else empty(ddl)
+    listing = read_listing(spark, args.listing) if args.listing else empty(LISTING)
+    done = rows(args.outputs, "output string, size bigint, codec string, duration_secs double")
+    marks = read_markers(spark, args.root) if Path(args.root).is_dir() else empty("output string, source_size bigint")
+    planned = library.plan(files, listing, docs, done, marks, rows(args.dirs, "dir string, writable boolean"), cfg).cache()
+    _print(planned.orderBy("path", "title_suffix"))
+    if args.replace:
+        items = planned.join(done.select("output", F.col("size").alias("out_size"), F.col("codec").alias("out_codec"), F.col("duration_secs").alias("out_duration")), "output")
+        items = items.withColumns({"is_disc": is_disc_image(F.col("path")), "source_duration": F.col("duration_secs")})
+        _print(replacements(items))
+    _print(library.report(planned))
     return 0
 
 

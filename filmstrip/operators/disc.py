@@ -86,7 +86,19 @@ def extras(analysis: DataFrame) -> DataFrame:
     return analysis.where("role = 'extra'").select("disc", "inner_path", "size", place.alias("place"))
 
 
-def scan_items(files: DataFrame, analysis: DataFrame, disc_paths: Column | None = None) -> DataFrame:
+def unreadable(files: DataFrame, listing: DataFrame, analysis: DataFrame) -> DataFrame:
+    """path, problem of the disc images among ``files`` that give no title: encrypted,
+    without media, or without a listing."""
+    from ..functions.predicates import is_disc_image
+
+    discs = files.where(is_disc_image(F.col("path"))).select("path").distinct()
+    good = analysis.where("role = 'main'").select(F.col("disc").alias("path"))
+    types = disc_types(listing).select(F.col("disc").alias("path"), "disc_type", "reason")
+    problem = F.when(F.col("disc_type").isNull(), "no listing of the disc").when(F.col("reason").isNotNull(), F.col("reason")).otherwise("no media on the disc")
+    return discs.join(good, "path", "left_anti").join(types, "path", "left").select("path", problem.alias("problem"))
+
+
+def scan_items(files: DataFrame, analysis: DataFrame) -> DataFrame:
     """One row per title: path, iso_path, inner_path, inner_paths, title_suffix. Files
     that are no disc are themselves; a title's files are in order of set and path."""
     from ..functions.predicates import is_disc_image

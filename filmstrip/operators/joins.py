@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Prefix tables up to so many rows are sent to every task; larger ones are joined on
-#: their paths' ancestors.
-BROADCAST_ROWS = 10_000
-
 
 def longest_prefix(paths: DataFrame, prefixes: DataFrame, path: str, prefix: str, keys: list[str]) -> DataFrame:
     """Left join of each path with the longest prefix that is the path itself or ends

@@ -29,8 +29,12 @@ def plan(files: DataFrame, listing: DataFrame, docs: DataFrame, done: DataFrame,
 
     files: path, size. listing: disc, inner_path, name, is_directory, size. docs: path,
     inner_path (null for files), raw. done: output, size, codec, duration_secs.
-    markers: output, source_size. dirs: dir, writable."""
-    items = disc.scan_items(files, disc.analyze(listing)).join(files.select("path", F.col("size").alias("file_size")), "path")
+    markers: output, source_size. dirs: dir, writable. Disc images that give no title
+    are errors that say why; resolved_output is null where the source itself is
+    replaced in the end."""
+    analysis = disc.analyze(listing)
+    bad = disc.unreadable(files, listing, analysis).withColumn("iso_path", F.col("path"))
+    items = disc.scan_items(files, analysis).unionByName(bad, allowMissingColumns=True).join(files.select("path", F.col("size").alias("file_size")), "path")
     items = items.withColumn("item", F.concat_ws("|", "path", F.coalesce("title_suffix", F.lit(""))))
     info = probes(docs).withColumn("inner_path", F.coalesce("inner_path", F.lit("")))
     first = items.withColumn("inner_path", F.coalesce("inner_path", F.lit("")))
@@ -52,7 +56,7 @@ def plan(files: DataFrame, listing: DataFrame, docs: DataFrame, done: DataFrame,
     invalid = predicates.invalid_output(F.col("out_size"), F.col("file_size"), F.col("out_codec"), F.col("secs"), F.col("out_secs"))
     p = joins.unwritable(p, dirs, output_dir=cfg.output_dir, in_place=F.lit(cfg.overwrite) & ~is_disc)
     gate = classify.outcome(
-        error=F.when(F.col("codec").isNull(), "no probe document").otherwise(F.col("error")),
+        error=F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("codec").isNull(), "no probe document").otherwise(F.col("error")),
         too_short=predicates.is_too_short(F.col("duration_secs"), cfg.min_duration),
         meets_target=predicates.meets_target(F.col("codec"), F.col("width"), F.col("height"), F.col("bitrate_kbps"), max_width=cfg.target.max_width, max_height=cfg.target.max_height, max_kbps=cfg.target.max_bitrate_kbps),
         needs_10bit=predicates.is_10bit(F.col("pix_fmt")) & F.lit(not has_10bit),
@@ -61,8 +65,9 @@ def plan(files: DataFrame, listing: DataFrame, docs: DataFrame, done: DataFrame,
         ambiguous=is_disc & F.col("ambiguous") & F.lit(cfg.skip_ambiguous_audio),
     )
     p = p.withColumn("gate", gate)
+    resolved = outputs.resolved_output(F.col("path"), F.col("title_suffix"), is_disc, cfg.target, cfg.overwrite, cfg.output_dir)
     name = outputs.display_name(F.col("path"), F.nullif(F.col("inner_path"), F.lit("")), F.col("inner_paths"), F.col("title_suffix"))
-    return p.select("path", "title_suffix", name.alias("name"), "gate.outcome", "gate.reason", "source_size", F.col("kbps").alias("bitrate_kbps"), F.col("secs").alias("duration_secs"), "pix_fmt", F.when(is_disc, F.col("primary_index")).alias("primary_index"), "output")
+    return p.select("path", "title_suffix", name.alias("name"), "gate.outcome", "gate.reason", "source_size", F.col("kbps").alias("bitrate_kbps"), F.col("secs").alias("duration_secs"), "pix_fmt", F.when(is_disc, F.col("primary_index")).alias("primary_index"), "output", resolved.alias("resolved_output"))
 
 
 def report(planned: DataFrame) -> DataFrame:

@@ -46,6 +46,11 @@ def output_folders(outputs: DataFrame) -> DataFrame:
     return outputs.select(parent(F.col("output")).alias("folder")).distinct()
 
 
+def listed(done: DataFrame) -> DataFrame:
+    """Paths of finished outputs, for a pipe: sorted, each once."""
+    return done.select("output").where("output is not null").distinct().orderBy("output")
+
+
 def output_sizes(outputs: DataFrame, files: DataFrame) -> DataFrame:
     """``outputs`` with their size, 0 where there is no file."""
     return outputs.join(files.select(F.col("path").alias("output"), "size"), "output", "left").withColumn("size", F.coalesce("size", F.lit(0)))

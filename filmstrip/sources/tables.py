@@ -28,6 +28,27 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:[.]json)?$", 1).alias("item_id"), F.col("value").alias("raw"))
 
 
+def read_disc_probes(spark: SparkSession, path: str) -> DataFrame:
+    """disc (the folder's name), inner_path and raw of documents of files within discs,
+    kept below ``path`` as disc/inner/path.json."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    file = F.regexp_replace(F.input_file_name(), "^file:/*", "/")
+    inner = file.substr(F.position(F.lit(path.rstrip("/") + "/"), file) + len(path.rstrip("/")) + 1, F.char_length(file))
+    name = F.regexp_replace(inner, "[.]json$", "")
+    return texts.select(F.substring_index(name, "/", 1).alias("disc"), F.regexp_extract(name, "^[^/]*/(.*)$", 1).alias("inner_path"), F.col("value").alias("raw")).where("inner_path != ''")
+
+
+LISTING = "disc string, inner_path string, name string, is_directory boolean, size bigint"
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """Disc listings, JSON lines of disc, inner_path, is_directory and size; a missing
+    name is the path's last part, a missing size 0. Rows without a disc or path, and
+    lines that aren't JSON, are left out."""
+    rows = spark.read.schema(LISTING).json(path).where("disc is not null and inner_path is not null")
+    return rows.select("disc", "inner_path", F.coalesce("name", F.element_at(F.split("inner_path", "/"), -1)).alias("name"), F.coalesce("is_directory", F.lit(False)).alias("is_directory"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
 def network_mount(paths: DataFrame, mounts: DataFrame, path: str = "path") -> DataFrame:
     """``paths`` with the type of the network file system they are on, else null."""
     from ..functions.predicates import is_network_fs

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from filmstrip import cli
 from filmstrip.config import Config
-from filmstrip.functions import predicates
+from filmstrip.functions import errors, predicates
 from filmstrip.operators import aggregates, disc, joins, rank
 from filmstrip.plans import library
-from filmstrip.sources.tables import network_mount
+from filmstrip.sinks.tables import listed
+from filmstrip.sources.tables import LISTING, network_mount, read_disc_probes, read_listing
 from filmstrip.sources.walk import media_files, walk
 
 AUDIO = "item string, idx int, channels int, kbps int, title string, is_default boolean, is_comment boolean, year int"
@@ -116,3 +120,63 @@ def test_joins(spark):
     outs = spark.createDataFrame([("a", 1), ("b", 2)], "output string, size bigint")
     marks = spark.createDataFrame([("a", 1), ("b", 3)], "output string, source_size bigint")
     assert [r.output for r in joins.resumable(outs, marks, ["output"], "size", "source_size").collect()] == ["a"]
+
+
+def test_discs_without_titles(spark):
+    """Every image is accounted for: encrypted, empty, unlisted."""
+    files = spark.createDataFrame([("a/lock.iso", 10), ("a/empty.img", 10), ("a/unlisted.ISO", 10), ("a/x.mkv", 10)], "path string, size bigint")
+    listing = spark.createDataFrame([("a/lock.iso", "BDMV/STREAM", "STREAM", True, 0), ("a/lock.iso", "aacs", "aacs", True, 0), ("a/lock.iso", "BDMV/STREAM/1.m2ts", "1.m2ts", False, 5), ("a/empty.img", "readme.txt", "readme.txt", False, 5)], LISTING)
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    p = library.plan(files, listing, none("path string, inner_path string, raw string"), none("output string, size bigint, codec string, duration_secs double"), none("output string, source_size bigint"), none("dir string, writable boolean"), Config())
+    assert {r.path: (r.outcome, r.reason) for r in p.collect()} == {
+        "a/lock.iso": ("probe-error", "AACS encryption"),
+        "a/empty.img": ("probe-error", "no media on the disc"),
+        "a/unlisted.ISO": ("probe-error", "no listing of the disc"),
+        "a/x.mkv": ("probe-error", "no probe document"),
+    }
+
+
+def test_listing_and_disc_probe_sources(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"disc":"a.iso","inner_path":"BDMV/STREAM","is_directory":true}\n{"disc":"a.iso","inner_path":"BDMV/STREAM/1.m2ts","size":7}\nbroken\n{"disc":"a.iso"}\n')
+    got = sorted(tuple(r) for r in read_listing(spark, str(tmp_path / "l.json")).collect())
+    assert got == [("a.iso", "BDMV/STREAM", "STREAM", True, 0), ("a.iso", "BDMV/STREAM/1.m2ts", "1.m2ts", False, 7)]
+    at = tmp_path / "p" / "a.iso" / "BDMV" / "STREAM" / "1.m2ts.json"
+    at.parent.mkdir(parents=True)
+    at.write_text("{}")
+    assert [tuple(r) for r in read_disc_probes(spark, str(tmp_path / "p")).collect()] == [("a.iso", "BDMV/STREAM/1.m2ts", "{}")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Every row is printed, discs and replacements too."""
+    (tmp_path / "m").mkdir()
+    (tmp_path / "p").mkdir()
+    doc = '{"streams":[{"codec_type":"video","codec_name":"h264","width":640,"height":480}],"format":{"bit_rate":"800000","duration":"100"}}'
+    for i in range(30):
+        (tmp_path / "m" / f"f{i:02}.mkv").write_bytes(b"x" * 1000)
+        (tmp_path / "p" / f"f{i:02}.mkv.json").write_text(doc)
+    (tmp_path / "m" / "d.iso").write_bytes(b"x")
+    (tmp_path / "o.json").write_text(json.dumps({"output": f"{tmp_path}/m/f03.transcoded.mkv", "size": 400, "codec": "hevc", "duration_secs": 100.0}) + "\n")
+    assert cli.main([str(tmp_path / "m"), "--probes", str(tmp_path / "p"), "--outputs", str(tmp_path / "o.json"), "--replace"]) == 0
+    out = capsys.readouterr().out
+    assert all(f"/f{i:02}.mkv\t" in out for i in range(30)) and "no listing of the disc" in out and "\treplace\t" in out
+
+
+def test_finished_outputs(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "output string")
+    assert [r.output for r in listed(df).collect()] == ["a", "b"]
+
+
+def test_summary_is_linear_in_lines(spark):
+    """Many telling lines cost little more than few: no line looks at all others."""
+    import time
+
+    log = lambda n: "\n".join(f"[mod @ {i}] error {'same' if i % 7 else i}" for i in range(n))
+    seconds = []
+    for n in (200, 4000):
+        df = spark.createDataFrame([(log(n),)] * 4, "log string").select(errors.summary(F.col("log")).alias("s"))
+        df.collect()
+        t = time.time()
+        got = df.collect()
+        seconds.append(time.time() - t)
+        assert got[0].s == "[mod @ 0] error 0 | [mod @ 1] error same | [mod @ 7] error 7 | [mod @ 14] error 14"
+    assert seconds[1] < 20 * seconds[0] + 2
