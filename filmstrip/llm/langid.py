@@ -4,7 +4,8 @@ The pieces are those of a fixed public vocabulary, and its single bytes. Each la
 has a probability for every piece, fitted by EM; the forward algorithm sums the
 probability of a word over all its segmentations into pieces, and a text's is the
 product over its words. Words are runs of letters (ASCII in lower case, and everything
-beyond ASCII) of at most ``LONGEST`` bytes; longer runs are cut.
+beyond ASCII) of at most ``LONGEST`` bytes; longer runs are cut by bytes, within a
+character too, as every single byte is a piece.
 
 Each batch of texts is reduced to its distinct words first, and the forward algorithm
 runs over all of them at once, a byte at a time.

@@ -627,3 +627,51 @@ def test_archives_of_null_ids_and_broken_files(spark):
         with pytest.raises(ValueError, match="x.warc"):
             warc.read_archives(spark, broken)
         assert 1 <= warc.read_archives(spark, broken, whole=False).count() <= 4
+
+
+def test_toxicity_query(spark):
+    """Held-out rows are ranked well; every row has a score."""
+    sf = "/root/testdata/sf0.01"
+    got = queries.op10_toxicity(spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and got.where("score is null or score < 0 or score > 1 or predicted != cast(score >= 0.7 as int)").isEmpty()
+    held = got.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").collect()
+    bad, fine = ([g.score for g in held if g.toxic == t] for t in (1, 0))
+    assert sum((b > f) + (b == f) / 2 for b in bad for f in fine) / (len(bad) * len(fine)) >= 0.85
+
+
+def test_toxicity_on_odd_tables(spark):
+    """An empty table, and columns with the names that the operator uses."""
+    ddl = "doc_id long, text string, lang string, toxic int, _h long, _y int, _words string, words string, score double"
+    rows = [(i, ("vile rotten " if i % 3 == 0 else "") + text(20, i), "en", int(i % 3 == 0), 1, 2, "w", "w", 0.0) for i in range(120)]
+    rows += [(900, None, "en", 1, 1, 1, "", "", 0.0), (901, "", None, 0, 1, 1, "", "", 0.0), (902, "vile", "en", None, 1, 1, "", "", 0.0), (None, "x", "en", 0, 1, 1, "", "", 0.0), (903, "long " * 50_000, "en", 0, 1, 1, "", "", 0.0)]
+    df = spark.createDataFrame(rows, ddl)
+    model = toxicity.fit(df, "toxic")
+    got = {g.doc_id: g for g in toxicity.score(df, model).collect()}
+    assert len(got) == len(rows) and got[900].score == got[901].score and got[902].predicted == 1 and got[903].predicted == 0
+    none = spark.createDataFrame([], ddl)
+    assert toxicity.score(none, toxicity.fit(none, "toxic")).count() == 0
+
+
+def test_pieces_by_plain_expectations():
+    """One round of EM against sums over all segmentations."""
+    v = langid.Vocabulary(queries.tokenizer_path(queries.PIECES))
+    words, counts = [b"the", b"hunt", b"a"], np.array([3.0, 2.0, 1.0])
+    number = lambda x: int(v.find(langid._substrings(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])))[0])
+
+    def cuts(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if number(w[:n]) >= 0:
+                yield from ([number(w[:n]), *rest] for rest in cuts(w[n:]))
+
+    p = np.full(v.size, 1.0 / v.size)
+    for _ in range(langid.ROUNDS):
+        seen = np.zeros(v.size)
+        for w, c in zip(words, counts):
+            ways = list(cuts(w))
+            weight = np.array([np.prod(p[x]) for x in ways])
+            for x, share in zip(ways, c * weight / weight.sum()):
+                np.add.at(seen, x, share)
+        p = (seen + langid.FLOOR * seen.sum()) / (seen.sum() * (1 + langid.FLOOR * v.size))
+    assert np.allclose(langid.fitted(words, counts, v), p, rtol=1e-6, atol=1e-12)
