@@ -14,6 +14,7 @@ below half are at most one, so shards cost next to nothing in sequences.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,16 +30,19 @@ CAPACITY, SMALL, GROUPS, SHARD = 4096, 512, 24, 40_000
 
 
 class WordCache:
-    """Token ids of texts by a tokenizer file, remembering those of words.
+    """Token ids of texts by a tokenizer file, remembering those of chunks
+    between blanks, and of the runs of letters and of other characters in them.
 
-    Only for tokenizers that treat white space as a separator and drop it, like
-    word_bpe_49k: text between blanks is encoded by itself, and letters apart from
-    other characters where that is what the file's own pattern does."""
+    Only for word_bpe_49k and files with its normaliser and pattern, which drop white
+    space and encode each run by itself. Chunks that it is not sure of go to the file's
+    own tokenizer."""
 
     #: Entries of either cache, and the characters of the longest that stays in it.
     CHUNKS, RUNS, LONG = 800_000, 800_000, 48
 
     def __init__(self, path: str):
+        import unicodedata
+
         import regex
         from tokenizers import Tokenizer
 
@@ -48,34 +52,49 @@ class WordCache:
         # the byte-level alphabet: bytes that print stand for themselves, the others for what follows 255
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: b if b in shown else 256 + n for n, b in enumerate(sorted(set(range(256)) - set(shown)) + shown)}
+        none = [i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn"]
+        ends = np.flatnonzero(np.diff(none) > 1)
+        ranges = zip(np.r_[0, ends + 1], np.r_[ends, len(none) - 1])
+        self.unassigned = re.compile("[" + "".join(f"\\U{none[a]:08x}-\\U{none[b]:08x}" for a, b in ranges) + "]")
+        self.rare = re.compile(f"[{chr(none[0])}-\U0010ffff]")  # all before are assigned
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def _pieces(self, chunk: str) -> list[str] | None:
-        """What can be encoded by itself, or None if only the whole can."""
+    def _plain(self, text: str) -> bool:
+        """Whether the runs of the lower-cased text are what the file's normaliser and
+        pattern make of it: no added tokens, nothing to compose, no letter whose lower
+        case depends on others, nothing that other Unicode tables may know better."""
         import unicodedata
 
-        low = chunk.lower()
-        if "<|" in chunk or "Σ" in chunk or len(low) != len(chunk) or not (chunk.isascii() or unicodedata.is_normalized("NFC", chunk) and unicodedata.is_normalized("NFC", low) and not any(unicodedata.category(x) == "Cn" for x in chunk)):  # what is unassigned here the file's tables may know
-            return None
-        return self.pattern.findall(low)
-
-    def _learn(self, chunks: set[str]) -> None:
-        split = {c: self._pieces(c) for c in chunks}
-        runs = {r for p in split.values() if p for r in p if r not in self.runs}
-        whole = [c for c, p in split.items() if p is None]
+        if "<|" in text:
+            return False
+        if text.isascii():
+            return True
+        low = text.lower()
+        if "Σ" in text or len(low) != len(text) or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            return False
+        return not (self.rare.search(text) and self.unassigned.search(text))
+
+    def _learn(self, chunks: list[str]) -> None:
+        joined = " ".join(chunks)
+        if self._plain(joined):
+            plain, lows = chunks, joined.lower().split(" ")
+        else:
+            plain = [c for c in chunks if self._plain(c)]
+            lows, odd = [c.lower() for c in plain], set(chunks) - set(plain)
+            for c, e in zip(odd, self.tokenizer.encode_batch_fast(list(odd), add_special_tokens=False)):
+                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+        split = [[x] if x.isascii() and x.isalpha() else self.pattern.findall(x) for x in lows]
+        runs = {r for p in split for r in p if r not in self.runs}
         if len(self.runs) + len(runs) > self.RUNS:
-            self.runs = {r: self.runs[r] for p in split.values() if p for r in p if r in self.runs}
+            self.runs.clear()
+            runs = {r for p in split for r in p}
         tokenize = self.tokenizer.model.tokenize
-        for r in runs:  # what the file's normaliser and pattern would hand to the model
+        for r in runs:  # byte by byte, as the file's byte level hands it to the model
             ids = [t.id for t in tokenize(r.encode().decode("latin-1").translate(self.alphabet))]
             self.runs[r] = struct.pack(f"<{len(ids)}I", *ids)
-        for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            self.chunks[c] = np.array(e.ids, "<u4").tobytes()
         get = self.runs.__getitem__
-        for c, p in split.items():
-            if p is not None:
-                self.chunks[c] = b"".join(map(get, p))
+        self.chunks.update(zip(plain, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split]))
         for r in runs:
             if len(r) > self.LONG:
                 del self.runs[r]
@@ -91,7 +110,7 @@ class WordCache:
         if len(self.chunks) + len(fresh) > self.CHUNKS:
             self.chunks.clear()
             fresh = set(words)
-        self._learn(fresh)
+        self._learn(list(fresh))
         out = b"".join(map(self.chunks.__getitem__, words))
         for w in fresh:
             if len(w) > self.LONG:
