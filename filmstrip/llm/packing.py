@@ -37,7 +37,8 @@ class WordCache:
     space and encode each run by itself. Chunks that it is not sure of go to the file's
     own tokenizer."""
 
-    #: Entries of either cache, and the characters of the longest that stays in it.
+    #: Entries of the caches (chunks twice, new and old), and the characters of the
+    #: longest that stays in one.
     CHUNKS, RUNS, LONG = 800_000, 800_000, 48
 
     def __init__(self, path: str):
@@ -58,6 +59,7 @@ class WordCache:
         self.unassigned = re.compile("[" + "".join(f"\\U{none[a]:08x}-\\U{none[b]:08x}" for a, b in ranges) + "]")
         self.rare = re.compile(f"[{chr(none[0])}-\U0010ffff]")  # all before are assigned
         self.chunks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
@@ -76,6 +78,8 @@ class WordCache:
         return not (self.rare.search(text) and self.unassigned.search(text))
 
     def _learn(self, chunks: list[str]) -> None:
+        if not chunks:
+            return
         joined = " ".join(chunks)
         if self._plain(joined):
             plain, lows = chunks, joined.lower().split(" ")
@@ -107,10 +111,11 @@ class WordCache:
         except KeyError:
             pass
         fresh = {w for w in words if w not in self.chunks}
-        if len(self.chunks) + len(fresh) > self.CHUNKS:
-            self.chunks.clear()
-            fresh = set(words)
-        self._learn(list(fresh))
+        if len(self.chunks) + len(fresh) > self.CHUNKS:  # what comes again is kept
+            self.old, self.chunks, fresh = self.chunks, {}, set(words)
+        known = fresh & self.old.keys()
+        self.chunks.update((w, self.old[w]) for w in known)
+        self._learn(list(fresh - known))
         out = b"".join(map(self.chunks.__getitem__, words))
         for w in fresh:
             if len(w) > self.LONG:
