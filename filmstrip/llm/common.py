@@ -62,6 +62,7 @@ def released(f):
     def wrapped(*args):
         import pyarrow as pa
 
+        held()
         out = f(*args)
         pa.default_memory_pool().release_unused()
         _trim()
@@ -70,6 +71,20 @@ def released(f):
     return wrapped
 
 
+_held: dict[str, dict] = {}
+
+
+def held(owner: str = "") -> dict:
+    """What a Python worker keeps for one operator between tasks. Workers outlive stages
+    and operators, so what others kept goes."""
+    others = [k for k in _held if k != owner]
+    for k in others:
+        del _held[k]
+    if others:
+        _trim()
+    return _held.setdefault(owner, {}) if owner else {}
+
+
 #: Bytes of text that an operator looks at at once.
 SLICE = 6 << 20
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import slices
+from .common import held, slices
 
 #: Words of the shortest item.
 SHORTEST = 3
@@ -267,15 +267,13 @@ class _Index:
                 yield row, self.ids[k], best[1], best[2], best[0]
 
 
-_indexes: dict[tuple, _Index] = {}
-
-
 def _index(items: tuple) -> _Index:
     """A worker keeps the index of the pass it is in."""
-    if items not in _indexes:
-        _indexes.clear()
-        _indexes[items] = _Index(list(items))
-    return _indexes[items]
+    indexes = held("decontamination")
+    if items not in indexes:
+        indexes.clear()
+        indexes[items] = _Index(list(items))
+    return indexes[items]
 
 
 FOUND = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())])

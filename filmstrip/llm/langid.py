@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import slices
+from .common import held, slices
 
 LONGEST, ROUNDS, FLOOR = 32, 4, 1e-9
 #: Expected documents of a language that are fitted on, and the distinct words of each.
@@ -199,9 +199,6 @@ def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str
     return langs, p
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: id, the columns to ``carry``, lang_pred, score (the
     posterior of the best language, all being as likely before). Null, empty and letterless texts are ``und``
@@ -210,9 +207,10 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
     out = list(dict.fromkeys([id_col, *carry]))
 
     def batches(it):
-        if vocabulary not in _vocabularies:
-            _vocabularies[vocabulary] = Vocabulary(vocabulary)
-        v = _vocabularies[vocabulary]
+        vocabularies = held("languages")
+        if vocabulary not in vocabularies:
+            vocabularies[vocabulary] = Vocabulary(vocabulary)
+        v = vocabularies[vocabulary]
         for batch in slices(it, text_col):
             text = batch.column(text_col)
             words, number, begin = _distinct(text)

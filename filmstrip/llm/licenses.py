@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import slices
+from .common import held, slices
 
 # Phrases whose consecutive words are places of a licence.
 PHRASES = {
@@ -230,8 +230,6 @@ class _Scanner:
         return sorted(places), self.chains(found)
 
 
-_scanners: dict[tuple, _Scanner] = {}
-
 SPANS = "array<struct<label:string,first_word:long,last_word:long,cover:double>>"
 
 
@@ -250,9 +248,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())]))
 
     def batches(it):
-        if key not in _scanners:
-            _scanners[key] = _Scanner(templates, phrases)
-        scanner = _scanners[key]
+        scanners = held("licenses")
+        if key not in scanners:
+            scanners[key] = _Scanner(templates, phrases)
+        scanner = scanners[key]
         for batch in slices(it, "text"):
             h, begin = scan.words(batch.column(1), scan.ALNUM)
             cols: list[list] = [[] for _ in names[1:]]

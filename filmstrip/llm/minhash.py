@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import sized, slices, staged
+from .common import held, sized, slices, staged
 from .components import components
 
 ROWS, BANDS, MANTISSA = 6, 40, 10
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, word: np.ndarray, wi
     kinds = dict(docs.dtypes)
 
     def batches(it):
+        held()
         for batch in slices(it, "text"):
             h, begin = scan.words(batch.column("text"), word)
             n, keys, regs, bands = [], [], [], []

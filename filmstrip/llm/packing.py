@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import held, staged
 
 CAPACITY, SMALL, GROUPS, SHARD = 4096, 512, 24, 40_000
 
@@ -123,9 +123,6 @@ class WordCache:
         return out
 
 
-_caches: dict[str, WordCache] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = 1, ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and,
     if asked for, ids. A text's ids end with ``end``; only texts with more than
@@ -134,9 +131,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     tail = np.array([end], "<u4").tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _caches:
-            _caches[tokenizer] = WordCache(tokenizer)
-        encode = _caches[tokenizer].encode
+        caches = held("packing")
+        if tokenizer not in caches:
+            caches[tokenizer] = WordCache(tokenizer)
+        encode = caches[tokenizer].encode
         for batch in it:
             cols: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
