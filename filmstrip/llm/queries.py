@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .negatives import hard_negatives
 from .neighbours import neighbours
 from .packing import pack_documents
+from .repair import repaired
 from .suffixes import without_repeats
 from .vectors import near_vectors
 from .warc import round_trip
@@ -108,6 +109,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors.select("vec_id", label.alias("label"), whole.alias("embedding")), "id % 100 = 0")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
 
@@ -124,9 +129,47 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op11_negatives": op11_negatives,
+    "op12_repair": op12_repair,
     "op13_neighbours": op13_neighbours,
 }
 
+
+def _then(v: str, cost: str, edits: str) -> str:
+    """A value of the repair's SQL, five digits and an audit, after further edits."""
+    return f"lpad(CAST(CAST(left({v}, 5) AS INTEGER) + {cost} AS VARCHAR), 5, '0') || substr({v}, 6) || {edits}"
+
+
+def _repair_sql() -> str:
+    """The repair as a fold over rows. A value is kept for each place that a talk can be
+    at: before its start, after a system row, within a pair, after a pair."""
+    b, s, i, p = (f"string_split(v, '|')[{k}]" for k in range(1, 5))
+    cut = "(left(x, 1) = '~')::INTEGER"
+    as_ = lambda v, role, before="", more=0: f"CASE WHEN left(x, 1) = '!' THEN '99999' WHEN right(x, 1) = '{role}' THEN {_then(v, f'{more} + {cut}', repr(before + 'K'))} ELSE {_then(v, f'{more + 2} + {cut}', repr(before + 'R'))} END"
+    inner = [_then(i, "3", "'D'"), *(as_(v, "u") for v in (b, s, p)), as_(i, "u", "I", 2)]
+    paired = [_then(p, "3", "'D'"), as_(i, "a"), *(as_(v, "a", "I", 2) for v in (b, s, p))]
+    system = [_then(s, "3", "'D'"), f"CASE WHEN x IN ('s', '~s') THEN {_then(b, cut, repr('K'))} ELSE '99999' END"]
+    step = " || '|' || ".join([_then(b, "3", "'D'"), *(f"least({', '.join(c)})" for c in (system, inner, paired))])
+    crc = "list_reduce([4294967295] || list_transform(string_split(n, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, y: list_reduce([xor(c, y), 1, 2, 3, 4, 5, 6, 7, 8], lambda z, k: CASE WHEN z % 2 = 1 THEN xor(z // 2, 3988292384) ELSE z // 2 END))"
+    blank = "[\\x20\\x09-\\x0D]"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS n FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor({crc}, 4294967295) % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nth, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, regexp_replace(text, '{blank}+$', '') AS t FROM d),
+f AS (SELECT *, t = '' AS blank, t <> '' AND again > 1 AS duplicate, t <> '' AND again = 1 AND right(t, 1) NOT IN ('.', '!', '?') AS truncated, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY nth) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal,
+  CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE ' ' END AS initial FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal,
+  list(CASE WHEN blank OR duplicate THEN '!' WHEN truncated THEN '~' ELSE '' END || initial ORDER BY nth) AS symbols FROM f GROUP BY conv_id),
+v AS (SELECT *, list_reduce(['00000|90000|90000|90000'] || symbols, lambda v, x: {step}) AS v FROM g),
+e AS (SELECT *, least({b}, {p}, {_then(i, "2", "'I'")}) AS best FROM v),
+l AS (SELECT conv_id, unnest(string_split(substr(best, 6), '')) AS edit, unnest(range(length(best) - 5)) AS pos FROM e WHERE length(best) > 5),
+m AS (SELECT *, sum((edit <> 'I')::INTEGER) OVER w AS nth, sum((edit <> 'D')::INTEGER) OVER w AS place FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT m.conv_id, m.pos, m.edit, m.place, f.role, CASE WHEN m.edit = 'I' THEN '' ELSE f.text END AS text, max((m.place = 1 AND m.edit = 'K' AND f.initial = 's')::INTEGER) OVER (PARTITION BY m.conv_id) AS s FROM m LEFT JOIN f ON m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.nth = f.nth WHERE m.edit <> 'D'),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos)) AS sha FROM r GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(left(best, 5), '0') AS BIGINT) AS cost, coalesce(substr(best, 6), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN h ON a.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -162,4 +205,5 @@ n AS (SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id,
   FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
+    "op12_repair": _repair_sql(),
 }
