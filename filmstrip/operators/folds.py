@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.errors import NOTHING_WRITTEN, is_audio_copy, is_disk_space, is_session_limit, is_subtitle
 from ..functions.predicates import should_freeze
+from . import scan
 
 DISK_MARGIN = 2 * 1024**3
 MOST = 5
@@ -90,24 +91,44 @@ def ramp_fold(ticks: DataFrame, key: list[str], *, at: Column, reporting: Column
     return lists.select(*key, s.alias("s")).select(*key, F.col("s.actions").alias("actions"), F.col("s.current").alias("final_max"), F.col("s.baseline").alias("baseline"), F.col("s.ramping").alias("ramping"))
 
 
-def running_cap(events: DataFrame, key: list[str], order: list, value: Column) -> DataFrame:
+def running_cap(events: DataFrame, key: list[str], order: list[str], value: Column, *, ranges: int | None = None) -> DataFrame:
     """``events`` with hits so far, the smallest value so far (at least 1), and whether
     that froze the cap."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.withColumn("hits", F.count(F.lit(1)).over(w)).withColumn("cap", F.greatest(F.min(value).over(w), F.lit(1)))
-    return out.withColumn("frozen", should_freeze(F.col("hits")))
+    out = scan.scan(events, key, order, {"hits": scan.running_count(), "cap": scan.running_min(value)}, ranges=ranges)
+    return out.withColumn("cap", F.greatest("cap", F.lit(1))).withColumn("frozen", should_freeze(F.col("hits")))
 
 
-def admission(events: DataFrame, key: list[str], order: list, change: Column, most: int | None = None) -> DataFrame:
+def admission(events: DataFrame, key: list[str], order: list[str], change: Column, most: int | None = None, *, ranges: int | None = None) -> DataFrame:
     """``events`` with how many are active after each, and whether that fits."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.withColumn("active", F.sum(change).over(w))
+    out = scan.scan(events, key, order, {"active": scan.running_sum(change)}, ranges=ranges)
     return out if most is None else out.withColumn("admitted", F.col("active") <= most)
 
 
-def disk_gate(requests: DataFrame, key: list[str], order: list, available: Column, estimate: Column) -> DataFrame:
-    """``requests`` with what earlier ones reserved and whether there is room: nothing
-    is reserved, or the rest keeps a margin."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = requests.withColumn("reserved", F.coalesce(F.sum(estimate).over(w), F.lit(0)))
+def disk_gate(requests: DataFrame, key: list[str], order: list[str], available: Column, estimate: Column, *, release: Column | None = None, ranges: int | None = None) -> DataFrame:
+    """``requests`` with what is reserved before each and whether there is room: nothing
+    is reserved, or the rest keeps a margin. A row reserves its estimate and gives
+    ``release`` (by default nothing) back; both are as logged, so reserved is the sum of
+    what came before, at least 0."""
+    change = estimate if release is None else F.coalesce(estimate, F.lit(0)) - F.coalesce(release, F.lit(0))
+    out = scan.scan(requests, key, order, {"reserved": scan.running_sum(change)}, before=True, ranges=ranges)
+    out = out.withColumn("reserved", F.greatest(F.coalesce("reserved", F.lit(0)), F.lit(0)))
     return out.withColumn("room", (F.col("reserved") == 0) | (F.greatest(available - F.col("reserved"), F.lit(0)) >= estimate + DISK_MARGIN))
+
+
+FLAGS = {"enabled": True, "paused": False, "max_jobs": 0}
+
+
+def flags_as_of(ticks: DataFrame, changes: DataFrame, key: list[str], at: str = "ts", tie: list[str] | None = None, *, ranges: int | None = None) -> DataFrame:
+    """``ticks`` with the flags that hold at each: for every flag the value set last at
+    or before the tick, each flag by itself; defaults where none was set or it was set
+    back to null. ``changes``: the key, ``at``, flag and value (strings). An as-of join
+    by union and last value, so a key of any size is spread over tasks. Of changes at
+    one time the largest value holds; ``tie`` tells apart the ticks of one time."""
+    tie = tie or []
+    set_ = changes.groupBy(*key, at).agg(*[F.max(F.when(F.col("flag") == f, F.struct(F.lit(1).alias("set"), F.col("value").alias("to")))).alias(f"_{f}") for f in FLAGS])
+    both = ticks.withColumn("_side", F.lit(1)).unionByName(set_.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    order = [at, "_side", *tie]
+    out = scan.scan(both, key, order, {f: scan.running_last(F.col(f"_{f}"), order) for f in FLAGS}, ranges=ranges).where("_side = 1")
+    truth = lambda f: F.coalesce(F.col(f)["to"].try_cast("boolean"), F.lit(FLAGS[f]))
+    jobs = F.greatest(F.coalesce(F.col("max_jobs")["to"].try_cast("int"), F.lit(0)), F.lit(0))
+    return out.select(*ticks.columns, truth("enabled").alias("enabled"), truth("paused").alias("paused"), jobs.alias("max_jobs"))

@@ -382,6 +382,37 @@ def disk_gate(spark, sf_dir):
     return out.select("o_orderkey", "reserved", "room")
 
 
+@query("""
+WITH c AS (SELECT user_id, ts, max(CASE WHEN event_type = 'signup' THEN coalesce(CAST(event_id % 5 = 0 AS VARCHAR), '') END) AS paused, max(CASE WHEN event_type = 'error' THEN CAST(event_id % 9 - 2 AS VARCHAR) END) AS jobs FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL),
+t AS (SELECT event_id, user_id, ts FROM events WHERE event_type NOT IN ('signup', 'error'))
+SELECT t.event_id, t.user_id, true AS enabled, coalesce(CAST(p.paused AS BOOLEAN), false) AS paused, CAST(greatest(coalesce(CAST(j.jobs AS INTEGER), 0), 0) AS INTEGER) AS max_jobs
+FROM t ASOF LEFT JOIN (SELECT * FROM c WHERE paused IS NOT NULL) p ON t.user_id = p.user_id AND t.ts >= p.ts ASOF LEFT JOIN (SELECT * FROM c WHERE jobs IS NOT NULL) j ON t.user_id = j.user_id AND t.ts >= j.ts
+""")
+def flags_as_of(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    told = e.where("event_type in ('signup', 'error')")
+    pause = F.col("event_type") == "signup"
+    changes = told.select("user_id", "ts", F.when(pause, "paused").otherwise("max_jobs").alias("flag"), F.when(pause, (F.col("event_id") % 5 == 0).cast("string")).otherwise((F.col("event_id") % 9 - 2).cast("string")).alias("value"))
+    ticks = e.where("event_type not in ('signup', 'error')").select("event_id", "user_id", "ts")
+    return folds.flags_as_of(ticks, changes, ["user_id"], "ts", ["event_id"]).drop("ts")
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_shipdate AS t, 0 AS side, greatest(CAST(round(l_extendedprice * 100) AS BIGINT) // 2, 104857600) AS est FROM lineitem),
+e AS (SELECT *, est AS taken, 0 AS back FROM r UNION ALL SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, t + INTERVAL 20 DAY, 1, est, 0, est FROM r),
+s AS (SELECT *, greatest(CAST(coalesce(sum(taken - back) OVER (PARTITION BY l_suppkey ORDER BY t, side, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT), 0) AS reserved FROM e)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, reserved, reserved = 0 OR greatest(2600000000 - reserved, 0) >= est + 2147483648 AS room FROM s WHERE side = 0
+""")
+def disk_release(spark, sf_dir):
+    est = scalars.disk_estimate(cents("l_extendedprice"))
+    names = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    r = table(spark, sf_dir, "lineitem").select(*names, F.col("l_shipdate").alias("at"), F.lit(0).alias("side"), est.alias("est"))
+    back = r.select(*names, (F.col("at") + F.expr("interval 20 days")).alias("at"), F.lit(1).alias("side"), "est")
+    taken, given = F.when(F.col("side") == 0, F.col("est")), F.when(F.col("side") == 1, F.col("est"))
+    out = folds.disk_gate(r.union(back), ["l_suppkey"], ["at", "side", "l_orderkey", "l_linenumber", "l_partkey"], F.lit(2600000000), F.coalesce(taken, F.lit(0)), release=given)
+    return out.where("side = 0").select(*names, "reserved", "room")
+
+
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def set_diff(spark, sf_dir):
     large = table(spark, sf_dir, "orders").where("o_totalprice > 250000")
