@@ -458,6 +458,40 @@ def stream_dedup(spark, sf_dir):
     return streams.distinct_pairs(spark, f"{sf_dir}/events.parquet")
 
 
+@query("""
+WITH e AS (SELECT event_type, ts, event_id, CAST(event_id * 8 // (max(event_id) OVER () + 1) AS INTEGER) + CASE WHEN event_id % 13 = 0 THEN 3 ELSE 0 END AS s FROM events),
+m AS (SELECT s, max(max(ts)) OVER (ORDER BY s) - INTERVAL 12 HOUR AS closed FROM e GROUP BY s),
+k AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM e LEFT JOIN m ON m.s = e.s - 2 WHERE closed IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > closed)
+SELECT event_type, window_start, count(*) AS n FROM k WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(closed) FROM m) GROUP BY ALL
+""")
+def stream_closed_windows(spark, sf_dir):
+    return streams.closed_windows(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""
+WITH RECURSIVE a AS (SELECT user_id, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+r AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS nth, 0 AS disk, 0 AS session, false AS audio, false AS sub, false AS skip, false AS over, '' AS d FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL
+SELECT user_id, event_id, nth, disk + (d = 'disk-space')::INT, session + (d = 'session-limit')::INT, audio OR d = 'reencode-audio', CASE WHEN d = 'skip-subtitles' THEN false ELSE sub OR d = 'reencode-subtitles' END, skip OR d = 'skip-subtitles', d = 'bail', d
+FROM (SELECT r.*  REPLACE (a.nth AS nth, a.event_id AS event_id, CASE WHEN t = 'purchase' AND disk < 5 THEN 'disk-space' WHEN t = 'click' AND NOT audio THEN 'reencode-audio' WHEN t = 'signup' AND NOT sub AND NOT skip THEN 'reencode-subtitles'
+  WHEN t = 'signup' AND NOT skip THEN 'skip-subtitles' WHEN t = 'view' AND session < 5 THEN 'session-limit' ELSE 'bail' END AS d)
+  FROM r JOIN a ON r.user_id = a.user_id AND a.nth = r.nth + 1 WHERE NOT over))
+SELECT user_id, event_id, d AS decision FROM r WHERE nth > 0
+""")
+def stream_retries(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    attempts = streams.events(spark, path).select("user_id", "event_id", "ts", folds.failure_bits(_message()).alias("bits"))
+    return streams.finished(streams.retries(attempts, "user_id", "event_id"), "retries", path, provider=streams.ROCKS)
+
+
+@query("SELECT DISTINCT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = d.n_chars % 2)")
+def stream_resume(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    listing = streams.files(spark, path).select("doc_id", "n_chars", (F.col("n_chars") % 2).alias("size"))
+    new = streams.unmarked(listing, table(spark, sf_dir, "labels"), ["doc_id"], "size", "quality")
+    return streams.finished(new.select("doc_id", "n_chars"), "resume", path, f"{sf_dir}/labels.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dry run: classify everything, then how much of it there is to do."""
     c = outcome_counts(spark, sf_dir)

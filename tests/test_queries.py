@@ -51,18 +51,3 @@ def test_plans(spark):
     gate = plan(catalog.classify_gate_lineitem(spark, SF))
     assert "Exchange" not in gate and "l_shipdate" not in gate
     assert "NestedLoop" not in plan(catalog.longest_prefix(spark, SF))
-
-
-def test_streaming_retries_equal_batch(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from filmstrip.operators import folds
-    from filmstrip.streaming import events
-
-    data = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", folds.failure_bits(catalog._message()).alias("bits"))
-    data.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
-    got = events.finished(events.retries(stream, "user_id", "event_id"))
-    got = {r.user_id: r.d for r in got.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "decision"))), lambda x: x["decision"]).alias("d")).collect()}
-    want = {r.user_id: r.decisions for r in folds.retry_fold(data, ["user_id"], ["event_id"], F.col("bits")).collect()}
-    assert got == want
