@@ -27,8 +27,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--no-overwrite", action="store_true")
     p.add_argument("--skip-ambiguous-audio", action="store_true")
     p.add_argument("--min-duration", type=float, default=1.0)
-    p.add_argument("--probes", help="folder of captured probe documents, one per file name")
-    p.add_argument("--disc-probes", help="folder of captured documents of files within discs, disc/inner/path.json")
+    p.add_argument("--probes", help="folder of captured probe documents, each at its file's path below the root, with .json")
+    p.add_argument("--disc-probes", help="folder of captured documents of files within discs, disc's path below the root/inner/path.json")
     p.add_argument("--listing", help="disc listings, JSON lines of disc, inner_path, is_directory, size")
     p.add_argument("--outputs", help="finished outputs, JSON lines of output, size, codec, duration_secs")
     p.add_argument("--dirs", help="directories, JSON lines of dir, writable")
@@ -55,14 +55,17 @@ def main(argv: list[str] | None = None) -> int:
         print(cfg)
         return 0
     spark = session()
-    files = media_files(walk(spark, args.root), cfg.media_extensions)
+    single = Path(args.root).is_file()
+    files = media_files(walk(spark, args.root), cfg.media_extensions, single=single)
+    top = str(Path(args.root).parent if single else Path(args.root)).rstrip("/") + "/"
+    below = F.when(F.col("path").startswith(top), F.substr("path", F.lit(len(top) + 1))).otherwise(F.col("path"))
     empty = lambda ddl: spark.createDataFrame([], ddl)
     docs = empty("path string, inner_path string, raw string")
     if args.probes:
-        names = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("item_id"))
+        names = files.select("path", below.alias("item_id"))
         docs = docs.union(names.join(read_probes(spark, args.probes), "item_id").select("path", F.lit(None).cast("string"), "raw"))
     if args.disc_probes:
-        names = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("disc"))
+        names = files.select("path", below.alias("disc"))
         docs = docs.union(names.join(read_disc_probes(spark, args.disc_probes), "disc").select("path", "inner_path", "raw"))
     rows = lambda path, ddl: spark.read.schema(ddl).json(path) if path else empty(ddl)
     listing = read_listing(spark, args.listing) if args.listing else empty(LISTING)

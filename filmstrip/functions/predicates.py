@@ -17,6 +17,11 @@ NO_10BIT = ["GTX 750", "GTX 9", "GTX 1050", "GTX 1060", "GTX 1070", "GTX 1080"]
 PROFESSIONAL = ["quadro", "tesla"]
 PROFESSIONAL_STARTS = ["a10", "a30", "a40", "a100", "l4", "l40", "h100"]
 HDR_TRANSFERS = ["smpte2084", "arib-std-b67"]
+# What is said of an output that can't be used.
+MISSING, EMPTY, GONE = "Output file does not exist", "Output file is empty", "Source file disappeared"
+SMALL = "Output file is suspiciously small (%d bytes vs %d bytes source)"
+UNREADABLE, NO_CODEC = "probe cannot read output file", "Output has no recognizable video codec"
+APART = "Duration mismatch: source %.1fs vs output %.1fs (diff %.1fs)"
 
 
 def _contains(c: Column, parts: list[str]) -> Column:
@@ -77,13 +82,13 @@ def needs_frame_probe(master_display: Column, max_cll: Column, transfer: Column,
 def invalid_output(out_size: Column, src_size: Column, codec: Column, src_duration: Column, out_duration: Column, *, disc: bool = False) -> Column:
     """The first reason why an output can't be used, null if it can. Outputs of discs
     aren't compared with the image's size."""
-    reason = F.when(out_size.isNull(), "Output file does not exist").when(out_size == 0, "Output file is empty")
+    reason = F.when(out_size.isNull(), MISSING).when(out_size == 0, EMPTY)
     if not disc:
-        small = F.format_string("Output file is suspiciously small (%d bytes vs %d bytes source)", out_size, src_size)
-        reason = reason.when(src_size.isNull(), "Source file disappeared").when(out_size < F.floor(src_size / 100), small)
+        small = F.format_string(SMALL, out_size, src_size)
+        reason = reason.when(src_size.isNull(), GONE).when(out_size < F.floor(src_size / 100), small)
     apart = F.abs(src_duration - out_duration)
-    mismatch = F.format_string("Duration mismatch: source %.1fs vs output %.1fs (diff %.1fs)", src_duration, out_duration, apart)
-    return reason.when(codec.isNull(), "probe cannot read output file").when(codec == "unknown", "Output has no recognizable video codec").when((src_duration > 0) & (out_duration > 0) & (apart > 5.0), mismatch)
+    mismatch = F.format_string(APART, src_duration, out_duration, apart)
+    return reason.when(codec.isNull(), UNREADABLE).when(codec == "unknown", NO_CODEC).when((src_duration > 0) & (out_duration > 0) & (apart > 5.0), mismatch)
 
 
 def should_freeze(hits: Column) -> Column:

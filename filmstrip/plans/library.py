@@ -25,7 +25,8 @@ def primary_audio(info: DataFrame, key: list[str]) -> DataFrame:
 
 
 def plan(files: DataFrame, listing: DataFrame, docs: DataFrame, done: DataFrame, markers: DataFrame, dirs: DataFrame, cfg: Config, *, has_10bit: bool = True) -> DataFrame:
-    """One row per title with outcome, reason, size, output and primary track.
+    """One row per title with outcome, reason, size, output and primary track. An item with more than one probe document is an
+    error: which of them is its own can't be told.
 
     files: path, size. listing: disc, inner_path, name, is_directory, size. docs: path,
     inner_path (null for files), raw. done: output, size, codec, duration_secs.
@@ -36,7 +37,10 @@ def plan(files: DataFrame, listing: DataFrame, docs: DataFrame, done: DataFrame,
     bad = disc.unreadable(files, listing, analysis).withColumn("iso_path", F.col("path"))
     items = disc.scan_items(files, analysis).unionByName(bad, allowMissingColumns=True).join(files.select("path", F.col("size").alias("file_size")), "path")
     items = items.withColumn("item", F.concat_ws("|", "path", F.coalesce("title_suffix", F.lit(""))))
-    info = probes(docs).withColumn("inner_path", F.coalesce("inner_path", F.lit("")))
+    docs = docs.withColumn("inner_path", F.coalesce("inner_path", F.lit("")))
+    told = [c for c in docs.columns if c not in ("path", "inner_path")]
+    docs = docs.groupBy("path", "inner_path").agg(F.min(F.struct(*told)).alias("_d"), F.count(F.lit(1)).alias("_of")).select("path", "inner_path", "_d.*", "_of")
+    info = probes(docs).withColumn("error", F.when(F.col("_of") > 1, "more than one probe document").otherwise(F.col("error"))).drop("_of")
     first = items.withColumn("inner_path", F.coalesce("inner_path", F.lit("")))
     found = first.join(info, ["path", "inner_path"], "left")
     parts = items.where("inner_paths is not null").select("item", "path", F.posexplode("inner_paths").alias("part", "inner_path"))
@@ -63,6 +67,11 @@ def plan(files: DataFrame, listing: DataFrame, docs: DataFrame, done: DataFrame,
         resumed=F.col("out_size").isNotNull() & invalid.isNull() & (F.col("marked") == F.col("file_size")),
         unwritable=F.col("unwritable") & F.lit(not cfg.dry_run),
         ambiguous=is_disc & F.col("ambiguous") & F.lit(cfg.skip_ambiguous_audio),
+        reasons={
+            "too_short": F.format_string("duration too short (%.2fs)", "duration_secs"),
+            "unwritable": F.concat(F.lit("destination is not writable: "), F.col("dest_dir")),
+            "ambiguous": F.concat(F.lit("ambiguous primary audio ("), F.col("audio_reason"), F.lit(")")),
+        },
     )
     p = p.withColumn("gate", gate)
     resolved = outputs.resolved_output(F.col("path"), F.col("title_suffix"), is_disc, cfg.target, cfg.overwrite, cfg.output_dir)

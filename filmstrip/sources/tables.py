@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicates import DISC_EXTENSIONS
+
 MARKER = "source_size bigint, duration_secs double, completed_at timestamp"
 
 
@@ -23,19 +25,26 @@ def read_mounts(spark: SparkSession, path: str = "/proc/mounts") -> DataFrame:
 
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
-    """item_id (the file's name without .json) and raw, one captured document a file."""
+    """item_id and raw, one captured document a file. The id is the document's path below
+    ``path`` without .json, as its file's path is below the library's root."""
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return texts.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:[.]json)?$", 1).alias("item_id"), F.col("value").alias("raw"))
+    return texts.select(F.regexp_replace(_below(path), "[.]json$", "").alias("item_id"), F.col("value").alias("raw"))
+
+
+def _below(path: str) -> Column:
+    """The path of the file that is read, below a folder."""
+    top = path.rstrip("/") + "/"
+    file = F.url_decode(F.replace(F.regexp_replace(F.input_file_name(), "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    return file.substr(F.position(F.lit(top), file) + len(top), F.char_length(file))
 
 
 def read_disc_probes(spark: SparkSession, path: str) -> DataFrame:
-    """disc (the folder's name), inner_path and raw of documents of files within discs,
-    kept below ``path`` as disc/inner/path.json."""
+    """disc, inner_path and raw of documents of files within discs, kept below ``path`` as
+    disc/inner/path.json, where disc is the image's path below the library's root."""
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    file = F.regexp_replace(F.input_file_name(), "^file:/*", "/")
-    inner = file.substr(F.position(F.lit(path.rstrip("/") + "/"), file) + len(path.rstrip("/")) + 1, F.char_length(file))
-    name = F.regexp_replace(inner, "[.]json$", "")
-    return texts.select(F.substring_index(name, "/", 1).alias("disc"), F.regexp_extract(name, "^[^/]*/(.*)$", 1).alias("inner_path"), F.col("value").alias("raw")).where("inner_path != ''")
+    name = F.regexp_replace(_below(path), "[.]json$", "")
+    image = "^(.*?[.](?i:" + "|".join(DISC_EXTENSIONS) + "))/(.+)$"
+    return texts.select(F.regexp_extract(name, image, 1).alias("disc"), F.regexp_extract(name, image, 2).alias("inner_path"), F.col("value").alias("raw")).where("inner_path != ''")
 
 
 LISTING = "disc string, inner_path string, name string, is_directory boolean, size bigint"

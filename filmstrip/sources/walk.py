@@ -87,11 +87,12 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("media_walk").option("path", root).load()
 
 
-def media_files(files: DataFrame, extensions: tuple[str, ...], *, artefact_start: str = ARTEFACT_START) -> DataFrame:
+def media_files(files: DataFrame, extensions: tuple[str, ...], *, artefact_start: str = ARTEFACT_START, single: bool = False) -> DataFrame:
     """What a scan takes: wanted extensions and disc images, without artefacts of runs,
-    each file once (the smallest path that leads to it), in order of path components."""
+    each file once (the smallest path that leads to it), in order of path components. A
+    ``single`` file that is asked for by name may be an artefact."""
     name = file_name(F.col("path"))
     artefact = name.startswith(artefact_start) | name.contains(ARTEFACT_PART)
     wanted = ext_lower(F.col("path")).isin([e.lower() for e in extensions]) | is_disc_image(F.col("path"))
-    kept = files.where(F.col("is_file") & ~artefact & wanted)
+    kept = files.where(F.col("is_file") & (F.lit(single) | ~artefact) & wanted)
     return first_of(kept, ["canonical_path"], [F.split("path", "/")]).orderBy(F.split("path", "/"))

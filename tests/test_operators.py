@@ -109,7 +109,10 @@ def test_gate_order(spark):
     assert got["BD.iso", None].duration_secs == 300.0 and got["BD.iso", None].source_size == 11250000 + 8437500 + 9375000 and got["BD.iso", None].primary_index == 0
     assert [got["MULTI.iso", f"title0{i}"].output for i in (1, 2, 3)] == [f"MULTI.title0{i}.transcoded.mkv" for i in (1, 2, 3)]
     strict = library.plan(files, listing, d, out, marks, dirs, Config(skip_ambiguous_audio=True), has_10bit=False)
-    assert {r.reason for r in strict.where("path = 'BD.iso'").collect()} == {"ambiguous primary audio"}
+    assert {r.reason for r in strict.where("path = 'BD.iso'").collect()} == {"ambiguous primary audio (top candidates tie on channels and bitrate)"}
+    assert {r.path: r.reason for r in p.where("outcome = 'skip'").collect()} == {"/m/short.mkv": "duration too short (0.50s)", "/m/ten.mkv": "10-bit source, but the device has no 10-bit encoder", "/ro/x.mkv": "destination is not writable: /ro"}
+    twice = library.plan(files, listing, d.union(d.where("path = '/m/a.mkv'")), out, marks, dirs, Config())
+    assert [(r.outcome, r.reason) for r in twice.where("path = '/m/a.mkv'").collect()] == [("probe-error", "more than one probe document")]
     assert sum(r.n for r in library.report(p).collect()) == len(got)
 
 
@@ -161,6 +164,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert all(f"/f{i:02}.mkv\t" in out for i in range(30)) and "no listing of the disc" in out and "\treplace\t" in out
 
 
+def test_documents_belong_to_paths(spark, tmp_path, capsys):
+    """Files and discs of one name in two folders have their own documents."""
+    doc = '{"streams":[{"codec_type":"video","codec_name":"%s","width":640,"height":480}],"format":{"bit_rate":"800000","duration":"100"}}'
+    listing = []
+    for show, codec in (("a b", "hevc"), ("c+d", "h264")):
+        for name in ("ep01.mkv", "d.iso"):
+            at = tmp_path / "m" / show / name
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_bytes(b"x" * 1000)
+            inner = tmp_path / "i" / show / "d.iso/BDMV/STREAM/1.m2ts.json"
+            inner.parent.mkdir(parents=True, exist_ok=True)
+            inner.write_text(doc % codec)
+            at = tmp_path / "p" / show / f"{name}.json"
+            at.parent.mkdir(parents=True, exist_ok=True)
+            if name == "ep01.mkv":
+                at.write_text(doc % codec)
+            else:
+                listing += [{"disc": f"{tmp_path}/m/{show}/d.iso", "inner_path": "BDMV/STREAM", "is_directory": True}, {"disc": f"{tmp_path}/m/{show}/d.iso", "inner_path": "BDMV/STREAM/1.m2ts", "size": 700}]
+    (tmp_path / "l.json").write_text("\n".join(map(json.dumps, listing)))
+    assert cli.main([str(tmp_path / "m"), "--probes", str(tmp_path / "p"), "--disc-probes", str(tmp_path / "i"), "--listing", str(tmp_path / "l.json")]) == 0
+    rows = [x.split("\t") for x in capsys.readouterr().out.splitlines() if x.startswith(str(tmp_path))]
+    assert sorted((r[0].removeprefix(f"{tmp_path}/m/"), r[3]) for r in rows) == [("a b/d.iso", "skip-silent"), ("a b/ep01.mkv", "skip-silent"), ("c+d/d.iso", "transcode"), ("c+d/ep01.mkv", "transcode")]
+
+
+def test_one_file_may_be_an_artefact(spark, tmp_path):
+    at = tmp_path / "a.transcoded.mkv"
+    at.write_bytes(b"x")
+    assert media_files(walk(spark, str(at)), ("mkv",), single=True).count() == 1
+    assert media_files(walk(spark, str(tmp_path)), ("mkv",)).count() == 0
+
+
 def test_finished_outputs(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "output string")
     assert [r.output for r in listed(df).collect()] == ["a", "b"]
