@@ -146,6 +146,40 @@ class Automaton:
         return out
 
 
+def _stretches(matches: list[tuple[int, int, int]]):
+    """Matches (place in the file, place in the template, words), in order, in stretches
+    that no chain joins."""
+    part, end = [], 0
+    for m in matches:
+        if part and m[0] > end + 1 + GAP:
+            yield part
+            part = []
+        end = max(end, m[0] + m[2] - 1) if part else m[0] + m[2] - 1
+        part.append(m)
+    if part:
+        yield part
+
+
+def _best_chain(matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(words of the template covered, first and last word in the file) of the best chain
+    of matches that go on in file and template, over gaps of at most GAP words in the
+    file. Of the earlier matches only those count that a match can still follow."""
+    best, open_ = (0, 0, 0), []  # open: end in the file, end in the template, covered, first word
+    for f, t, n in matches:
+        open_ = [x for x in open_ if x[0] >= f - 1 - GAP]
+        e, u = f + n - 1, t + n - 1
+        covered, first = n, f
+        for x in open_:
+            if x[0] < e and x[1] < u:
+                more = x[2] + min(n, u - x[1], e - x[0])
+                if (more, x[3]) > (covered, first):
+                    covered, first = more, x[3]
+        open_.append((e, u, covered, first))
+        if covered > best[0]:
+            best = (covered, first, e)
+    return best
+
+
 class _Scanner:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
         self.labels = list(templates)
@@ -190,22 +224,22 @@ class _Scanner:
         return out
 
     def chains(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, last word, share of the template covered) of chained
-        matches that cover enough."""
+        """(template, first word, last word, share of the template covered) of chains of
+        matches that cover enough: the best chain of a stretch of the file, then the best
+        of what lies before it and after it."""
         out = []
-        for k in sorted({m[0] for m in found}):
-            size, chain = len(self.templates[k]), None
-            for _, t, f, n in sorted((m for m in found if m[0] == k), key=lambda m: (m[2], m[1])):
-                if chain and f <= chain[1] + 1 + GAP and t > chain[3] - n and t + n - 1 > chain[3]:
-                    chain[2] += min(n, t + n - 1 - chain[3])
-                    chain[1], chain[3] = max(chain[1], f + n - 1), t + n - 1
-                else:
-                    if chain and chain[2] >= COVER * size:
-                        out.append((k, chain[0], chain[1], chain[2] / size))
-                    chain = [f, f + n - 1, n, t + n - 1]
-            if chain and chain[2] >= COVER * size:
-                out.append((k, chain[0], chain[1], chain[2] / size))
-        return out
+        by_template: dict[int, list] = {}
+        for k, t, f, n in found:
+            by_template.setdefault(k, []).append((f, t, n))
+        for k in sorted(by_template):
+            size, todo = len(self.templates[k]), list(_stretches(sorted(by_template[k])))
+            while todo:
+                some = todo.pop()
+                covered, first, last = _best_chain(some)
+                if covered >= COVER * size:
+                    out.append((k, first, last, covered / size))
+                    todo += [x for x in ([m for m in some if m[0] + m[2] <= first], [m for m in some if m[0] > last]) if x]
+        return sorted(out)
 
     def phrase_places(self, tokens: list[str], begin: int, phrases: list[tuple]) -> list[tuple]:
         out = []

@@ -429,6 +429,42 @@ def test_licenses_by_plain_matching(spark):
         assert {scanner.labels[x[0]] for x in spans} == {x.label for x in got[i].spans}
 
 
+def best_cover(matches, gap):
+    """The best chain that ends at each match, over all earlier matches."""
+    done = {}
+    for f, t, n in sorted(matches):
+        done[f, t, n] = max([n, *(c + min(n, t + n - v - m, f + n - g - m) for (g, v, m), c in done.items() if g + m < f + n and v + m < t + n and f <= g + m + gap)])
+    return max(done.values(), default=0)
+
+
+def test_no_license_is_lost_between_junk():
+    """Whole templates with an unknown word after every n-th one: a chain in order covers
+    enough of each, so each is found; and chains are the best there are."""
+    import pyarrow as pa
+
+    scanner = licenses._Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    for k, (label, template) in enumerate(licenses.TEMPLATES.items()):
+        w = licenses.words(template)
+        for n in range(4, 16):
+            for offset in range(0, n, 3):
+                parts = [w[:offset], *(w[i : i + n] for i in range(offset, len(w), n))]
+                t = " zzqx ".join(" ".join(x) for x in parts)
+                h, _ = scan.words(pa.array([t]), scan.ALNUM)
+                assert label in {scanner.labels[x[0]] for x in scanner.scan(h)[1]}, (label, n, offset)
+    r = random.Random(2)
+    for _ in range(300):
+        matches = sorted({(r.randrange(60), r.randrange(40), r.randint(3, 9)) for _ in range(r.randint(1, 14))})
+        stretches = list(licenses._stretches(matches))
+        assert sorted(m for x in stretches for m in x) == matches
+        for x in stretches:
+            assert licenses._best_chain(x)[0] == best_cover(x, licenses.GAP)
+        assert max(licenses._best_chain(x)[0] for x in stretches) == best_cover(matches, licenses.GAP)
+    twice = "\n".join([" ".join(licenses.TEMPLATES["mit"].split()[9:])] * 3)  # adjacent copies are spans of their own
+    h, _ = scan.words(pa.array([twice]), scan.ALNUM)
+    spans = [x for x in scanner.scan(h)[1] if scanner.labels[x[0]] == "mit"]
+    assert len(spans) == 3 and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_short_licenses(spark):
     rows = [(1, "under copyleft terms"), (2, "see unlicense here"), (3, "public domain"), (4, "a b c d public"), (5, "copyleft copyleft")]
     scan_ = licenses.license_scan(spark.createDataFrame(rows, DOC), templates={"unlicense": "unlicense", "pd": "public domain", "long": "a b c d"}, phrases={"copyleft": "cl"})
