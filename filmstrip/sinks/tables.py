@@ -15,18 +15,15 @@ METRICS = ["gpu-detected", "scan-completed", "transcode-started", "transcode-com
 
 
 def markers(done: DataFrame, at: Column) -> DataFrame:
-    """Marker rows of finished outputs: marker, source_size, duration_secs, completed_at."""
-    return done.select(marker_path(F.col("output")).alias("marker"), "source_size", "duration_secs", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completed_at"))
+    """Marker rows of finished outputs: output, marker, source_size, duration_secs,
+    completed_at."""
+    return done.select("output", marker_path(F.col("output")).alias("marker"), "source_size", "duration_secs", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completed_at"))
 
 
 def without_markers(markers: DataFrame, removed: DataFrame, key: str = "output") -> DataFrame:
     return markers.join(removed, key, "left_anti")
 
 
-def write_markers(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
-
-
 def replacements(items: DataFrame) -> DataFrame:
     """Planned replacements: original, output, action, reason, bytes_saved. ``items``
     has path, output, is_disc, source_size, source_duration, out_size, out_codec and

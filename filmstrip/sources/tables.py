@@ -14,7 +14,7 @@ def read_markers(spark: SparkSession, path: str, suffix: str = ".complete") -> D
     """output, source_size, duration_secs, completed_at of the marker files below
     ``path``; files that aren't markers are left out."""
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path)
-    m = texts.select(F.regexp_replace(F.input_file_name(), "^file:/*", "/").alias("file"), F.from_json("value", MARKER, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssX"}).alias("m"))
+    m = texts.select(_file().alias("file"), F.from_json("value", MARKER, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssX"}).alias("m"))
     return m.where("m.source_size is not null").select(F.expr(f"left(file, char_length(file) - {len(suffix)})").alias("output"), "m.*")
 
 
@@ -31,10 +31,15 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.regexp_replace(_below(path), "[.]json$", "").alias("item_id"), F.col("value").alias("raw"))
 
 
+def _file() -> Column:
+    """The path of the file that is read; Spark gives it as a URI."""
+    return F.url_decode(F.replace(F.regexp_replace(F.input_file_name(), "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+
+
 def _below(path: str) -> Column:
     """The path of the file that is read, below a folder."""
     top = path.rstrip("/") + "/"
-    file = F.url_decode(F.replace(F.regexp_replace(F.input_file_name(), "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    file = _file()
     return file.substr(F.position(F.lit(top), file) + len(top), F.char_length(file))
 
 
