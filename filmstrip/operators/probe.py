@@ -82,11 +82,15 @@ def media_info(docs: DataFrame, raw_col: str = "raw", frames_col: str | None = N
             "max_cll": max_cll(v["side_data_list"]),
         }
     )
-    if frames_col:
-        side = F.flatten(F.transform(F.from_json(frames_col, FRAMES)["frames"], lambda f: F.coalesce(f["side_data_list"], F.array().cast(SIDE_DATA))))
-        asked = needs_frame_probe(F.col("master_display"), F.col("max_cll"), F.col("color_transfer"), F.col("color_primaries"))
-        d = d.withColumns({"master_display": F.coalesce("master_display", F.when(asked, master_display(side))), "max_cll": F.coalesce("max_cll", F.when(asked, max_cll(side)))})
-    return d.drop("_p", "_v", "_a")
+    d = d.drop("_p", "_v", "_a")
+    return with_frames(d, frames_col) if frames_col else d
+
+
+def with_frames(d: DataFrame, frames_col: str = "frames_json") -> DataFrame:
+    """Media information with what first-frame documents add to incomplete headers."""
+    side = F.flatten(F.transform(F.from_json(frames_col, FRAMES)["frames"], lambda f: F.coalesce(f["side_data_list"], F.array().cast(SIDE_DATA))))
+    asked = needs_frame_probe(F.col("master_display"), F.col("max_cll"), F.col("color_transfer"), F.col("color_primaries"))
+    return d.withColumns({"master_display": F.coalesce("master_display", F.when(asked, master_display(side))), "max_cll": F.coalesce("max_cll", F.when(asked, max_cll(side)))})
 
 
 def color(d: DataFrame) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import DISC_EXTENSIONS
+from ..functions.predicates import DISC_EXTENSIONS, needs_frame_probe
 
 MARKER = "source_size bigint, duration_secs double, completed_at timestamp"
 
@@ -52,6 +53,28 @@ def read_disc_probes(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.regexp_extract(name, image, 1).alias("disc"), F.regexp_extract(name, image, 2).alias("inner_path"), F.col("value").alias("raw")).where("inner_path != ''")
 
 
+def read_frames(info: DataFrame, path: str, key: str = "item_id") -> DataFrame:
+    """``info`` with frames_json, the first-frame document of items whose header calls for
+    one, null for others and where there is none. Documents are at ``path``/key.json;
+    only those asked for are opened, each in the task that has its item. Needs a folder
+    that all executors see."""
+    asked = info.where(needs_frame_probe(F.col("master_display"), F.col("max_cll"), F.col("color_transfer"), F.col("color_primaries"))).select(key).distinct()
+
+    def opened(batches):
+        for batch in batches:
+            texts = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    with open(f"{path}/{name}.json", encoding="utf-8", errors="replace") as f:
+                        texts.append(f.read())
+                except OSError:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "frames_json"])
+
+    kind = dict(info.dtypes)[key]
+    return info.join(asked.mapInArrow(opened, f"`{key}` {kind}, frames_json string"), key, "left")
+
+
 LISTING = "disc string, inner_path string, name string, is_directory boolean, size bigint"
 
 

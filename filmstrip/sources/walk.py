@@ -1,90 +1,70 @@
-"""Listing directories: a Python data source, one task per directory below the root."""
+"""Listing directories in rounds: each round lists the directories the last one found,
+spread over tasks, so one deep or wide folder is no task of its own."""
 
 from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.predicates import is_disc_image
 from ..functions.scalars import ext_lower, file_name
 from ..operators.joins import first_of
+from ..shared import written
 
 SCHEMA = "path string, canonical_path string, is_file boolean, size bigint"
 ARTEFACT_START, ARTEFACT_PART = ".tmp_transcode_", ".transcoded."
+#: Directories of a round that one task lists.
+SLICE = 500
 
 
-def _walk(top: str, seen: set[str]):
-    real = os.path.realpath(top)
-    if real in seen:
-        return
-    seen.add(real)
+def _entries(top: str):
+    """(path, canonical path, whether a file, size) of what is in a directory; what can't
+    be read, and what is neither file nor directory, is left out."""
     try:
         found = sorted(os.scandir(top), key=lambda e: e.name)
     except OSError:
         return
     for e in found:
         try:
-            if e.is_dir():
-                yield from _walk(e.path, seen)
-            elif e.is_file():
-                yield e.path, os.path.realpath(e.path), True, e.stat().st_size
+            if e.is_dir() or e.is_file():
+                yield e.path, os.path.realpath(e.path), e.is_file(), e.stat().st_size if e.is_file() else None
         except OSError:
             continue
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
-
-    def partitions(self):
-        if os.path.isfile(self.root):
-            return [_Part(self.root, False)]
-        try:
-            dirs = sorted(e.path for e in os.scandir(self.root) if e.is_dir())
-        except OSError:
-            dirs = []
-        return [_Part(self.root, False), *[_Part(d, True) for d in dirs]]
-
-    def read(self, part):
-        if part.deep:
-            yield from _walk(part.path, {os.path.realpath(self.root)})
-        elif os.path.isfile(part.path):
-            yield part.path, os.path.realpath(part.path), True, os.path.getsize(part.path)
-        else:
-            try:
-                for e in sorted(os.scandir(part.path), key=lambda e: e.name):
-                    if e.is_file():
-                        yield e.path, os.path.realpath(e.path), True, e.stat().st_size
-            except OSError:
-                return
-
-
-class MediaWalk(DataSource):
-    """Files below ``path``. Links are followed, circles end where they close, and what
-    can't be read is left out. Needs a folder that all executors see."""
-
-    @classmethod
-    def name(cls):
-        return "media_walk"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options["path"])
-
-
-def walk(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(MediaWalk)
-    return spark.read.format("media_walk").option("path", root).load()
+def _listed(batches):
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64()]
+    for batch in batches:
+        for top in batch.column("path").to_pylist():
+            rows = list(_entries(top))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def walk(spark: SparkSession, root: str, *, per_task: int = SLICE) -> DataFrame:
+    """path, canonical_path, is_file, size of the files below ``root``, or of it, if it
+    is one. Links are followed; a directory is listed once, by the first path that a
+    round finds (the smallest of them), so circles end where they close. What can't be
+    read is left out. Needs a folder that all executors see; each round is written to
+    the shared folder, so a lost executor costs its own tasks."""
+    real = os.path.realpath(root)
+    if os.path.isfile(root):
+        return spark.createDataFrame([(root, real, True, os.path.getsize(root))], SCHEMA)
+    frontier = spark.createDataFrame([(root, real)], "path string, canonical_path string")
+    files, visited, many = spark.createDataFrame([], SCHEMA), frontier.select("canonical_path"), 1
+    while many:
+        dealt = frontier.select("path").repartition(max(1, -(-many // per_task)), "path") if many > 1 else frontier.select("path")
+        found = written(dealt.mapInArrow(_listed, SCHEMA), "walk")
+        files = files.union(found.where("is_file"))
+        new = found.where("not is_file").groupBy("canonical_path").agg(F.min("path").alias("path")).join(visited, "canonical_path", "left_anti")
+        frontier = written(new.select("path", "canonical_path"), "frontier")
+        many = frontier.count()
+        visited = visited.union(frontier.select("canonical_path"))
+    return files
 
 
 def media_files(files: DataFrame, extensions: tuple[str, ...], *, artefact_start: str = ARTEFACT_START, single: bool = False) -> DataFrame:

@@ -188,6 +188,43 @@ def test_documents_belong_to_paths(spark, tmp_path, capsys):
     assert sorted((r[0].removeprefix(f"{tmp_path}/m/"), r[3]) for r in rows) == [("a b/d.iso", "skip-silent"), ("a b/ep01.mkv", "skip-silent"), ("c+d/d.iso", "transcode"), ("c+d/ep01.mkv", "transcode")]
 
 
+def test_one_deep_folder_is_spread_over_rounds(spark, tmp_path):
+    at = tmp_path / "top"
+    for n in range(6):
+        at = at / f"level{n}"
+        for k in range(3):
+            (at / f"side{k}").mkdir(parents=True)
+            (at / f"side{k}" / "f.mkv").write_bytes(b"x" * (n + 1))
+    (at / "back").symlink_to(tmp_path / "top")
+    (tmp_path / "gone.mkv").symlink_to(tmp_path / "nowhere")
+    got = walk(spark, str(tmp_path), per_task=1)
+    rows = [(r.path, r.size) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == 18 and sum(r[1] for r in rows) == 3 * 21
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    assert walk(spark, str(tmp_path / "top/level0/side0")).count() == 1
+    assert walk(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_only_frames_asked_for_are_opened(spark, tmp_path):
+    import os
+
+    from filmstrip.operators import probe
+    from filmstrip.sources.tables import read_frames
+
+    doc = '{"streams":[{"codec_type":"video","codec_name":"hevc"%s}],"format":{}}'
+    light = '{"frames":[{"side_data_list":[{"side_data_type":"Content light level metadata","max_content":%d,"max_average":7}]}]}'
+    for n, name in enumerate(("hdr", "sdr", "unknown")):
+        (tmp_path / f"{name}.json").write_text(light % n)
+        os.utime(tmp_path / f"{name}.json", (1, 10**9))
+    docs = [("hdr", doc % ',"color_transfer":"smpte2084"'), ("sdr", doc % ',"color_transfer":"bt709"'), ("unknown", doc % ""), ("none", doc % "")]
+    info = probe.media_info(spark.createDataFrame(docs, "item_id string, raw string"))
+    got = {r.item_id: r.max_cll for r in probe.with_frames(read_frames(info, str(tmp_path))).collect()}
+    assert got == {"hdr": "0,7", "sdr": None, "unknown": "2,7", "none": None}
+    read = {n for n in ("hdr", "sdr", "unknown") if (tmp_path / f"{n}.json").stat().st_atime > 1}
+    assert "sdr" not in read
+    assert {r.item_id for r in read_frames(info, str(tmp_path)).where("frames_json is not null").collect()} == {"hdr", "unknown"}
+
+
 def test_one_file_may_be_an_artefact(spark, tmp_path):
     at = tmp_path / "a.transcoded.mkv"
     at.write_bytes(b"x")
