@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from dataclasses import replace
 from pathlib import Path
 
@@ -13,8 +14,8 @@ from .config import Config, parse
 from .functions.predicates import is_disc_image
 from .plans import library
 from .session import session
-from .sinks.tables import replacements
-from .sources.tables import LISTING, read_disc_probes, read_listing, read_markers, read_probes
+from .sinks.tables import listed, replacements
+from .sources.tables import LISTING, network_mount, read_disc_probes, read_listing, read_markers, read_mounts, read_probes
 from .sources.walk import media_files, walk
 
 
@@ -32,13 +33,18 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--listing", help="disc listings, JSON lines of disc, inner_path, is_directory, size")
     p.add_argument("--outputs", help="finished outputs, JSON lines of output, size, codec, duration_secs")
     p.add_argument("--dirs", help="directories, JSON lines of dir, writable")
+    p.add_argument("--mounts", default="/proc/mounts", help="mount table; a network mount is told of")
     p.add_argument("--replace", action="store_true", help="also list planned replacements")
+    p.add_argument("--list-outputs", action="store_true", help="only list finished outputs, for a pipe")
+    p.add_argument("--quiet", action="store_true", help="only the report, not each title")
+    p.add_argument("--jobs", type=int, default=0, help="encodes at once, 0 for what the device allows")
+    p.add_argument("--probe-timeout", type=float, default=30.0, help="seconds that a probe may take")
     return p.parse_args(argv)
 
 
 def config(args: argparse.Namespace) -> Config:
     c = parse(args.config.read_text()) if args.config else Config()
-    return replace(c, output_dir=args.output_dir or c.output_dir, overwrite=not args.no_overwrite, skip_ambiguous_audio=args.skip_ambiguous_audio or c.skip_ambiguous_audio, min_duration=args.min_duration, dry_run=True)
+    return replace(c, output_dir=args.output_dir or c.output_dir, overwrite=not args.no_overwrite, skip_ambiguous_audio=args.skip_ambiguous_audio or c.skip_ambiguous_audio, min_duration=args.min_duration, dry_run=True, jobs=max(args.jobs, 0), probe_timeout=args.probe_timeout)
 
 
 def _print(rows: DataFrame) -> None:
@@ -71,8 +77,18 @@ def main(argv: list[str] | None = None) -> int:
     listing = read_listing(spark, args.listing) if args.listing else empty(LISTING)
     done = rows(args.outputs, "output string, size bigint, codec string, duration_secs double")
     marks = read_markers(spark, args.root) if Path(args.root).is_dir() else empty("output string, source_size bigint")
+    if args.list_outputs:
+        for r in listed(done).toLocalIterator():
+            print(r.output)
+        return 0
+    if Path(args.mounts).is_file():
+        top = spark.createDataFrame([(str(Path(args.root).resolve()),)], "path string")
+        on = network_mount(top, read_mounts(spark, args.mounts)).first()
+        if on.network_fs:
+            print(f"{args.root} is on a network file system ({on.network_fs})", file=sys.stderr)
     planned = library.plan(files, listing, docs, done, marks, rows(args.dirs, "dir string, writable boolean"), cfg).cache()
-    _print(planned.orderBy("path", "title_suffix"))
+    if not args.quiet:
+        _print(planned.orderBy("path", "title_suffix"))
     if args.replace:
         items = planned.join(done.select("output", F.col("size").alias("out_size"), F.col("codec").alias("out_codec"), F.col("duration_secs").alias("out_duration")), "output")
         items = items.withColumns({"is_disc": is_disc_image(F.col("path")), "source_duration": F.col("duration_secs")})

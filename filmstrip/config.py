@@ -34,6 +34,8 @@ class Config:
     overwrite: bool = True
     dry_run: bool = False
     min_duration: float = 1.0
+    jobs: int = 0
+    probe_timeout: float = 30.0
 
 
 _TRUE, _FALSE = {"true", "yes", "on", "1"}, {"false", "no", "off", "0"}

@@ -23,9 +23,15 @@ def distinct_bytes(items: DataFrame, key: list[str], size: str) -> DataFrame:
     return items.groupBy(*key).agg(F.max(size).alias("_s")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("_s").alias("total_bytes"))
 
 
-def run_summary(done: DataFrame, before: Column, after: Column) -> DataFrame:
-    """bytes_saved only counts what got smaller, so the share isn't the difference."""
-    s = done.agg(F.count(F.lit(1)).alias("n_transcoded"), F.sum(before).alias("bytes_in"), F.sum(after).alias("bytes_out"), F.sum(F.greatest(before - after, F.lit(0))).alias("bytes_saved"))
+def run_summary(done: DataFrame, before: Column, after: Column, outcome: Column | None = None) -> DataFrame:
+    """bytes_saved only counts what got smaller, so the share isn't the difference. With
+    ``outcome`` (transcoded, skipped or error) n_skipped and n_errors too, and sums are of
+    what was transcoded."""
+    counts = [F.count(F.lit(1)).alias("n_transcoded")]
+    if outcome is not None:
+        before, after = F.when(outcome == "transcoded", before), F.when(outcome == "transcoded", after)
+        counts = [F.count_if(outcome == kind).alias(name) for kind, name in (("transcoded", "n_transcoded"), ("skipped", "n_skipped"), ("error", "n_errors"))]
+    s = done.agg(*counts, F.sum(before).alias("bytes_in"), F.sum(after).alias("bytes_out"), F.sum(F.when(before.isNotNull() & after.isNotNull(), F.greatest(before - after, F.lit(0)))).alias("bytes_saved"))
     return s.withColumn("saved_pct", F.when(F.col("bytes_in") == 0, 0.0).otherwise(F.col("bytes_saved") / F.col("bytes_in") * 100.0)).withColumn("compression_ratio", compression_ratio(F.col("bytes_in"), F.col("bytes_out")))
 
 

@@ -224,6 +224,18 @@ def run_summary(spark, sf_dir):
     return s.withColumns({c: F.round(c, 6) for c in ("saved_pct", "compression_ratio")})
 
 
+@query("""
+WITH t AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'transcoded' WHEN 'O' THEN 'skipped' ELSE 'error' END AS o, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_custkey * 10000 AS b FROM orders),
+s AS (SELECT count(*) FILTER (o = 'transcoded') AS n_transcoded, count(*) FILTER (o = 'skipped') AS n_skipped, count(*) FILTER (o = 'error') AS n_errors, CAST(sum(a) FILTER (o = 'transcoded') AS BIGINT) AS bytes_in, CAST(sum(b) FILTER (o = 'transcoded') AS BIGINT) AS bytes_out, CAST(sum(greatest(a - b, 0)) FILTER (o = 'transcoded') AS BIGINT) AS bytes_saved FROM t)
+SELECT *, round(bytes_saved / bytes_in * 100, 6) AS saved_pct, round(bytes_out / bytes_in, 6) AS compression_ratio FROM s
+""")
+def run_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    outcome = F.when(F.col("o_orderstatus") == "F", "transcoded").when(F.col("o_orderstatus") == "O", "skipped").otherwise("error")
+    s = aggregates.run_summary(o, cents("o_totalprice"), F.col("o_custkey") * 10000, outcome)
+    return s.withColumns({c: F.round(c, 6) for c in ("saved_pct", "compression_ratio")})
+
+
 @query("SELECT count(*) FILTER (d AND false OR NOT d AND v) AS replaced, count(*) FILTER (d) AS skipped, count(*) FILTER (NOT d AND NOT v) AS failed, CAST(sum(CASE WHEN NOT d AND v THEN greatest(a - b, 0) ELSE 0 END) AS BIGINT) AS bytes_saved FROM (SELECT o_orderstatus = 'P' AS d, o_orderkey % 5 <> 0 AS v, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_custkey * 10000 AS b FROM orders)")
 def replace_summary(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -61,6 +61,11 @@ def run_event(rows: DataFrame, key: str, at: Column, metric: Column | None = Non
     return rows.select(at.alias("ts"), F.lit(key).alias("key"), number.alias("metric"), F.to_json(F.struct(*[c.alias(n) for n, c in data.items()])).alias("data"))
 
 
+def emit(rows: DataFrame, path: str) -> None:
+    """Appends event rows to a folder of JSON lines, which streams can read."""
+    rows.write.mode("append").json(path)
+
+
 def flags(dim: DataFrame) -> DataFrame:
     """Runtime flags with their defaults: enabled, not paused, no limit."""
     return dim.select(F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("paused", F.lit(False)).alias("paused"), F.greatest(F.coalesce("max_jobs", F.lit(0)), F.lit(0)).alias("max_jobs"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sinks.tables import flags, run_event
+from ..sinks.tables import emit, flags, run_event
 
 FLAGS = "enabled boolean, paused boolean, max_jobs int"
 
@@ -30,7 +30,7 @@ def controlled(work: Callable[[DataFrame, int], None], flags_path: str, events_p
         return (True, False) if first is None else (first.enabled, first.paused)
 
     def tell(spark, key, n):
-        run_event(spark.range(1), key, F.current_timestamp(), batch=F.lit(n)).write.mode("append").json(events_path)
+        emit(run_event(spark.range(1), key, F.current_timestamp(), batch=F.lit(n)), events_path)
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession

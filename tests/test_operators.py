@@ -162,6 +162,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "m"), "--probes", str(tmp_path / "p"), "--outputs", str(tmp_path / "o.json"), "--replace"]) == 0
     out = capsys.readouterr().out
     assert all(f"/f{i:02}.mkv\t" in out for i in range(30)) and "no listing of the disc" in out and "\treplace\t" in out
+    (tmp_path / "mounts").write_text(f"srv:/x {tmp_path} cifs rw\n")
+    assert cli.main([str(tmp_path / "m"), "--probes", str(tmp_path / "p"), "--quiet", "--mounts", str(tmp_path / "mounts")]) == 0
+    told = capsys.readouterr()
+    assert "network file system (cifs)" in told.err and ".mkv" not in told.out and told.out.startswith("outcome\t")
+    assert cli.main([str(tmp_path / "m"), "--outputs", str(tmp_path / "o.json"), "--list-outputs"]) == 0
+    assert capsys.readouterr().out == f"{tmp_path}/m/f03.transcoded.mkv\n"
 
 
 def test_documents_belong_to_paths(spark, tmp_path, capsys):
