@@ -19,6 +19,7 @@ two pairs at most, so this loses nothing). Candidates are verified by exact edit
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import lru_cache
@@ -153,6 +154,7 @@ def walks(low: int, recall: float = RECALL) -> int:
         found |= (mine[:, :, None] == theirs).any(axis=(0, 2))
         if found.mean() >= recall:
             return walk + 1
+    warnings.warn(f"items of {low} words: {WALKS} walks find {found.mean():.4f} of the planted ones, {recall} were asked for", RuntimeWarning, stacklevel=2)
     return WALKS
 
 

@@ -13,6 +13,7 @@ below half are at most one, so shards cost next to nothing in sequences.
 
 from __future__ import annotations
 
+import warnings
 import os
 import re
 import struct
@@ -185,7 +186,7 @@ def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY
     size, want = np.array(sizes), np.array(counts, float)
     basis = np.diag((capacity // size).astype(float))
     times = want / (capacity // size)
-    for _ in range(100 * len(sizes)):  # far more than it takes; any state is a valid one
+    for _ in range(100 * len(sizes)):  # far more than it takes
         worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
         new = best_pattern(size, worth, capacity)
         if new @ worth <= 1 + 1e-9:
@@ -197,6 +198,8 @@ def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY
         times = np.maximum(times - step * change, 0)
         times[out] = step
         basis[:, out] = new
+    else:  # a packing like any other, only not known to be the best
+        warnings.warn(f"column generation over {len(sizes)} sizes stopped short of its optimum", RuntimeWarning, stacklevel=2)
     return [(int(t + 1e-6), np.repeat(np.arange(len(sizes)), c.astype(int)).tolist()) for t, c in zip(times, basis.T) if t + 1e-6 >= 1]
 
 
