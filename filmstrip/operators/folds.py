@@ -132,3 +132,16 @@ def flags_as_of(ticks: DataFrame, changes: DataFrame, key: list[str], at: str =
     truth = lambda f: F.coalesce(F.col(f)["to"].try_cast("boolean"), F.lit(FLAGS[f]))
     jobs = F.greatest(F.coalesce(F.col("max_jobs")["to"].try_cast("int"), F.lit(0)), F.lit(0))
     return out.select(*ticks.columns, truth("enabled").alias("enabled"), truth("paused").alias("paused"), jobs.alias("max_jobs"))
+
+
+def flag_override(ticks: DataFrame, key: list[str], order: list[str], max_jobs: Column, session_hit: Column, *, slots: Column | int, ranges: int | None = None) -> DataFrame:
+    """``ticks`` with what the flag for parallel jobs does at each: ``forced``, the flag
+    held between 1 and the slots there are (null where it isn't set), ``rearmed``, whether
+    ramping starts anew because the flag has just gone, and ``frozen``, whether session
+    limits have pinned the run by then, after which nothing is rearmed."""
+    held = ticks.withColumns({"_flag": F.greatest(F.coalesce(max_jobs, F.lit(0)), F.lit(0)), "_hit": F.coalesce(session_hit.cast("int"), F.lit(0))})
+    out = scan.scan(held, key, order, {"_was": scan.running_last(F.col("_flag"), order), "_hits": scan.running_sum(F.col("_hit"))}, before=True, ranges=ranges)
+    frozen = should_freeze(F.coalesce("_hits", F.lit(0)) + F.col("_hit"))
+    most = F.greatest(F.lit(slots) if isinstance(slots, int) else slots, F.lit(1))
+    rearmed = (F.col("_flag") == 0) & (F.coalesce("_was", F.lit(0)) > 0) & ~frozen
+    return out.select(*ticks.columns, F.when(F.col("_flag") > 0, F.least("_flag", most)).alias("forced"), rearmed.alias("rearmed"), frozen.alias("frozen"))

@@ -425,6 +425,18 @@ def disk_release(spark, sf_dir):
     return out.where("side = 0").select(*names, "reserved", "room")
 
 
+@query("""
+WITH e AS (SELECT event_id, user_id, ts, greatest(CASE WHEN event_id % 4 < 2 THEN event_id % 11 - 2 ELSE 0 END, 0) AS flag, (event_type = 'error')::INTEGER AS hit FROM events),
+w AS (SELECT *, lag(flag, 1, 0) OVER o AS was, sum(hit) OVER o >= 3 AS frozen FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN flag > 0 THEN least(flag, 6) END AS forced, flag = 0 AND was > 0 AND NOT frozen AS rearmed, frozen FROM w
+""")
+def flag_override(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    flag = F.when(F.col("event_id") % 4 < 2, F.col("event_id") % 11 - 2)
+    out = folds.flag_override(e, ["user_id"], ["ts", "event_id"], flag, F.col("event_type") == "error", slots=6)
+    return out.select("event_id", "forced", "rearmed", "frozen")
+
+
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def set_diff(spark, sf_dir):
     large = table(spark, sf_dir, "orders").where("o_totalprice > 250000")
