@@ -46,7 +46,7 @@ WINDOW, GRAM = 50, 25
 GRAMS = WINDOW - GRAM + 1
 LEFT, RIGHT = WINDOW - GRAM, WINDOW
 WIDE = LEFT + RIGHT
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes whose hashes are held at a time.
 STEP = 1 << 18
 #: Occurrences of an anchor from which a block reports them; their sum, and the blocks
@@ -297,18 +297,21 @@ def _chosen(block: _Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _strings(block: _Block, told: pa.Table, bits: int):
     """The block's strings to compare. Of each occurrence: the byte where the string
-    starts, that where its first window does, its windows, document and distinct
+    starts, how far on its first window does, its windows, row and distinct
     string; of each distinct string: its bytes, first window and windows, and route."""
     at, hot = _chosen(block, told)
-    base, start, count, docs, number = ([np.zeros(0, np.int64)] for _ in range(5))
+    # a block has fewer than 2^31 bytes; a passage that many documents share has very many
+    # occurrences, so they are kept small
+    kinds = (np.int32, np.uint8, np.uint8, np.int32, np.int32)
+    base, skip, count, row, number = ([np.zeros(0, t)] for t in kinds)
     marked, routes, seen = [np.zeros((0, WIDE + 2), np.uint8)], [np.zeros(0, np.uint64)], 0
 
     def add(of, begin, first, windows, rows, route):
         nonlocal seen
         both = np.c_[rows, first.astype(np.uint8), windows.astype(np.uint8)]
         one, where = _distinct(both)
-        for x, y in ((base, begin), (start, begin + first), (count, windows), (docs, block.docs[of]), (number, where + seen)):
-            x.append(y)
+        for x, y, t in zip((base, skip, count, row, number), (begin, first, windows, block.row[of], where + seen), kinds):
+            x.append(y.astype(t))
         marked.append(both[one])
         routes.append(_row_hash(both[one]) >> np.uint64(64 - bits) if route is None else route[one])
         seen += len(one)
@@ -318,16 +321,18 @@ def _strings(block: _Block, told: pa.Table, bits: int):
         rows, first, windows = _contexts(block, part)
         cold = ~warm & (windows > 0)
         add(part[cold], block.places[part[cold]] - LEFT, first[cold], windows[cold], rows[cold], block.hashes[part[cold]])
-        each = np.repeat(np.flatnonzero(warm), windows[warm])
-        if len(each):
-            shift = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(windows[warm]) - windows[warm], windows[warm])
+        for some in np.array_split(np.flatnonzero(warm), -(-int(warm.sum()) // (1 << 11)) or 1):  # GRAMS strings each
+            each = np.repeat(some, windows[some])
+            if not len(each):
+                continue
+            shift = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
             single = np.full((len(each), WIDE), 255, np.uint8)  # no byte of UTF-8, so never equal to a context
             single[:, :WINDOW] = rows[each[:, None], shift[:, None] + np.arange(WINDOW)]
             add(part[each], block.places[part[each]] - LEFT + shift, np.zeros(len(each), np.int64), np.ones(len(each), np.int64), single, None)
     every = np.concatenate(marked)
     one, where = _distinct(every)
     strings = every[one, :WIDE], every[one, WIDE:], np.concatenate(routes)[one]
-    return [np.concatenate(x) for x in (base, start, count, docs)], where[np.concatenate(number)], strings
+    return [np.concatenate(x) for x in (base, skip, count, row)], where.astype(np.int32)[np.concatenate(number)], strings
 
 
 def _send(buckets: int, bits: int):
@@ -335,13 +340,15 @@ def _send(buckets: int, bits: int):
         if not rows.num_rows:
             return _table(SENT, [])
         b = _Block(rows, bits)
-        (base, start, count, docs), number, (text, windows, route) = _strings(b, told, bits)
+        (base, skip, count, row), number, (text, windows, route) = _strings(b, told, bits)
+        docs = b.ids[row]
         least = np.full(len(text), np.iinfo(np.int64).max)
         np.minimum.at(least, number, docs)
         mine = docs == least[number]
         cut, order = ~mine, np.argsort(base[mine], kind="stable")
         own = (base[mine][order] + LEFT, number[mine][order])
-        out = [(key[0].as_py(), -1, own[1].astype(np.uint32).tobytes(), packed(own[0].astype(np.uint64)), None, _runs(start[cut], start[cut] + count[cut] + WINDOW - 1).tobytes())]
+        start = base[cut].astype(np.int64) + skip[cut]
+        out = [(key[0].as_py(), -1, own[1].astype(np.uint32).tobytes(), packed(own[0].astype(np.uint64)), None, _runs(start, start + count[cut] + WINDOW - 1).tobytes())]
         order = np.argsort(route, kind="stable")
         for k, part in _by_bucket(_bucket(route[order], buckets, bits)):
             i = order[part]
