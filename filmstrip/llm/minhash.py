@@ -26,8 +26,11 @@ filters instead of comparing members with each other:
   compared as they are). What all copies have in common cancels out, and what is left is
   joined by its rarest elements first (prefix filter).
 
-So no link between components is lost, and a large group of near copies costs about as
-many comparisons as it has members.
+So no link between components is lost, and a large group of copies that differ from one
+text here and there costs about as many comparisons as it has members. That isn't so for
+texts of a form whose many places take a few common values each: most elements over a
+leader are then common ones, and most pairs of the form's texts are estimated, and those
+near the threshold compared.
 """
 
 from __future__ import annotations

@@ -13,10 +13,10 @@ below half are at most one, so shards cost next to nothing in sequences.
 
 from __future__ import annotations
 
-import warnings
 import os
 import re
 import struct
+import warnings
 import zlib
 from collections.abc import Iterator
 
