@@ -79,6 +79,15 @@ def _close(sets: dict[int, dict], j: int) -> None:
         else:
             made = [((rule, dot + 1, origin), _then(value, (INSERT, "I")))] if right[dot] in ROLES else []
         todo += [m for m, v in made if _add(items, m, v)]
+    # what follows an open pair doesn't depend on where it began: the best one stays
+    pairs = {x: min(_then(v, items[x]) for v in _waiting(sets[x[2]])) for x in items if x[:2] == (PAIR, 1)}
+    for x in sorted(pairs, key=pairs.get)[1:]:
+        del items[x]
+
+
+def _waiting(items: dict):
+    """The values of items that wait for a pair."""
+    return [v for (r, d, _), v in items.items() if RULES[r][1][d : d + 1] == ("Pair",)]
 
 
 def _scan(items: dict, symbol: str) -> dict:
@@ -115,9 +124,7 @@ def _parsed(symbols: tuple[str, ...], begin: int) -> tuple[tuple[int, int, str],
         elif rule in (FIRST, MORE) and dot == 2:
             _add(out, PAIRED, value)
         elif rule == PAIR and dot == 1:
-            for (r, d, _), v in sets[origin].items():
-                if RULES[r][1][d : d + 1] == ("Pair",):
-                    _add(out, INNER, _then(v, value))
+            _add(out, INNER, min(_then(v, value) for v in _waiting(sets[origin])))
     return tuple((k, *v) for k, v in out.items())
 
 
