@@ -30,6 +30,8 @@ BREAK = "\r\n\r\n"
 RANGE, HEAD, BATCH = 8 << 20, 1 << 16, 8 << 20
 #: Payload bytes from which equal payloads are stored once.
 REVISIT = 100
+#: Parts that the copies of one payload are spread over.
+SALTS = 32
 
 
 def _squeezed(batches):
@@ -65,9 +67,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
     keys = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).where(F.octet_length("html") >= least)
     firsts = keys.groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("digest", "first")
+    # copies of one payload are spread by their ids, and payloads too short to be shared
+    # (all empty ones have one digest) each have a key of their own
     names = ["id", "url", "digest", "bytes", "html"]
     kinds = dict(rows.dtypes) | {"html": "binary"}
-    rows = rows.select(*names).mapInArrow(_squeezed, ", ".join(f"{n} {kinds[n]}" for n in names)).join(firsts, "digest", "left")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    alone = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
+    rows = rows.select(*names).mapInArrow(_squeezed, ", ".join(f"{n} {kinds[n]}" for n in names))
+    rows = rows.withColumns({"key": F.when(F.col("bytes") >= least, F.col("digest")).otherwise(alone), "salt": salt})
+    each = firsts.select(F.col("digest").alias("key"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.join(each, ["key", "salt"], "left")
     again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     hashed = lambda c: F.md5(F.concat_ws(" ", F.coalesce(c.cast("string"), F.lit("null")), F.col("digest"), F.when(c.isNull(), F.col("url"))))
     urn = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hashed(c), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-5$3-8$4-$5"), F.lit(">"))
