@@ -10,7 +10,7 @@ the whole corpus; it is built in parts that can't miss a match:
    bytes the smallest hash of a run of ``GRAM`` bytes (its rightmost place, or all of
    them if equal) is an anchor. Equal strings have equal anchors.
 2. Blocks send only their anchors' hashes, sorted and as differences, to buckets of
-   hash ranges. A bucket tells each block which of its anchors other blocks have too.
+   hash ranges, narrower ones for small hashes, which most anchors have. A bucket tells each block which of its anchors other blocks have too.
 3. For anchors in two or more documents blocks send contexts: all bytes that a string
    of WINDOW bytes around the anchor can hold. Equal contexts of a block are sent once,
    for its smallest document. Anchors with very many contexts send each distinct string
@@ -47,8 +47,8 @@ GRAMS = WINDOW - GRAM + 1
 LEFT, RIGHT = WINDOW - GRAM, WINDOW
 WIDE = LEFT + RIGHT
 BLOCK = 4 << 20
-#: Bytes whose hashes are held at a time.
-STEP = 1 << 18
+#: Bytes whose hashes are held at a time, and strings whose suffixes are sorted at a time.
+STEP, SUFFIXES = 1 << 18, 1 << 12
 #: Occurrences of an anchor from which a block reports them; their sum, and the blocks
 #: that have it, from which the anchor's windows are dealt by themselves.
 HEAVY, HOT, HOT_BLOCKS = 64, 4096, 256
@@ -81,7 +81,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             h[max(0, e - GRAM + 1 - a) : max(0, e - a)] = _NONE  # across a row's end
         pad = np.full(GRAMS - 1, _NONE)
         least = _slide(np.concatenate([pad, h, pad]), GRAMS, np.minimum)
-        least[least == _NONE] = 0
+        least[: GRAMS - 1] = least[len(h) :] = 0
+        for e in ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b + GRAM)]:
+            least[max(0, e - GRAM + 1 - a) : max(0, e + GRAMS - 1 - a)] = 0  # no whole string
         chosen = (_slide(least, GRAMS, np.maximum) == h)[low - a : high - a]
         at = np.flatnonzero(chosen) + low
         places.append(at)
@@ -111,7 +113,13 @@ def unsqueezed(blob: bytes) -> bytes:
 
 
 def _bucket(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    """Buckets of ranges of anchors' hashes that hold about as many anchors each. An
+    anchor is the least of GRAMS hashes, so most are small: of hashes from 0 to 1, with w
+    of them and v = 1 - w, the part up to w has 1 - (GRAMS + 1) / 2 * v^GRAMS + (GRAMS - 1) / 2
+    * v^(GRAMS + 1) of them."""
+    v = 1 - (h >> np.uint64(bits - 32)).astype(float) * 2.0**-32
+    part = 1 - v**GRAMS * ((GRAMS + 1) - (GRAMS - 1) * v) / 2
+    return np.minimum(np.maximum.accumulate((part * buckets).astype(np.int64)), buckets - 1)  # h is sorted
 
 
 def _bundles(batches):
@@ -349,8 +357,9 @@ def _send(buckets: int, bits: int):
         own = (base[mine][order] + LEFT, number[mine][order])
         start = base[cut].astype(np.int64) + skip[cut]
         out = [(key[0].as_py(), -1, own[1].astype(np.uint32).tobytes(), packed(own[0].astype(np.uint64)), None, _runs(start, start + count[cut] + WINDOW - 1).tobytes())]
+        route = scan.mix(route) >> np.uint64(1)  # routes of anchors are small ones mostly
         order = np.argsort(route, kind="stable")
-        for k, part in _by_bucket(_bucket(route[order], buckets, bits)):
+        for k, part in _by_bucket((((route[order] >> np.uint64(31)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)):
             i = order[part]
             out.append((key[0].as_py(), k, i.astype(np.uint32).tobytes(), squeezed(least[i]), windows[i].tobytes(), squeezed(text[i])))
         return _table(SENT, out)
@@ -371,14 +380,20 @@ def _rank(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1].reshape(x.shape).astype(np.uint64)
 
 
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of rows of WIDE bytes, as a number."""
+    n = WIDE - 8 + 1
+    out = np.zeros((len(text), n), np.uint64)
+    for j in range(8):
+        out <<= np.uint64(8)
+        out |= text[:, j : j + n]
+    return out
+
+
 def window_ranks(text: np.ndarray) -> np.ndarray:
     """Ranks of the first WINDOW bytes of the suffixes at the first GRAMS places of
     rows of WIDE bytes: suffix order to that depth, by prefix doubling."""
-    n = WIDE - 8 + 1
-    eight = np.zeros((len(text), n), np.uint64)
-    for j in range(8):
-        eight = eight << np.uint64(8) | text[:, j : j + n]
-    rank, depth = _rank(eight), 8
+    rank, depth = _rank(_eights(text)), 8
     while depth * 2 <= WINDOW:
         rank = _rank(rank[:, :-depth] << np.uint64(32) | rank[:, depth:])
         depth *= 2
@@ -408,15 +423,14 @@ def smaller_before(docs: np.ndarray) -> np.ndarray:
 def _common(text: np.ndarray, row: np.ndarray, place: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Bytes, up to WINDOW, that suffixes (by row and place) have in common with the
     ``other``s, 0 for other -1."""
-    flat, out = text.ravel(), np.zeros(len(row), np.int64)
-    begin = row * WIDE + place
+    eights, out = _eights(text), np.zeros(len(row), np.int64)
+    begin = row * eights.shape[1] + place
+    eights = eights.ravel()
     some = np.flatnonzero(other >= 0)
-    for j in range(0, WINDOW, 10):  # those that still agree, ten bytes further
-        x, y = begin[some], begin[other[some]]
-        same = np.stack([flat[x + i] == flat[y + i] for i in range(j, min(j + 10, WINDOW))])
-        run = np.logical_and.accumulate(same).sum(axis=0)
-        out[some] += run
-        some = some[run == len(same)]
+    for j in [*range(0, WINDOW - 8, 8), WINDOW - 8]:  # those that still agree, eight bytes further
+        differ = eights[begin[some] + j] ^ eights[begin[other[some]] + j]
+        out[some] = j + sum((differ < np.uint64(1 << 8 * i)).astype(np.int64) for i in range(8))
+        some = some[differ == 0]
     return out
 
 
@@ -427,7 +441,7 @@ def previous_factors(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) ->
     rank = window_ranks(text)
     j = np.arange(GRAMS)
     row, place = np.nonzero((j >= windows[:, :1]) & (j < windows.sum(axis=1, dtype=np.int64)[:, None]))
-    suffix = np.argsort(rank[row, place], kind="stable")
+    suffix = np.argsort(rank[row, place])  # equal ones in any order
     row, place = row[suffix], place[suffix]
     d = np.unique(docs, return_inverse=True)[1].astype(np.int32)[row]
     before = smaller_before(d)
@@ -468,7 +482,7 @@ def _decide(key, rows):
     order, begin = order[mixed], 0
     gram = gram[order]
     while begin < len(order):
-        end = min(len(order), begin + (1 << 14))
+        end = min(len(order), begin + SUFFIXES)
         if end < len(order):
             low = begin + int(np.searchsorted(gram[begin:], gram[end]))
             end = low if low > begin else begin + int(np.searchsorted(gram[begin:], gram[end], "right"))

@@ -164,6 +164,34 @@ def test_repeats_query(spark):
     assert got == {d: (*v[0][1:], hashlib.sha256(v[0][0]).hexdigest()) for d, v in brute_cut(rows).items()}
 
 
+def test_suffix_buckets_hold_about_as_much_each():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, r.integers(97, 123, 3000))) for _ in range(60)]
+    texts += [t[:2000] + "x" + t[2000:] for t in texts[::2]]
+    data = [x.encode() for x in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    rows = pa.table([[0], [np.arange(len(data)).tobytes()], [offsets.tobytes()], [suffixes.squeezed(np.frombuffer(b"".join(data), np.uint8))], [b""]], schema=suffixes.BUNDLES)
+    parts = suffixes._announce(24, 40, suffixes.HEAVY)([pa.scalar(0)], rows)
+    announced = [len(x) // 8 for x in parts.column("hashes").to_pylist()]
+    sent = suffixes._send(24, 40)([pa.scalar(0)], rows, suffixes._table(suffixes.SHARED, [])).to_pylist()
+    strings = [len(x["number"]) // 4 for x in sent if x["bucket"] >= 0]
+    for sizes in (announced, strings):
+        assert len(sizes) == 24 and max(sizes) < 2 * np.mean(sizes)
+
+
+def test_common_prefixes_of_suffixes():
+    r = np.random.default_rng(5)
+    text = np.repeat(r.integers(0, 256, (1, suffixes.WIDE), dtype=np.uint8), 120, axis=0)
+    text[np.arange(120), r.integers(0, suffixes.WIDE, 120)] ^= 1
+    row, place, other = np.arange(120), np.full(120, 7), np.roll(np.arange(120), 1)
+    other[0] = -1
+    cut = [text[i, 7 : 7 + suffixes.WINDOW] for i in range(120)]
+    want = [0] + [int(np.argmax(np.r_[cut[i] != cut[i - 1], True])) for i in range(1, 120)]
+    assert suffixes._common(text, row, place, other).tolist() == want
+
+
 def test_window_ranks_are_suffix_order():
     r = np.random.default_rng(0)
     rows = r.integers(97, 99, (40, suffixes.WIDE), dtype=np.uint8)
