@@ -45,9 +45,14 @@ def ext_lower(path: Column) -> Column:
     return F.lower(extension(path))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def digits(c: Column) -> Column:
     """A whole number written in digits alone, else null."""
-    return F.when(c.rlike(r"^[+]?[0-9]+$"), c.try_cast("bigint"))
+    return bound(c, lambda x: F.when(x.rlike(r"^[+]?[0-9]+$"), x.try_cast("bigint")))
 
 
 def _rational(c: Column) -> tuple[Column, Column]:
@@ -58,15 +63,18 @@ def _rational(c: Column) -> tuple[Column, Column]:
 
 def parse_rational(c: Column) -> Column:
     """num and den of ``num/den``; null if either isn't a number or den is 0."""
-    num, den = _rational(c)
-    return F.when(c.contains("/") & num.isNotNull() & (den > 0), F.struct(num.alias("num"), den.alias("den")))
+
+    def parsed(c: Column) -> Column:
+        num, den = _rational(c)
+        return bound(F.struct(num.alias("num"), den.alias("den")), lambda r: F.when(c.contains("/") & r["num"].isNotNull() & (r["den"] > 0), r))
+
+    return bound(c, parsed)
 
 
 def rational_scaled(c: Column, k: int) -> Column:
     """The rational times ``k``, truncated."""
-    r = parse_rational(c)
-    scaled = F.try_multiply(r["num"], F.lit(k))
-    return F.when(r.isNotNull(), (scaled - scaled % r["den"]) / r["den"]).cast("bigint")
+    times = lambda r: F.try_multiply(r["num"], F.lit(k))
+    return bound(parse_rational(c), lambda r: F.when(r.isNotNull(), (times(r) - times(r) % r["den"]) / r["den"])).cast("bigint")
 
 
 def truncate_name(name: Column, width: int | Column, ellipsis: str = "..") -> Column:

@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import needs_frame_probe
-from ..functions.scalars import digits, rational_scaled, trimmed
+from ..functions.scalars import bound, digits, rational_scaled, trimmed
 
 SIDE_DATA = "array<struct<side_data_type:string,red_x:string,red_y:string,green_x:string,green_y:string,blue_x:string,blue_y:string,white_point_x:string,white_point_y:string,min_luminance:string,max_luminance:string,max_content:int,max_average:int>>"
 PROBE = f"streams array<struct<codec_name:string,codec_type:string,width:int,height:int,pix_fmt:string,color_primaries:string,color_transfer:string,color_space:string,color_range:string,channels:int,bit_rate:string,side_data_list:{SIDE_DATA},tags:struct<BPS:string,language:string,title:string>,disposition:struct<`default`:int,comment:int>>>, format struct<bit_rate:string,duration:string>"
 FRAMES = f"frames array<struct<side_data_list:{SIDE_DATA}>>"
 
 
+def _once(d: DataFrame, name: str, value: Column) -> DataFrame:
+    """``d`` with a column computed once a row: a generator of one row is a step that
+    isn't merged with what reads the column, which would compute it again at each place."""
+    return d.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def clean_color_tag(c: Column) -> Column:
-    t = trimmed(c)
-    return F.when((t != "") & ~F.lower(t).isin("unknown", "unspecified"), t)
+    return bound(trimmed(c), lambda t: F.when((t != "") & ~F.lower(t).isin("unknown", "unspecified"), t))
 
 
 def kbps(*candidates: Column) -> Column:
@@ -29,27 +34,29 @@ def _side(side: Column, kind: str) -> Column:
 
 def master_display(side: Column) -> Column:
     """G(x,y)B(x,y)R(x,y)WP(x,y)L(max,min), null if any of them is missing."""
-    m = _side(side, "Mastering display metadata")
-    at = lambda n: rational_scaled(m[n], 50000).cast("string")
-    light = lambda n: rational_scaled(m[n], 10000).cast("string")
     pair = lambda tag, x, y: [F.lit(f"{tag}("), x, F.lit(","), y, F.lit(")")]
-    return F.concat(*pair("G", at("green_x"), at("green_y")), *pair("B", at("blue_x"), at("blue_y")), *pair("R", at("red_x"), at("red_y")), *pair("WP", at("white_point_x"), at("white_point_y")), *pair("L", light("max_luminance"), light("min_luminance")))
+
+    def text(m: Column) -> Column:
+        at = lambda n: rational_scaled(m[n], 50000).cast("string")
+        light = lambda n: rational_scaled(m[n], 10000).cast("string")
+        return F.concat(*pair("G", at("green_x"), at("green_y")), *pair("B", at("blue_x"), at("blue_y")), *pair("R", at("red_x"), at("red_y")), *pair("WP", at("white_point_x"), at("white_point_y")), *pair("L", light("max_luminance"), light("min_luminance")))
+
+    return bound(_side(side, "Mastering display metadata"), text)
 
 
 def max_cll(side: Column) -> Column:
-    m = _side(side, "Content light level metadata")
-    return F.concat(m["max_content"].cast("string"), F.lit(","), m["max_average"].cast("string"))
+    return bound(_side(side, "Content light level metadata"), lambda m: F.concat(m["max_content"].cast("string"), F.lit(","), m["max_average"].cast("string")))
 
 
 def media_info(docs: DataFrame, raw_col: str = "raw", frames_col: str | None = None) -> DataFrame:
     """``docs`` with the columns of a media information; ``error`` says why there is
     none. 0 and "unknown" stand for what a document doesn't tell. First-frame metadata
     fills what the header lacks, where the header looks incomplete."""
-    d = docs.withColumn("_p", F.from_json(raw_col, PROBE))
+    d = _once(docs, "_p", F.from_json(raw_col, PROBE))
     video = F.get(F.filter("_p.streams", lambda s: s["codec_type"] == "video"), F.lit(0))
-    d = d.withColumn("_v", video).withColumn("_a", F.filter("_p.streams", lambda s: s["codec_type"] == "audio"))
+    d = _once(d, "_t", F.struct(video.alias("v"), F.filter("_p.streams", lambda s: s["codec_type"] == "audio").alias("a")))
     audio = F.transform(
-        "_a",
+        "_t.a",
         lambda s, i: F.struct(
             i.alias("index"),
             F.coalesce(s["codec_name"], F.lit("unknown")).alias("codec"),
@@ -61,7 +68,10 @@ def media_info(docs: DataFrame, raw_col: str = "raw", frames_col: str | None = N
             (F.coalesce(s["disposition"]["comment"], F.lit(0)) == 1).alias("is_comment"),
         ),
     )
-    v = F.col("_v")
+    v = F.col("_t.v")
+    tags = {c: clean_color_tag(v[c]) for c in ("color_primaries", "color_transfer", "color_space", "color_range")}
+    tags |= {"master_display": master_display(v["side_data_list"]), "max_cll": max_cll(v["side_data_list"])}
+    d = _once(d, "_c", F.struct(*[c.alias(n) for n, c in tags.items()]))
     d = d.withColumns(
         {
             "error": F.when(F.col("_p.streams").isNull() & F.col("_p.format").isNull(), "unreadable probe document").when(v.isNull(), "no video stream found"),
@@ -71,18 +81,13 @@ def media_info(docs: DataFrame, raw_col: str = "raw", frames_col: str | None = N
             "bitrate_kbps": kbps(v["tags"]["BPS"], F.col("_p.format.bit_rate")),
             "duration_secs": F.coalesce(F.when(F.col("_p.format.duration").rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), F.col("_p.format.duration").try_cast("double")), F.lit(0.0)),
             "pix_fmt": F.coalesce(v["pix_fmt"], F.lit("unknown")),
-            "has_audio": F.coalesce(F.size("_a") > 0, F.lit(False)),
+            "has_audio": F.coalesce(F.size("_t.a") > 0, F.lit(False)),
             "has_subtitles": F.coalesce(F.exists("_p.streams", lambda s: s["codec_type"] == "subtitle"), F.lit(False)),
             "audio_streams": audio,
-            "color_primaries": clean_color_tag(v["color_primaries"]),
-            "color_transfer": clean_color_tag(v["color_transfer"]),
-            "color_space": clean_color_tag(v["color_space"]),
-            "color_range": clean_color_tag(v["color_range"]),
-            "master_display": master_display(v["side_data_list"]),
-            "max_cll": max_cll(v["side_data_list"]),
         }
+        | {c: F.col(f"_c.{c}") for c in tags}
     )
-    d = d.drop("_p", "_v", "_a")
+    d = d.drop("_p", "_t", "_c")
     return with_frames(d, frames_col) if frames_col else d
 
 
@@ -90,7 +95,8 @@ def with_frames(d: DataFrame, frames_col: str = "frames_json") -> DataFrame:
     """Media information with what first-frame documents add to incomplete headers."""
     side = F.flatten(F.transform(F.from_json(frames_col, FRAMES)["frames"], lambda f: F.coalesce(f["side_data_list"], F.array().cast(SIDE_DATA))))
     asked = needs_frame_probe(F.col("master_display"), F.col("max_cll"), F.col("color_transfer"), F.col("color_primaries"))
-    return d.withColumns({"master_display": F.coalesce("master_display", F.when(asked, master_display(side))), "max_cll": F.coalesce("max_cll", F.when(asked, max_cll(side)))})
+    d = _once(d, "_f", F.when(asked, side))
+    return d.withColumns({"master_display": F.coalesce("master_display", master_display(F.col("_f"))), "max_cll": F.coalesce("max_cll", max_cll(F.col("_f")))}).drop("_f")
 
 
 def color(d: DataFrame) -> Column:

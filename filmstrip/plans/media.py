@@ -38,7 +38,8 @@ def _stream(**values) -> Column:
 
 def probe_docs(spark, sf_dir) -> DataFrame:
     """p_partkey, raw, frames_json: a captured document per part; some are junk, some
-    without video, and every field is missing somewhere."""
+    without video, and every field is missing somewhere. Parts are few bytes and their
+    documents many, so parts are dealt over tasks first."""
     key, none, size = F.col("p_partkey"), F.lit(None), F.col("p_size")
     side = F.when(key % 8 == 0, F.filter(F.array(_display(F.when(key % 16 != 0, F.lit("34500/50000")), F.concat(key.cast("string"), F.lit("/50000"))), F.when(key % 3 == 0, _light(F.lit(1000), key % 400))), lambda x: x.isNotNull()))
     video = _stream(
@@ -61,7 +62,8 @@ def probe_docs(spark, sf_dir) -> DataFrame:
     about = F.struct(F.when(key % 7 != 0, (key * 1000 + 999).cast("string")).alias("bit_rate"), F.when(key % 11 == 0, "N/A").otherwise(F.concat(size.cast("string"), F.lit(".5"))).alias("duration"))
     raw = F.when(key % 17 == 0, "no JSON").otherwise(F.to_json(F.struct(streams.alias("streams"), about.alias("format"))))
     frames = F.to_json(F.struct(F.array(F.struct(F.array(_display(F.lit("1/2"), F.lit("1/4")), _light(F.lit(4000), key % 7)).alias("side_data_list"))).alias("frames")))
-    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), F.when(key % 9 == 0, frames).alias("frames_json"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").repartition("p_partkey")
+    return parts.select("p_partkey", raw.alias("raw"), F.when(key % 9 == 0, frames).alias("frames_json"))
 
 
 _DOCS_SQL = """

@@ -51,3 +51,10 @@ def test_plans(spark):
     gate = plan(catalog.classify_gate_lineitem(spark, SF))
     assert "Exchange" not in gate and "l_shipdate" not in gate
     assert "NestedLoop" not in plan(catalog.longest_prefix(spark, SF))
+
+
+def test_probe_documents_are_parsed_once(spark):
+    from filmstrip.plans import media
+
+    assert plan(media.probe_documents(spark, SF)).count("from_json(") <= 2
+    assert plan(media.probe_audio(spark, SF)).count("from_json(") == 1
