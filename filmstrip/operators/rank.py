@@ -9,6 +9,18 @@ ERA = 1955
 ALL_COMMENTARY, TIED = "all streams look like commentary", "top candidates tie on channels and bitrate"
 
 
+#: Rows that one task sorts, about.
+ROWS = 1 << 20
+
+
+def dealt(streams: DataFrame, item: list[str], rows: int, per_task: int = ROWS) -> DataFrame:
+    """``streams``, of so many rows, dealt by item over as many tasks as they call for,
+    where the session's number of shuffle partitions is too small for them."""
+    parts = -(-rows // per_task)
+    few = int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return streams.repartition(parts, *item) if parts > few else streams
+
+
 def pick_primary(streams: DataFrame, item: list[str], *, idx: Column, channels: Column, bitrate: Column, commentary: Column, default: Column, year: Column | None = None, era: int = ERA) -> DataFrame:
     """One row per item: primary index, n_streams, ambiguous, reason.
 
@@ -17,12 +29,21 @@ def pick_primary(streams: DataFrame, item: list[str], *, idx: Column, channels:
     first. A single stream is never ambiguous."""
     year = F.lit(None).cast("int") if year is None else year
     s = streams.select(*item, idx.alias("_i"), channels.alias("_c"), bitrate.alias("_b"), commentary.alias("_x"), default.alias("_d"), year.alias("_y"))
-    whole = Window.partitionBy(*item)
-    s = s.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_talk", F.min(F.col("_x").cast("int")).over(whole) == 1)
-    pool = s.where((~F.col("_x")) | F.col("_talk") | (F.col("_n") == 1))
+    # one order for all windows, so that a task sorts once: what isn't commentary comes
+    # first, and the next stream only ties with the first if it is in the same pool
     sign = F.when(F.col("_y") < era, F.col("_c")).otherwise(-F.col("_c"))
-    order = Window.partitionBy(*item).orderBy(sign, F.desc("_b"), F.desc("_d"), "_i")
-    pool = pool.withColumn("_r", F.row_number().over(order)).withColumn("_c2", F.lead("_c").over(order)).withColumn("_b2", F.lead("_b").over(order))
-    tie = F.coalesce((F.col("_c") == F.col("_c2")) & (F.col("_b") == F.col("_b2")), F.lit(False))
+    s = s.withColumn("_own", F.coalesce(~F.col("_x"), F.lit(False)))
+    order = Window.partitionBy(*item).orderBy(F.desc("_own"), sign, F.desc("_b"), F.desc("_d"), "_i")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(whole),
+            "_talk": F.min(F.col("_x").cast("int")).over(whole) == 1,
+            "_r": F.row_number().over(order),
+            "_next": F.lead(F.struct("_own", "_c", "_b")).over(order),
+        }
+    )
+    first = s.where("_r = 1").where(F.col("_own") | F.col("_talk") | (F.col("_n") == 1))
+    tie = F.coalesce((F.col("_own") == F.col("_next._own")) & (F.col("_c") == F.col("_next._c")) & (F.col("_b") == F.col("_next._b")), F.lit(False))
     reason = F.when(F.col("_n") == 1, F.lit(None)).when(F.col("_talk"), ALL_COMMENTARY).when(tie, TIED)
-    return pool.where("_r = 1").select(*item, F.col("_i").alias("primary_index"), F.col("_n").alias("n_streams"), reason.isNotNull().alias("ambiguous"), reason.alias("reason"))
+    return first.select(*item, F.col("_i").alias("primary_index"), F.col("_n").alias("n_streams"), reason.isNotNull().alias("ambiguous"), reason.alias("reason"))

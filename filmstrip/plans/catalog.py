@@ -115,6 +115,11 @@ SELECT l_orderkey, idx AS primary_index, n AS n_streams,
 FROM p WHERE r = 1"""
 
 
+def _by_order(spark, sf_dir) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    return rank.dealt(l, ["l_orderkey"], l.count())
+
+
 def _primary(l: DataFrame, year) -> DataFrame:
     idx = (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")
     return rank.pick_primary(l, ["l_orderkey"], idx=idx, channels=F.col("l_quantity"), bitrate=F.round("l_extendedprice", 2), commentary=F.col("l_returnflag") == "R", default=F.col("l_linestatus") == "F", year=year, era=1995)
@@ -122,12 +127,12 @@ def _primary(l: DataFrame, year) -> DataFrame:
 
 @query(_primary_sql("2000", "lineitem"))
 def primary_pick_per_order(spark, sf_dir):
-    return _primary(table(spark, sf_dir, "lineitem"), None)
+    return _primary(_by_order(spark, sf_dir), None)
 
 
 @query(_primary_sql("year(o_orderdate)", "lineitem JOIN orders ON l_orderkey = o_orderkey"))
 def primary_pick_era_flip(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    l = _by_order(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     return _primary(l, F.year("o_orderdate"))
 
 

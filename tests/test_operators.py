@@ -251,3 +251,15 @@ def test_summary_looks_at_no_pair_of_lines(spark):
     assert {r.s for r in df.collect()} == {"[mod @ 0] error 0 | [mod @ 1] error same | [mod @ 7] error 7 | [mod @ 14] error 14"}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "array_position" not in plan
+
+
+def test_primary_sorts_once_and_in_parts_of_bounded_size(spark):
+    rows = [("a", 0, 6, 9, True, False), ("a", 1, 2, 5, False, False), ("b", 0, 2, 5, False, True), ("b", 1, 2, 5, True, False), ("c", 0, 2, 5, None, True), ("c", 1, 2, 5, None, True), ("d", 0, 2, 5, True, True), ("d", 1, 6, 5, None, True), ("e", 0, 2, 5, False, False), ("e", 1, 2, 5, False, True), ("f", 3, 2, 5, None, True)]
+    d = spark.createDataFrame(rows, "item string, idx int, channels int, kbps int, talk boolean, first boolean")
+    spread = rank.dealt(d, ["item"], len(rows), per_task=2)
+    assert spread.rdd.getNumPartitions() == 6 and rank.dealt(d, ["item"], len(rows)) is d
+    p = rank.pick_primary(spread, ["item"], idx=F.col("idx"), channels=F.col("channels"), bitrate=F.col("kbps"), commentary=F.col("talk"), default=F.col("first"))
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    got = {r.item: tuple(r)[1:] for r in p.collect()}
+    assert got == {"a": (1, 2, False, None), "b": (0, 2, False, None), "d": (1, 2, True, rank.ALL_COMMENTARY), "e": (1, 2, True, rank.TIED), "f": (3, 1, False, None)}
