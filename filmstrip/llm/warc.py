@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +35,40 @@ REVISIT = 100
 SALTS = 32
 
 
-def _squeezed(batches):
-    """Payloads compressed one by one, so that shuffling them takes less room."""
-    for batch in batches:
-        html = [pa.compress(x.as_buffer(), codec="zstd", asbytes=True) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(html, pa.binary())], names=batch.schema.names)
+def _phrases(pages: DataFrame) -> bytes:
+    """Beginnings of a few payloads, which compressed ones then only refer to."""
+    few = pages.where(F.octet_length("html") > 0).select(F.substring("html", 1, 2000).alias("html")).limit(16).collect()
+    return b"".join(r.html.encode() for r in few)[-(1 << 15) :]
 
 
-def _texts(batches):
-    """Head, and behind it the payload where there is to be one."""
-    for batch in batches:
-        out, held = [], 0
-        for head, n, html in zip(batch.column("head"), batch.column("stored"), batch.column("html")):
-            payload = pa.decompress(html.as_buffer(), decompressed_size=n.as_py(), codec="zstd", asbytes=True).decode() if n.as_py() else ""
-            out.append(head.as_py() + BREAK + payload)
-            held += len(head.as_py()) + len(payload)
-            if held >= BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                out, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+def _squeezed(phrases: bytes):
+    def squeeze(batches):
+        """Payloads compressed one by one, so that shuffling them takes less room."""
+        for batch in batches:
+            html = []
+            for x in batch.column("html"):
+                c = zlib.compressobj(3, wbits=-15, zdict=phrases)
+                html.append(c.compress(x.as_buffer()) + c.flush())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(html, pa.binary())], names=batch.schema.names)
+
+    return squeeze
+
+
+def _texts(phrases: bytes):
+    def texts(batches):
+        """Head, and behind it the payload where there is to be one."""
+        for batch in batches:
+            out, held = [], 0
+            for head, n, html in zip(batch.column("head"), batch.column("stored"), batch.column("html")):
+                payload = zlib.decompressobj(-15, zdict=phrases).decompress(html.as_buffer()).decode() if n.as_py() else ""
+                out.append(head.as_py() + BREAK + payload)
+                held += len(head.as_py()) + len(payload)
+                if held >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return texts
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -73,7 +89,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     kinds = dict(rows.dtypes) | {"html": "binary"}
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     alone = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
-    rows = rows.select(*names).mapInArrow(_squeezed, ", ".join(f"{n} {kinds[n]}" for n in names))
+    phrases = _phrases(rows)
+    rows = rows.select(*names).mapInArrow(_squeezed(phrases), ", ".join(f"{n} {kinds[n]}" for n in names))
     rows = rows.withColumns({"key": F.when(F.col("bytes") >= least, F.col("digest")).otherwise(alone), "salt": salt})
     each = firsts.select(F.col("digest").alias("key"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = rows.join(each, ["key", "salt"], "left")
@@ -96,7 +113,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.when(again, 0).otherwise(F.col("bytes")).cast("string"),
     )
     stored = F.when(again, 0).otherwise(F.col("bytes")).alias("stored")
-    rows.select(head.alias("head"), stored, "html").mapInArrow(_texts, "value string").write.option("lineSep", BREAK).text(path)
+    rows.select(head.alias("head"), stored, "html").mapInArrow(_texts(phrases), "value string").write.option("lineSep", BREAK).text(path)
 
 
 def _opened(path: str):

@@ -164,6 +164,22 @@ def test_repeats_query(spark):
     assert got == {d: (*v[0][1:], hashlib.sha256(v[0][0]).hexdigest()) for d, v in brute_cut(rows).items()}
 
 
+def test_warc_payloads_are_shuffled_small():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    html = [x or "" for x in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist()] + ["", "\u00e9\U0001f600"]
+    phrases = b"".join(x[:2000].encode() for x in html[:16])[-(1 << 15) :]
+    for shared in (phrases, b""):
+        (squeezed,) = warc._squeezed(shared)([pa.RecordBatch.from_pydict({"html": html})])
+        lengths = pa.array([len(x.encode()) for x in html])
+        (back,) = warc._texts(shared)([pa.RecordBatch.from_arrays([pa.array(["h"] * len(html)), lengths, squeezed.column("html")], names=["head", "stored", "html"])])
+        assert back.column("value").to_pylist() == ["h" + warc.BREAK + x for x in html]
+        if shared:
+            alone = sum(len(pa.compress(x.encode(), codec="zstd", asbytes=True)) for x in html)
+            assert sum(map(len, squeezed.column("html").to_pylist())) < 0.9 * alone
+
+
 def test_suffix_buckets_hold_about_as_much_each():
     import pyarrow as pa
 
